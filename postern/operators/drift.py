@@ -9,6 +9,7 @@ from postern import dims
 from postern.functions.scores import count_if, pct
 from postern.operators import baseline, funnel, posture, readiness
 from postern.operators.ordered import numbered
+from postern.session import stage
 
 SERVER_ATTRIBUTES = ["protocol", "tls_version", "cipher_suite", "cipher_strength", "key_group", "pqc", "ja4s", "outcome", "starttls_advertised"]
 COMPARED = SERVER_ATTRIBUTES[1:]
@@ -221,9 +222,9 @@ def summary(metric_rows: DataFrame, server_rows: DataFrame, finding_rows: DataFr
 
 def timeline(sessions: DataFrame, found: DataFrame, captures: DataFrame) -> DataFrame:
     """Step-by-step drift over all captures in time order, every step computed in the same job."""
-    pairs = capture_pairs(captures)
+    pairs = stage(capture_pairs(captures))
     return summary(
-        compare_metrics(metrics(sessions, found), pairs),
-        compare_servers(server_snapshot(sessions), pairs),
+        compare_metrics(stage(metrics(sessions, found)), pairs),
+        compare_servers(stage(server_snapshot(sessions)), pairs),
         compare_findings(category_snapshot(found), pairs),
     )

@@ -11,6 +11,7 @@ from postern.operators import baseline, browse, drift, funnel, grading, graph, p
 from postern.plans.catalog import query
 from postern.plans.oracle_parts import radius_sql, sql
 from postern.plans.views import load, view
+from postern.session import stage
 
 
 def sess(spark, sf):
@@ -25,6 +26,11 @@ def found(spark, sf):
     return rules.findings(facts(spark, sf))
 
 
+def staged_findings(f):
+    """Numbered findings, written once because several branches of the plan read them."""
+    return stage(rules.number(rules.findings(f)))
+
+
 # ---- crypto facts on sessions -------------------------------------------------------------
 @query(
     "suite_facts",
@@ -154,7 +160,7 @@ def baseline_deviations(spark, sf):
     "B-5",
     sql(
         ["f", "devs"],
-        """SELECT f.capture_id, f.session_id, coalesce(d.n, 0) AS deviations, coalesce(round_even(least(d.s / 5, 1), 3), 0.0) AS deviation_score FROM f
+        """SELECT f.capture_id, f.session_id, coalesce(d.n, 0) AS deviations, CASE WHEN d.s IS NULL THEN 0::DOUBLE ELSE round_even(least(d.s / 5, 1), 3) END AS deviation_score FROM f
 LEFT JOIN (SELECT capture_id, session_id, count(*) AS n, sum(share) AS s FROM devs GROUP BY 1, 2) d USING (capture_id, session_id) WHERE NOT f.is_indeterminate""",
     ),
 )
@@ -573,7 +579,7 @@ def category_snapshot(spark, sf):
 @query("metric_drift", "T-4", sql(["mcmp"], "SELECT * FROM mcmp"))
 def metric_drift(spark, sf):
     f = facts(spark, sf)
-    return drift.compare_metrics(drift.metrics(f, rules.findings(f)), drift.capture_pairs(captures(spark, sf)))
+    return drift.compare_metrics(stage(drift.metrics(f, rules.findings(f))), drift.capture_pairs(captures(spark, sf)))
 
 
 @query("server_drift", "T-5", sql(["scmp"], "SELECT * FROM scmp"))
@@ -609,7 +615,7 @@ SELECT *, CASE WHEN regressions = 0 AND improvements = 0 AND neutral_changes = 0
 )
 def drift_timeline(spark, sf):
     f = facts(spark, sf)
-    return drift.timeline(f, rules.findings(f), captures(spark, sf))
+    return drift.timeline(f, staged_findings(f), captures(spark, sf))
 
 
 # ---- graph ----------------------------------------------------------------------------------------------------
@@ -667,13 +673,13 @@ UNION ALL SELECT capture_id, 'server:' || server, node_id, 'negotiates', count(*
 )
 def graph_edges(spark, sf):
     f = facts(spark, sf)
-    return graph.edges(f, graph.finding_scope(rules.findings(f), f)).select("capture_id", "source", "target", "type", "weight", "cleartext")
+    return graph.edges(f, graph.finding_scope(staged_findings(f), f)).select("capture_id", "source", "target", "type", "weight", "cleartext")
 
 
 @query("finding_scope", "H-5", sql(["scope"], "SELECT * FROM scope"))
 def finding_scope(spark, sf):
     f = facts(spark, sf)
-    return graph.finding_scope(rules.findings(f), f)
+    return graph.finding_scope(staged_findings(f), f)
 
 
 _SRV_RISK = """SELECT capture_id, server, min(severity_rank) AS risk_rank, string_agg(DISTINCT category, ',' ORDER BY category) AS weaknesses FROM scope JOIN rule USING (category) GROUP BY 1, 2"""
@@ -682,14 +688,14 @@ _SRV_RISK = """SELECT capture_id, server, min(severity_rank) AS risk_rank, strin
 @query("server_risk", "H-6", sql(["scope", "rule"], f"SELECT capture_id, server, ['critical','high','medium','low','info'][risk_rank + 1] AS risk, weaknesses FROM ({_SRV_RISK}) x"))
 def server_risk(spark, sf):
     f = facts(spark, sf)
-    n = rules.findings(f)
+    n = staged_findings(f)
     return graph.server_risk(graph.finding_scope(n, f), graph.weaknesses(n)).select("capture_id", "server", "risk", text("weaknesses").alias("weaknesses"))
 
 
 @query("blast_radius", "H-7", sql(["frad"], "SELECT * FROM frad"))
 def blast_radius(spark, sf):
     f = facts(spark, sf)
-    return graph.finding_radius(rules.findings(f), f)
+    return graph.finding_radius(staged_findings(f), f)
 
 
 @query(
@@ -720,7 +726,7 @@ FROM (SELECT capture_id, server, count(*) AS sessions, count(*) FILTER (is_clear
 )
 def critical_servers(spark, sf):
     f = facts(spark, sf)
-    n = rules.findings(f)
+    n = staged_findings(f)
     out = graph.rank_servers(f, graph.finding_scope(n, f), graph.weaknesses(n)).orderBy("capture_id", "risk_rank", F.desc("clients"), F.desc("sessions"))
     return out.select("capture_id", "server", "clients", "sessions", "cleartext", "risk", text("weaknesses").alias("weaknesses"))
 
@@ -728,7 +734,7 @@ def critical_servers(spark, sf):
 # ---- ranking ---------------------------------------------------------------------------------------------------
 def prioritised(spark, sf):
     f = facts(spark, sf)
-    n = rules.number(rules.findings(f))
+    n = staged_findings(f)
     return ranking.prioritise(n, f, graph.finding_radius(n, f))
 
 
@@ -743,7 +749,7 @@ def finding_priority(spark, sf):
     sql(["prio"], "SELECT capture_id, finding_no, priority, tier, row_number() OVER (PARTITION BY capture_id ORDER BY priority DESC, finding_no) AS rank FROM prio"),
 )
 def priority_rank(spark, sf):
-    return ranking.rank(prioritised(spark, sf)).select("capture_id", "finding_no", "priority", "tier", "rank")
+    return ranking.rank(stage(prioritised(spark, sf))).select("capture_id", "finding_no", "priority", "tier", "rank")
 
 
 _EXPLAIN = """SELECT n.capture_id, 'F-' || lpad(CAST(finding_no AS VARCHAR), 4, '0') AS finding_ref, {step} AS step, {key} AS key, {value} AS value FROM fno n {rest}"""
@@ -803,7 +809,7 @@ _SCEN = """, ind AS (SELECT * FROM (VALUES ('strip_and_harvest',1,0.9::DOUBLE,tr
 )
 def interception_scenarios(spark, sf):
     f = facts(spark, sf)
-    out = ranking.scenarios(rules.findings(f), f)
+    out = ranking.scenarios(staged_findings(f), f)
     return out.select("capture_id", "scenario", F.col("indicators").cast("bigint").alias("indicators"), "likelihood", "sessions", "exposure_pct", "score", "level")
 
 
@@ -913,7 +919,7 @@ LEFT JOIN (SELECT capture_id, server, count(DISTINCT finding_no) AS n, min(sever
 )
 def server_inventory(spark, sf):
     f = facts(spark, sf)
-    n = rules.number(rules.findings(f))
+    n = staged_findings(f)
     out = browse.server_inventory(f, n, graph.finding_scope(n, f), baseline.software_by_server(f))
     return out.select("capture_id", "server", "sessions", text("versions").alias("versions"), "findings", "worst")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,15 +28,30 @@ def build(master: str | None = None, app: str = "postern", **extra: str) -> Spar
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a folder of its own only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = tempfile.mkdtemp(prefix="postern-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write `df` once to the shared folder and go on from the files.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only a session
-    that names none (a laptop, a test) gets a folder of its own.
+    Used where one table (findings, server snapshots) feeds several branches of a plan: it is then
+    computed once, keeps column pruning, and survives the loss of any executor.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
+    path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of an iterative step, in the same shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="postern-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
