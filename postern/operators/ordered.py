@@ -16,33 +16,32 @@ from pyspark.sql import functions as F
 _AGG = {"max": F.max, "sum": F.sum, "min": F.min}
 
 
-def _keys_equal(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    return left.join(right, list(keys), how)
-
-
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    block: Column,
+    block: Column | str,
     aggs: dict[str, tuple[str, Column]],
     inclusive: bool = False,
 ) -> DataFrame:
     """Running max/min/sum of each `aggs` entry over the rows before (or up to) the current one.
 
-    `block` must not decrease along `order`. A running *last non-null* is a running max of
+    `block` must not decrease along `order`; given as a column name it is kept, so that several
+    calls in a row share one partitioning. A running *last non-null* is a running max of
     `struct(order columns, value)`.
     """
-    src = df.withColumn("_blk", block)
+    kept = isinstance(block, str)
+    blk = block if kept else "_blk"
+    src = df if kept else df.withColumn("_blk", block)
     for name, (_, value) in aggs.items():
         src = src.withColumn(f"_v_{name}", value)
-    totals = src.groupBy(*keys, "_blk").agg(*[_AGG[fn](f"_v_{name}").alias(f"_t_{name}") for name, (fn, _) in aggs.items()])
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, "_blk", *[_AGG[fn](f"_t_{name}").over(before).alias(f"_c_{name}") for name, (fn, _) in aggs.items()])
-    inside = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    totals = src.groupBy(*keys, blk).agg(*[_AGG[fn](f"_v_{name}").alias(f"_t_{name}") for name, (fn, _) in aggs.items()])
+    before = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*keys, blk, *[_AGG[fn](f"_t_{name}").over(before).alias(f"_c_{name}") for name, (fn, _) in aggs.items()])
+    inside = Window.partitionBy(*keys, blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     for name, (fn, _) in aggs.items():
         src = src.withColumn(f"_l_{name}", _AGG[fn](f"_v_{name}").over(inside))
-    out = _keys_equal(src, carry, [*keys, "_blk"])
+    out = src.join(carry, [*keys, blk], "left")
     for name, (fn, _) in aggs.items():
         local, carried = F.col(f"_l_{name}"), F.col(f"_c_{name}")
         if fn == "sum":
@@ -50,7 +49,7 @@ def running(
         else:
             value = (F.greatest if fn == "max" else F.least)(local, carried)
         out = out.withColumn(name, value)
-    drop = ["_blk"] + [f"_{p}_{n}" for n in aggs for p in "vlc"]
+    drop = ([] if kept else ["_blk"]) + [f"_{p}_{n}" for n in aggs for p in "vlc"]
     return out.drop(*drop)
 
 
