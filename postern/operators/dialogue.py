@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postern.functions.text import from_base64, is_mangled, secret_evidence
-from postern.operators.ordered import running
+from postern.operators.ordered import ROWS_PER_TASK, by_size, running
+from postern.session import stage
 
 FLOW = ["capture_id", "flow"]
 FRAMES_PER_BLOCK = 4096
@@ -40,14 +41,27 @@ def tag_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def _markers(t: DataFrame) -> DataFrame:
+def with_context(lines: DataFrame, limit: int = ROWS_PER_TASK) -> DataFrame:
+    """Tagged lines plus the dialogue context each one is read in."""
+    return by_size(lines, FLOW, _with_context, limit)
+
+
+def _with_context(lines: DataFrame, blocked: bool) -> DataFrame:
     c = F.col
+    order = ["pos"]
+    block = "blk" if blocked else None
+
+    def look_back(t: DataFrame, aggs: dict, keys: list[str] = FLOW) -> DataFrame:
+        """Running values; the blocked way reads its input twice, so it is written in between."""
+        out = running(t, keys, order, block, aggs)
+        return stage(out) if blocked else out
+
     s2c, smtp, imap, pop = c("from_server"), c("protocol") == "SMTP", c("protocol") == "IMAP", c("protocol") == "POP3"
     greet_like = s2c & (
         (smtp & c("up").startswith("220")) | (imap & _starts(c("text"), "* OK", "* PREAUTH")) | (pop & c("up").startswith("+OK"))
     )
-    first = t.where(greet_like).groupBy(*FLOW).agg(F.min("pos").alias("greet_pos"))
-    t = t.join(first, FLOW, "left").withColumn("is_greeting", F.coalesce(c("pos") == c("greet_pos"), F.lit(False)))
+    t = look_back(tag_lines(lines).withColumn("greet_like", greet_like), {"greeted": ("sum", c("greet_like").cast("int"))})
+    t = t.withColumn("is_greeting", c("greet_like") & (F.coalesce("greeted", F.lit(0)) == 0))
     accept = smtp & s2c & ~c("is_greeting") & c("up").startswith("220") & F.contains(c("up"), F.lit("TLS"))
     refuse = smtp & s2c & _starts(c("up"), "454", "502", "500", "421")
     ask = ~s2c & ((smtp & c("up").startswith("STARTTLS")) | (pop & c("up").startswith("STLS")))
@@ -55,80 +69,78 @@ def _markers(t: DataFrame) -> DataFrame:
     prompt = smtp & s2c & c("up").startswith("334")
     keyword = smtp & ~s2c & _starts(c("up"), "EHLO", "HELO", "STARTTLS", "AUTH ")
     prompt_kind = F.when(F.trim(F.substring("text", 5, 1000)) == "VXNlcm5hbWU6", F.lit("username")).otherwise(F.lit("password"))
-    authenticate = imap & ~s2c & (c("verb") == "AUTHENTICATE")
-    return t.withColumns(
+    t = t.withColumns({"k_accept": accept, "k_refuse": refuse, "k_authenticate": imap & ~s2c & (c("verb") == "AUTHENTICATE")})
+    t = look_back(
+        t,
         {
-            "k_accept": accept,
-            "k_refuse": refuse,
-            "k_ask": ask,
             # last marker before a line: pending upgrade (SMTP and POP3)
-            "m_upgrade": F.when(ask, F.struct("pos", F.lit(True).alias("on"))).when(
-                (accept | refuse) | (pop & s2c & ~c("is_greeting")), F.struct("pos", F.lit(False).alias("on"))
+            "last_upgrade": (
+                "max",
+                F.when(ask, F.struct("pos", F.lit(True).alias("on"))).when(
+                    (c("k_accept") | c("k_refuse")) | (pop & s2c & ~c("is_greeting")), F.struct("pos", F.lit(False).alias("on"))
+                ),
             ),
             # last marker: what credential a prompt awaits; any other client line uses it up
-            "m_prompt": F.when(prompt, F.struct("pos", prompt_kind.alias("field")))
-            .when(login, F.struct("pos", F.lit("username").alias("field")))
-            .when(smtp & ~s2c & ~keyword, F.struct("pos", F.lit("").alias("field"))),
+            "last_prompt": (
+                "max",
+                F.when(prompt, F.struct("pos", prompt_kind.alias("field")))
+                .when(login, F.struct("pos", F.lit("username").alias("field")))
+                .when(smtp & ~s2c & ~keyword, F.struct("pos", F.lit("").alias("field"))),
+            ),
             # last POP3 account name
-            "m_user": F.when(pop & ~s2c & c("up").startswith("USER "), F.struct("pos", F.trim(F.substring("text", 6, 100000)).alias("user"))),
-            "n_client": (~s2c).cast("bigint"),
-            "k_authenticate": authenticate,
-        }
-    )
-
-
-def with_context(lines: DataFrame) -> DataFrame:
-    """Tagged lines plus the dialogue context each one is read in."""
-    c = F.col
-    order = ["pos"]
-    t = _markers(tag_lines(lines))
-    t = running(
-        t,
-        FLOW,
-        order,
-        "blk",
-        {
-            "last_upgrade": ("max", c("m_upgrade")),
-            "last_prompt": ("max", c("m_prompt")),
-            "last_user": ("max", c("m_user")),
-            "clients_before": ("sum", c("n_client")),
+            "last_user": ("max", F.when(pop & ~s2c & c("up").startswith("USER "), F.struct("pos", F.trim(F.substring("text", 6, 100000)).alias("user")))),
+            "clients_before": ("sum", (~s2c).cast("bigint")),
         },
     )
-    s2c, imap, pop = c("from_server"), c("protocol") == "IMAP", c("protocol") == "POP3"
     pending = F.coalesce(c("last_upgrade.on"), F.lit(False))
-    client_no = F.coalesce("clients_before", F.lit(0)) + 1
-    resolves = pop & s2c & ~c("is_greeting") & pending
-    opens = (pop & ~s2c & c("up").startswith("CAPA")) | (pop & s2c & ~resolves & ~c("is_greeting") & c("up").startswith("+OK CAPA"))
-    closes = pop & s2c & ~resolves & (F.trim("text") == ".")
     t = t.withColumns(
         {
             "upgrade_pending": pending,
-            "client_no": client_no,
-            "pop_resolves": resolves,
-            "m_capa": F.when(opens, F.struct("pos", F.lit(True).alias("on"))).when(closes, F.struct("pos", F.lit(False).alias("on"))),
-            "m_plain": F.when(imap & ~s2c & ~c("k_authenticate"), client_no),
+            "client_no": F.coalesce("clients_before", F.lit(0)) + 1,
+            "pop_resolves": pop & s2c & ~c("is_greeting") & pending,
         }
     )
-    t = running(t, FLOW, order, "blk", {"last_capa": ("max", c("m_capa")), "last_plain": ("max", c("m_plain"))})
+    resolves = c("pop_resolves")
+    opens = (pop & ~s2c & c("up").startswith("CAPA")) | (pop & s2c & ~resolves & ~c("is_greeting") & c("up").startswith("+OK CAPA"))
+    closes = pop & s2c & ~resolves & (F.trim("text") == ".")
+    t = look_back(
+        t,
+        {
+            "last_capa": ("max", F.when(opens, F.struct("pos", F.lit(True).alias("on"))).when(closes, F.struct("pos", F.lit(False).alias("on")))),
+            "last_plain": ("max", F.when(imap & ~s2c & ~c("k_authenticate"), c("client_no"))),
+        },
+    )
     # A client line right after an unanswered AUTHENTICATE is its credential; runs of them alternate.
     run = c("client_no") - 1 - F.coalesce("last_plain", F.lit(0))
     consumed = imap & ~s2c & (F.pmod(run, F.lit(2)) == 1)
-    asks = imap & ~s2c & ~consumed & (c("verb") == "STARTTLS")
-    t = t.withColumns(
-        {
-            "in_capa": F.coalesce(c("last_capa.on"), F.lit(False)),
-            "sasl_line": consumed,
-            "imap_asks": asks,
-            "m_tag": F.when(asks, F.struct("pos", "tag")),
-        }
-    )
-    t = running(t, FLOW, order, "blk", {"last_tag": ("max", c("m_tag"))})
-    candidate = imap & s2c & c("last_tag").isNotNull() & c("up").startswith(F.concat(c("last_tag.tag"), F.lit(" ")))
-    answers = t.where(candidate).groupBy(*FLOW, c("last_tag.pos").alias("asked")).agg(F.min("pos").alias("answer_pos"))
-    answers = answers.select(*FLOW, "answer_pos").distinct()
-    return t.join(answers.withColumn("tag_answers", F.lit(True)), [*[t[k] == answers[k] for k in FLOW], t["pos"] == answers["answer_pos"]], "left").select(
-        t["*"], F.coalesce("tag_answers", F.lit(False)).alias("tag_answers")
-    )
+    t = t.withColumns({"in_capa": F.coalesce(c("last_capa.on"), F.lit(False)), "sasl_line": consumed})
+    t = t.withColumn("imap_asks", imap & ~s2c & ~c("sasl_line") & (c("verb") == "STARTTLS"))
+    t = look_back(t, {"last_tag": ("max", F.when(c("imap_asks"), F.struct("pos", "tag")))})
+    answer = imap & s2c & c("last_tag").isNotNull() & c("up").startswith(F.concat(c("last_tag.tag"), F.lit(" ")))
+    t = t.withColumns({"asked": c("last_tag.pos"), "answer": F.coalesce(answer, F.lit(False))})
+    # only the first answer to an upgrade request counts
+    t = t.withColumn("asked_key", F.coalesce(F.to_json("asked"), F.lit("")))
+    t = look_back(t, {"answers_before": ("sum", c("answer").cast("int"))}, [*FLOW, "asked_key"])
+    return t.withColumn("tag_answers", c("answer") & (F.coalesce("answers_before", F.lit(0)) == 0)).select(*lines.columns, *_CONTEXT)
+
+
+_CONTEXT = [
+    "up",
+    "from_server",
+    "verb",
+    "rest",
+    "is_greeting",
+    "k_accept",
+    "k_refuse",
+    "upgrade_pending",
+    "last_prompt",
+    "last_user",
+    "pop_resolves",
+    "in_capa",
+    "sasl_line",
+    "imap_asks",
+    "tag_answers",
+]
 
 
 def _event(cond: Column, kind: str | Column, detail: Column | None = None, credential: Column | None = None) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from postern import dims
 from postern.functions.scores import count_if
-from postern.operators.ordered import running
 
 FLOW = ["capture_id", "stream"]
 FRAMES_PER_BLOCK = 1_000_000
@@ -106,18 +105,34 @@ def probe(flows: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def capture_stats(packets: DataFrame) -> DataFrame:
-    """Packet count, bytes, time range, strict time order and truncation flag per capture.
+    """Packet count, bytes, time range and strict time order per capture.
 
-    The order flag compares each packet with the latest time seen before it; that running maximum is
-    taken block by block, so one huge capture is not one task.
+    Order is checked inside blocks of frames and then between neighbouring blocks, so one huge capture
+    is neither one task nor read twice.
     """
-    with_prev = running(packets, ["capture_id"], ["frame"], F.floor(F.col("frame") / FRAMES_PER_BLOCK), {"latest": ("max", F.col("ts"))})
-    return with_prev.groupBy("capture_id").agg(
-        F.count(F.lit(1)).alias("packet_count"),
-        F.sum(F.col("tcp_len").cast("bigint")).alias("data_bytes"),
-        F.min("ts").alias("first_packet_at"),
-        F.max("ts").alias("last_packet_at"),
-        F.bool_and(F.col("latest").isNull() | (F.col("ts") >= F.col("latest"))).alias("strict_time_order"),
+    blk = F.floor(F.col("frame") / FRAMES_PER_BLOCK)
+    inside = Window.partitionBy("capture_id", "_blk").orderBy("frame")
+    blocks = (
+        packets.select("capture_id", "frame", "ts", "tcp_len", blk.alias("_blk"))
+        .withColumn("_prev", F.lag("ts").over(inside))
+        .groupBy("capture_id", "_blk")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(F.col("tcp_len").cast("bigint")).alias("b"),
+            F.min("ts").alias("lo"),
+            F.max("ts").alias("hi"),
+            F.min_by("ts", "frame").alias("first"),
+            F.bool_and(F.col("_prev").isNull() | (F.col("ts") >= F.col("_prev"))).alias("ordered"),
+        )
+    )
+    before = Window.partitionBy("capture_id").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    chained = blocks.withColumn("_hi", F.max("hi").over(before))
+    return chained.groupBy("capture_id").agg(
+        F.sum("n").alias("packet_count"),
+        F.sum("b").alias("data_bytes"),
+        F.min("lo").alias("first_packet_at"),
+        F.max("hi").alias("last_packet_at"),
+        F.bool_and(F.col("ordered") & (F.col("_hi").isNull() | (F.col("first") >= F.col("_hi")))).alias("strict_time_order"),
     )
 
 
