@@ -28,4 +28,4 @@ def query(name: str, covers: str, oracle: str | None = None) -> Callable[[Job],
 
 
 def load_all() -> None:
-    from postern.plans import jobs_sessions, jobs_traffic  # noqa: F401
+    from postern.plans import jobs_sessions, jobs_traffic, jobs_whatif  # noqa: F401
