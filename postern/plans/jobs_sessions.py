@@ -8,6 +8,7 @@ from postern import dims
 from postern.functions import crypto
 from postern.functions.scores import server_key, text
 from postern.operators import baseline, browse, drift, funnel, grading, graph, posture, ranking, readiness, rules, sessions
+from postern.plans import report
 from postern.plans.catalog import query
 from postern.plans.oracle_parts import radius_sql, sql
 from postern.plans.views import load, view
@@ -988,3 +989,57 @@ def grade_findings(spark, sf):
     )
     expected = f.select("capture_id", "session_id", F.explode(want).alias("w")).select("capture_id", "session_id", "w.category", "w.frames")
     return grading.grade_findings(expected, rules.findings(f), ["capture_id"])
+
+
+# ---- documents -----------------------------------------------------------------------------------------------------
+def _ranked(spark, sf):
+    f = facts(spark, sf)
+    n = staged_findings(f)
+    blast = stage(graph.finding_radius(n, f))
+    return f, n, blast, stage(report.rank_all(f, n, blast))
+
+
+@query(
+    "finding_trace",
+    "K-4",
+    sql(
+        ["prio", "f", "frad"],
+        """SELECT p.capture_id, 'F-' || lpad(CAST(p.finding_no AS VARCHAR), 4, '0') AS finding_ref, p.category, p.session_id, f.server AS session_server, f.encryption_state, p.priority, p.tier, r.blast_score, r.dependent_clients,
+ CASE WHEN p.category LIKE 'certificate_chain%' THEN 'fix_certificate_chain' WHEN p.category = 'certificate_not_observable' OR p.category = 'incomplete_evidence' THEN NULL WHEN p.category LIKE 'certificate%' THEN 'renew_certificate' WHEN p.category = 'starttls_stripping' THEN 'deploy_mta_sts_dane' WHEN p.category = 'deprecated_tls_version' THEN 'disable_legacy_tls'
+ WHEN p.category IN ('weak_cipher_suite','no_forward_secrecy') THEN 'modern_ciphers' WHEN p.category = 'pqc_server_not_ready' THEN 'enable_hybrid_pqc' WHEN p.category = 'protocol_port_mismatch' THEN 'standard_ports' ELSE 'enforce_tls' END AS fix_id
+FROM prio p LEFT JOIN f USING (capture_id, session_id) LEFT JOIN frad r ON r.capture_id = p.capture_id AND r.key = p.category""",
+    ),
+)
+def finding_trace(spark, sf):
+    f, n, blast, ranked = _ranked(spark, sf)
+    out = report.trace(n, f, ranked, blast)
+    return out.select("capture_id", "finding_ref", "category", "session_id", "session_server", "encryption_state", "priority", "tier", "blast_score", "dependent_clients", "fix_id")
+
+
+@query("brief_facts", "K-8")
+def brief_facts(spark, sf):
+    f, n, blast, ranked = _ranked(spark, sf)
+    return report.brief_facts(f, ranked, posture.posture(f, n), readiness.readiness(f), ranking.scenarios(n, f))
+
+
+@query(
+    "report_documents",
+    "IO-10",
+    sql(
+        ["f", "post", "fnd"],
+        """SELECT capture_id, CAST(count(*) AS VARCHAR) AS sessions, CAST(any_value(post.overall) AS VARCHAR) AS posture, CAST(any_value(k.n) AS VARCHAR) AS findings, 12 AS priorities, 6 AS radii, 12 AS risky FROM f JOIN post USING (capture_id) JOIN (SELECT capture_id, count(*) AS n FROM fnd GROUP BY 1) k USING (capture_id) GROUP BY 1""",
+    ),
+)
+def report_documents(spark, sf):
+    f, n, blast, ranked = _ranked(spark, sf)
+    doc = F.col("document")
+    size = lambda p: F.json_array_length(F.get_json_object(doc, p))
+    return report.report(f, ranked, blast).select(
+        "capture_id",
+        F.get_json_object(doc, "$.summary.sessions").alias("sessions"),
+        F.get_json_object(doc, "$.posture.overall").alias("posture"),
+        F.get_json_object(doc, "$.summary.findings").alias("findings"),
+        size("$.priorities").alias("priorities"),
+        size("$.blast_radius").alias("radii"),
+        size("$.risky_sessions").alias("risky"),
+    )
