@@ -96,7 +96,7 @@ def forest(df: DataFrame, group: str, columns: Sequence[str], trees: int = TREES
     w = Window.partitionBy(group, "tree").orderBy("_u", "_id")
     sample = each.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= subsample)
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_u", "_id"])
         x = pdf[cols].to_numpy(dtype=float)
         rng = np.random.default_rng([seed, int(key[1])])
