@@ -36,7 +36,8 @@ def tag_lines(lines: DataFrame) -> DataFrame:
         .withColumn("tag", F.upper(F.get(parts, F.lit(0))))
         .withColumn("verb", F.upper(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))))
         .withColumn("rest", F.coalesce(F.get(parts, F.lit(2)), F.lit("")))
-        .withColumn("pos", F.struct("frame", side.alias("side"), "line_offset"))
+        .withColumn("side", side)
+        .withColumn("pos", F.struct("frame", "side", "line_offset"))
         .withColumn("blk", F.floor(F.col("frame") / FRAMES_PER_BLOCK))
     )
 
@@ -48,7 +49,7 @@ def with_context(lines: DataFrame, limit: int = ROWS_PER_TASK) -> DataFrame:
 
 def _with_context(lines: DataFrame, blocked: bool) -> DataFrame:
     c = F.col
-    order = ["pos"]
+    order = ["frame", "side", "line_offset"]
     block = "blk" if blocked else None
 
     def look_back(t: DataFrame, aggs: dict, keys: list[str] = FLOW) -> DataFrame:
@@ -161,23 +162,30 @@ def events(lines: DataFrame) -> DataFrame:
     s2c, c2s = c("from_server"), ~c("from_server")
     smtp, imap, pop = c("protocol") == "SMTP", c("protocol") == "IMAP", c("protocol") == "POP3"
     up, greeting = c("up"), c("is_greeting")
-    out: list[Column] = []
+    # one list per dialect and side: a row only evaluates the rules of its own
+    smtp_srv: list[Column] = []
+    smtp_cli: list[Column] = []
+    imap_srv: list[Column] = []
+    imap_cli: list[Column] = []
+    pop_srv: list[Column] = []
+    pop_cli: list[Column] = []
     banner = F.when(pop, F.trim(F.substring("text", 4, 100000))).otherwise(F.trim(F.substring("text", 5, 100000)))
-    out.append(_event(greeting, "greeting", banner))
+    for rules in (smtp_srv, imap_srv, pop_srv):
+        rules.append(_event(greeting, "greeting", banner))
     # --- SMTP, server side
     srv = smtp & s2c & ~greeting
     offers = up.rlike(r"^250[- ]STARTTLS\s*$")
     token = F.substring("text", 5, 100000)
     mangled = up.rlike("^250[- ]") & is_mangled(token)
     auth_cap = up.rlike(r"^250[- ]AUTH\s+.+$")
-    out.append(_event(srv & offers, "upgrade_advertised"))
-    out.append(_event(srv & ~offers & mangled, "upgrade_advertised_mangled", F.trim(token)))
-    out.append(_event(srv & ~offers & ~mangled & auth_cap, "capability_response"))
+    smtp_srv.append(_event(srv & offers, "upgrade_advertised"))
+    smtp_srv.append(_event(srv & ~offers & mangled, "upgrade_advertised_mangled", F.trim(token)))
+    smtp_srv.append(_event(srv & ~offers & ~mangled & auth_cap, "capability_response"))
     rest = srv & ~offers & ~mangled & ~auth_cap
-    out.append(_event(rest & c("k_accept"), "upgrade_accepted"))
-    out.append(_event(rest & c("k_refuse") & c("upgrade_pending"), "upgrade_rejected"))
-    out.append(_event(rest & up.startswith("235"), "auth_succeeded"))
-    out.append(_event(rest & up.startswith("535"), "auth_failed"))
+    smtp_srv.append(_event(rest & c("k_accept"), "upgrade_accepted"))
+    smtp_srv.append(_event(rest & c("k_refuse") & c("upgrade_pending"), "upgrade_rejected"))
+    smtp_srv.append(_event(rest & up.startswith("235"), "auth_succeeded"))
+    smtp_srv.append(_event(rest & up.startswith("535"), "auth_failed"))
     # --- SMTP, client side
     cli = smtp & c2s
     hello, starts, auth = _starts(up, "EHLO", "HELO"), up.startswith("STARTTLS"), up.startswith("AUTH ")
@@ -185,10 +193,10 @@ def events(lines: DataFrame) -> DataFrame:
     mechanism = F.upper(F.coalesce(F.get(words, F.lit(1)), F.lit("UNKNOWN")))
     plain = from_base64(F.get(words, F.lit(2)))
     plain_parts = F.split(plain, "\u0000")
-    out.append(_event(cli & hello, "capability_request", F.trim(F.substring("text", 6, 100000))))
-    out.append(_event(cli & ~hello & starts, "upgrade_requested"))
-    out.append(_event(cli & ~hello & ~starts & auth, "auth_requested", F.concat(F.lit("AUTH "), mechanism)))
-    out.append(
+    smtp_cli.append(_event(cli & hello, "capability_request", F.trim(F.substring("text", 6, 100000))))
+    smtp_cli.append(_event(cli & ~hello & starts, "upgrade_requested"))
+    smtp_cli.append(_event(cli & ~hello & ~starts & auth, "auth_requested", F.concat(F.lit("AUTH "), mechanism)))
+    smtp_cli.append(
         _event(
             cli & ~hello & ~starts & auth & (mechanism == "PLAIN") & (F.size(words) > 2),
             "auth_credential",
@@ -200,7 +208,7 @@ def events(lines: DataFrame) -> DataFrame:
     field = F.coalesce(c("last_prompt.field"), F.lit(""))
     decoded = from_base64(F.trim("text"))
     is_user = field == "username"
-    out.append(
+    smtp_cli.append(
         _event(
             other & (field != ""),
             "auth_credential",
@@ -209,49 +217,55 @@ def events(lines: DataFrame) -> DataFrame:
         )
     )
     idle = other & (field == "")
-    out.append(_event(idle & _starts(up, "MAIL FROM", "RCPT TO", "DATA"), "mail_transaction", F.trim(F.substring_index("text", ":", 1))))
-    out.append(_event(idle & up.startswith("QUIT"), "session_end", F.lit("QUIT")))
+    smtp_cli.append(_event(idle & _starts(up, "MAIL FROM", "RCPT TO", "DATA"), "mail_transaction", F.trim(F.substring_index("text", ":", 1))))
+    smtp_cli.append(_event(idle & up.startswith("QUIT"), "session_end", F.lit("QUIT")))
     # --- IMAP
     caps = imap & s2c & (up.startswith("* CAPABILITY") | F.contains(up, F.lit("[CAPABILITY")))
-    out.append(_event(caps, "capability_response"))
-    out.append(_event(caps & up.rlike(r"\bSTARTTLS\b"), "upgrade_advertised"))
+    imap_srv.append(_event(caps, "capability_response"))
+    imap_srv.append(_event(caps & up.rlike(r"\bSTARTTLS\b"), "upgrade_advertised"))
     status = F.get(F.split(F.trim("text"), r"\s+"), F.lit(1))
     verdict = F.when(F.upper(status) == "OK", F.lit("upgrade_accepted")).otherwise(F.lit("upgrade_rejected"))
-    out.append(_event(c("tag_answers"), verdict))
+    imap_srv.append(_event(c("tag_answers"), verdict))
     icl = imap & c2s
-    out.append(
+    imap_cli.append(
         _event(icl & c("sasl_line"), "auth_credential", F.lit("IMAP AUTHENTICATE credential"), secret_evidence(F.lit("IMAP AUTHENTICATE"), decoded, decoded))
     )
     live = icl & ~c("sasl_line")
     verb = c("verb")
-    out.append(_event(live & (verb == "CAPABILITY"), "capability_request"))
-    out.append(_event(c("imap_asks"), "upgrade_requested"))
-    out.append(_event(live & (verb == "LOGIN"), "auth_requested", F.lit("LOGIN")))
+    imap_cli.append(_event(live & (verb == "CAPABILITY"), "capability_request"))
+    imap_cli.append(_event(c("imap_asks"), "upgrade_requested"))
+    imap_cli.append(_event(live & (verb == "LOGIN"), "auth_requested", F.lit("LOGIN")))
     login = r'(?i)^\S+\s+LOGIN\s+(?:"([^"]*)"|(\S+))\s+(?:"([^"]*)"|(\S+))\s*$'
     group = lambda i: F.regexp_extract("text", login, i)
     user = F.when(group(1) != "", group(1)).otherwise(group(2))
     password = F.when(group(3) != "", group(3)).otherwise(group(4))
-    out.append(
+    imap_cli.append(
         _event(live & (verb == "LOGIN") & (password != ""), "auth_credential", F.lit("IMAP LOGIN credential"), secret_evidence(F.lit("IMAP LOGIN"), user, password))
     )
     imap_mech = F.upper(F.coalesce(F.get(F.split("rest", r"\s+"), F.lit(0)), F.lit("UNKNOWN")))
-    out.append(_event(live & (verb == "AUTHENTICATE"), "auth_requested", F.concat(F.lit("AUTHENTICATE "), imap_mech)))
-    out.append(_event(live & verb.isin("SELECT", "EXAMINE", "FETCH", "LIST"), "mailbox_access", verb))
-    out.append(_event(live & (verb == "LOGOUT"), "session_end", F.lit("LOGOUT")))
+    imap_cli.append(_event(live & (verb == "AUTHENTICATE"), "auth_requested", F.concat(F.lit("AUTHENTICATE "), imap_mech)))
+    imap_cli.append(_event(live & verb.isin("SELECT", "EXAMINE", "FETCH", "LIST"), "mailbox_access", verb))
+    imap_cli.append(_event(live & (verb == "LOGOUT"), "session_end", F.lit("LOGOUT")))
     # --- POP3
-    out.append(_event(c("pop_resolves"), F.when(up.startswith("+OK"), F.lit("upgrade_accepted")).otherwise(F.lit("upgrade_rejected"))))
+    pop_srv.append(_event(c("pop_resolves"), F.when(up.startswith("+OK"), F.lit("upgrade_accepted")).otherwise(F.lit("upgrade_rejected"))))
     listing = pop & s2c & ~greeting & ~c("pop_resolves") & c("in_capa")
-    out.append(_event(listing & (F.trim("up") == "STLS"), "upgrade_advertised"))
+    pop_srv.append(_event(listing & (F.trim("up") == "STLS"), "upgrade_advertised"))
     pcl = pop & c2s
     capa, stls = up.startswith("CAPA"), up.startswith("STLS")
-    out.append(_event(pcl & capa, "capability_request"))
-    out.append(_event(pcl & ~capa & stls, "upgrade_requested"))
-    out.append(_event(pcl & up.startswith("USER "), "auth_requested", F.lit("USER")))
+    pop_cli.append(_event(pcl & capa, "capability_request"))
+    pop_cli.append(_event(pcl & ~capa & stls, "upgrade_requested"))
+    pop_cli.append(_event(pcl & up.startswith("USER "), "auth_requested", F.lit("USER")))
     pw = F.trim(F.substring("text", 6, 100000))
-    out.append(_event(pcl & up.startswith("PASS "), "auth_credential", F.lit("POP3 PASS credential"), secret_evidence(F.lit("POP3 USER/PASS"), c("last_user.user"), pw)))
-    out.append(_event(pcl & _starts(up, "STAT", "LIST", "RETR", "UIDL", "TOP "), "mailbox_access", F.get(words, F.lit(0))))
-    out.append(_event(pcl & up.startswith("QUIT"), "session_end", F.lit("QUIT")))
-    return t.select(*FLOW, "protocol", "dir", "frame", "line_offset", F.posexplode(F.array_compact(F.array(*out))).alias("event_no", "e")).select(
+    pop_cli.append(_event(pcl & up.startswith("PASS "), "auth_credential", F.lit("POP3 PASS credential"), secret_evidence(F.lit("POP3 USER/PASS"), c("last_user.user"), pw)))
+    pop_cli.append(_event(pcl & _starts(up, "STAT", "LIST", "RETR", "UIDL", "TOP "), "mailbox_access", F.get(words, F.lit(0))))
+    pop_cli.append(_event(pcl & up.startswith("QUIT"), "session_end", F.lit("QUIT")))
+    branches = [(smtp, smtp_srv, smtp_cli), (imap, imap_srv, imap_cli), (pop, pop_srv, pop_cli)]
+    found = None
+    for dialect, server_rules, client_rules in branches:
+        for cond, rules in ((dialect & s2c, server_rules), (dialect & c2s, client_rules)):
+            hits = F.array_compact(F.array(*rules))
+            found = F.when(cond, hits) if found is None else found.when(cond, hits)
+    return t.select(*FLOW, "protocol", "dir", "frame", "line_offset", F.posexplode(found).alias("event_no", "e")).select(
         *FLOW, "protocol", "dir", "frame", "line_offset", "event_no", "e.kind", "e.detail", "e.credential"
     )
 

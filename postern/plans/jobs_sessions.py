@@ -23,8 +23,13 @@ def facts(spark, sf):
     return crypto.decorate(sess(spark, sf))
 
 
+def stored(spark, sf):
+    """The session table written once, as it is in production, for jobs that read it in several branches."""
+    return stage(facts(spark, sf))
+
+
 def found(spark, sf):
-    return rules.findings(facts(spark, sf))
+    return rules.findings(stored(spark, sf))
 
 
 def staged_findings(f):
@@ -291,13 +296,13 @@ def behaviour_score(spark, sf):
 
 @query("capped_dimensions", "P-7", sql(["capped"], "SELECT capture_id, dimension, uncapped, score, ceiling FROM capped"))
 def capped_dimensions(spark, sf):
-    f = facts(spark, sf)
+    f = stored(spark, sf)
     return posture.apply_ceilings(posture.dimension_scores(f), rules.findings(f)).select("capture_id", "dimension", "uncapped", "score", "ceiling")
 
 
 @query("posture_overall", "P-8", sql(["post"], "SELECT capture_id, overall, round(numerator, 6) AS numerator, assessed_weight, dimensions_assessed, excluded FROM post"))
 def posture_overall(spark, sf):
-    f = facts(spark, sf)
+    f = stored(spark, sf)
     return posture.posture(f, rules.findings(f)).withColumn("numerator", F.round("numerator", 6)).withColumn("excluded", text("excluded"))
 
 
@@ -425,7 +430,7 @@ FROM f LEFT JOIN (SELECT capture_id, count(*) AS findings, count(*) FILTER (seve
     ),
 )
 def overview(spark, sf):
-    f = facts(spark, sf)
+    f = stored(spark, sf)
     return posture.overview(f, rules.findings(f))
 
 
@@ -561,7 +566,7 @@ def captures(spark, sf):
 
 @query("drift_snapshot", "T-1", sql(["mets"], "SELECT * FROM mets"))
 def drift_snapshot(spark, sf):
-    f = facts(spark, sf)
+    f = stored(spark, sf)
     return drift.metrics(f, rules.findings(f))
 
 
@@ -579,7 +584,7 @@ def category_snapshot(spark, sf):
 
 @query("metric_drift", "T-4", sql(["mcmp"], "SELECT * FROM mcmp"))
 def metric_drift(spark, sf):
-    f = facts(spark, sf)
+    f = stored(spark, sf)
     return drift.compare_metrics(stage(drift.metrics(f, rules.findings(f))), drift.capture_pairs(captures(spark, sf)))
 
 
@@ -615,7 +620,7 @@ SELECT *, CASE WHEN regressions = 0 AND improvements = 0 AND neutral_changes = 0
     ).replace(" , k AS", ", k AS"),
 )
 def drift_timeline(spark, sf):
-    f = facts(spark, sf)
+    f = stored(spark, sf)
     return drift.timeline(f, staged_findings(f), captures(spark, sf))
 
 
@@ -673,13 +678,13 @@ UNION ALL SELECT capture_id, 'server:' || server, node_id, 'negotiates', count(*
     ).replace(" , c AS", ", c AS"),
 )
 def graph_edges(spark, sf):
-    f = facts(spark, sf)
+    f = stored(spark, sf)
     return graph.edges(f, graph.finding_scope(staged_findings(f), f)).select("capture_id", "source", "target", "type", "weight", "cleartext")
 
 
 @query("finding_scope", "H-5", sql(["scope"], "SELECT * FROM scope"))
 def finding_scope(spark, sf):
-    f = facts(spark, sf)
+    f = stored(spark, sf)
     return graph.finding_scope(staged_findings(f), f)
 
 
@@ -688,14 +693,14 @@ _SRV_RISK = """SELECT capture_id, server, min(severity_rank) AS risk_rank, strin
 
 @query("server_risk", "H-6", sql(["scope", "rule"], f"SELECT capture_id, server, ['critical','high','medium','low','info'][risk_rank + 1] AS risk, weaknesses FROM ({_SRV_RISK}) x"))
 def server_risk(spark, sf):
-    f = facts(spark, sf)
+    f = stored(spark, sf)
     n = staged_findings(f)
     return graph.server_risk(graph.finding_scope(n, f), graph.weaknesses(n)).select("capture_id", "server", "risk", text("weaknesses").alias("weaknesses"))
 
 
 @query("blast_radius", "H-7", sql(["frad"], "SELECT * FROM frad"))
 def blast_radius(spark, sf):
-    f = facts(spark, sf)
+    f = stored(spark, sf)
     return graph.finding_radius(staged_findings(f), f)
 
 
@@ -726,7 +731,7 @@ FROM (SELECT capture_id, server, count(*) AS sessions, count(*) FILTER (is_clear
     ),
 )
 def critical_servers(spark, sf):
-    f = facts(spark, sf)
+    f = stored(spark, sf)
     n = staged_findings(f)
     out = graph.rank_servers(f, graph.finding_scope(n, f), graph.weaknesses(n)).orderBy("capture_id", "risk_rank", F.desc("clients"), F.desc("sessions"))
     return out.select("capture_id", "server", "clients", "sessions", "cleartext", "risk", text("weaknesses").alias("weaknesses"))
@@ -734,7 +739,7 @@ def critical_servers(spark, sf):
 
 # ---- ranking ---------------------------------------------------------------------------------------------------
 def prioritised(spark, sf):
-    f = facts(spark, sf)
+    f = stored(spark, sf)
     n = staged_findings(f)
     return ranking.prioritise(n, f, graph.finding_radius(n, f))
 
@@ -780,7 +785,7 @@ _EXPLAIN = """SELECT n.capture_id, 'F-' || lpad(CAST(finding_no AS VARCHAR), 4,
     ),
 )
 def finding_facts(spark, sf):
-    f = facts(spark, sf)
+    f = stored(spark, sf)
     return ranking.explain(rules.number(rules.findings(f)), f)
 
 
@@ -809,7 +814,7 @@ _SCEN = """, ind AS (SELECT * FROM (VALUES ('strip_and_harvest',1,0.9::DOUBLE,tr
     ).replace(" , ind AS", ", ind AS"),
 )
 def interception_scenarios(spark, sf):
-    f = facts(spark, sf)
+    f = stored(spark, sf)
     out = ranking.scenarios(staged_findings(f), f)
     return out.select("capture_id", "scenario", F.col("indicators").cast("bigint").alias("indicators"), "likelihood", "sessions", "exposure_pct", "score", "level")
 
@@ -919,7 +924,7 @@ LEFT JOIN (SELECT capture_id, server, count(DISTINCT finding_no) AS n, min(sever
     ),
 )
 def server_inventory(spark, sf):
-    f = facts(spark, sf)
+    f = stored(spark, sf)
     n = staged_findings(f)
     out = browse.server_inventory(f, n, graph.finding_scope(n, f), baseline.software_by_server(f))
     return out.select("capture_id", "server", "sessions", text("versions").alias("versions"), "findings", "worst")
@@ -963,7 +968,7 @@ LEFT JOIN (SELECT capture_id, server, count(*) FILTER (severity <> 'INFO') AS no
     ),
 )
 def grade_controls(spark, sf):
-    f = facts(spark, sf).withColumn("server", server_key())
+    f = stored(spark, sf).withColumn("server", server_key())
     clean = F.col("encryption_state").isin(*dims.PROTECTED) & F.coalesce(F.col("tls_version") == "TLS 1.3", F.lit(False))
     label = F.when(F.bool_and(clean), F.lit("secure")).when(F.bool_or("is_indeterminate"), F.lit("incomplete_evidence")).otherwise(F.lit("mixed"))
     labels = f.groupBy("capture_id", "server").agg(label.alias("label"))
@@ -980,7 +985,7 @@ SELECT e.capture_id, e.category, e.n AS expected, coalesce(a.n, 0) AS actual, co
     ).replace(" , e AS", ", e AS"),
 )
 def grade_findings(spark, sf):
-    f = facts(spark, sf)
+    f = stored(spark, sf)
     want = F.array_compact(
         F.array(
             F.when(F.col("encryption_state") == "PLAINTEXT_AFTER_FAILURE", F.struct(F.lit("starttls_downgrade_fallback").alias("category"), F.array("at_rejected").alias("frames"))),
@@ -993,7 +998,7 @@ def grade_findings(spark, sf):
 
 # ---- documents -----------------------------------------------------------------------------------------------------
 def _ranked(spark, sf):
-    f = facts(spark, sf)
+    f = stored(spark, sf)
     n = staged_findings(f)
     blast = stage(graph.finding_radius(n, f))
     return f, n, blast, stage(report.rank_all(f, n, blast))

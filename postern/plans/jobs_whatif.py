@@ -19,7 +19,8 @@ ALL_FIXES = list(dims.FIX_ORDER)
 
 
 def facts(spark, sf):
-    return crypto.decorate(view(spark, sf, "sess"))
+    """Decorated sessions, written once: projections read them in several branches."""
+    return stage(crypto.decorate(view(spark, sf, "sess")))
 
 
 def projected(spark, sf, fixes=ALL_FIXES):
@@ -177,13 +178,13 @@ def normalised_fixes(spark, sf):
 
 @query("remediation_plan", "W-9")
 def remediation_plan(spark, sf):
-    f = stage(facts(spark, sf))
+    f = facts(spark, sf)
     return whatif.plan(f, stage(rules.findings(f)))
 
 
 @query("minimal_fix_sets", "W-10")
 def minimal_fix_sets(spark, sf):
-    f = stage(facts(spark, sf))
+    f = facts(spark, sf)
     return whatif.minimal_fixes(f, stage(rules.findings(f)), "cleartext_credential_exposure").withColumn("fixes", text("fixes"))
 
 
