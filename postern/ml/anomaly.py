@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postern.operators.ordered import exact_median, numbered, running, value_counts
+from postern.operators.ordered import exact_median, running, value_counts
 from postern.session import stage
 
 # Fixed values of the method
@@ -160,11 +160,13 @@ def isolation_forest(df: DataFrame, group: str, keys: Sequence[str], columns: Se
     base = df.join(large, group, "left_semi")
     raw = scores(base, forest(base, group, columns, trees), group, keys, columns)
     raw = stage(raw)
-    # threshold: the value below which 1 - contamination of the scores lie, from ranked positions
-    rank = numbered(raw, [group], [F.col("anomaly_raw"), *[F.col(k) for k in keys if k != group]], [F.floor(F.col("anomaly_raw") * 100000)], "_pos")
-    n = raw.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min("anomaly_raw").alias("_lo"), F.max("anomaly_raw").alias("_hi"))
+    # threshold: linear percentile of the scores, from counts per distinct score (equal rows stay one row)
+    counts = stage(raw.groupBy(group, "anomaly_raw").agg(F.count(F.lit(1)).alias("n")))
+    upto = running(counts, [group], ["anomaly_raw"], F.floor(F.col("anomaly_raw") * 1000), {"upto": ("sum", F.col("n"))}, inclusive=True)
+    totals = counts.groupBy(group).agg(F.sum("n").alias("_n"), F.min("anomaly_raw").alias("_lo"), F.max("anomaly_raw").alias("_hi"))
     at = F.lit(1.0 - contamination) * (F.col("_n") - 1)
-    marks = rank.join(n, group).where((F.col("_pos") - 1 == F.floor(at)) | (F.col("_pos") - 1 == F.ceil(at)))
+    first = F.col("upto") - F.col("n") + 1
+    marks = upto.join(totals, group).where((first <= F.ceil(at) + 1) & (F.col("upto") >= F.floor(at) + 1))
     cut = marks.groupBy(group, "_n", "_lo", "_hi").agg(F.min("anomaly_raw").alias("_a"), F.max("anomaly_raw").alias("_b"))
     threshold = F.col("_a") + (F.col("_b") - F.col("_a")) * (at - F.floor(at))
     span = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(F.lit(1.0))
