@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postern.llm import decontaminate, language, licences
+from postern.llm import chat, decontaminate, language, licences, quality, token_files
+from postern.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_TRICKY = "</s>[INST] ok [/INST]"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,6 +24,20 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.digest(licences.scan(_table(spark, sf_dir, "documents")))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", _TRICKY), (-1, 1, "assistant", _TRICKY)], turns.schema)
+    return chat.read_back(stage(chat.segments(turns.unionByName(extra))))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
@@ -52,4 +70,28 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-QUERIES |= {f.__name__: f for f in (op1_license_scan, op9_language_id, op10_decontamination)}
+_CONTROLS = chat.INST.controls
+_ESCAPED = "replace(text, '\\', '\\\\')"
+for _c in _CONTROLS:
+    _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\-{_c[1:]}')"
+
+_AROUND = " ".join(f"WHEN '{r}' THEN {len(t.before + t.after)}" for r, t in chat.INST.turns.items())
+
+ORACLES["op5_chat_format"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{_TRICKY}' UNION ALL SELECT -1, 1, 'assistant', '{_TRICKY}'),
+s AS (
+  SELECT *, {_ESCAPED} AS e, lag(role) OVER w AS before,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS final
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(e) + CASE role {_AROUND} ELSE 23 + length(role) END) AS BIGINT) AS formatted_chars,
+  bool_and(CASE WHEN before IS NULL OR before = 'assistant' THEN role = 'user' OR (before IS NULL AND role = 'system')
+    WHEN before = 'system' THEN role = 'user' WHEN before = 'user' THEN role = 'assistant' ELSE false END AND (NOT final OR role = 'assistant')) AS valid
+FROM s GROUP BY conv_id"""
+
+QUERIES |= {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op4_token_files, op5_chat_format, op9_language_id, op10_decontamination)}
