@@ -58,7 +58,7 @@ def per_document(
             for lo, hi in slices(blobs, limit):
                 made = kernel(blobs[lo:hi])
                 columns = [batch.column(j).slice(lo, hi - lo) for j in range(k)]
-                columns += [pa.array(c, type=arrow.field(k + j).type) for j, c in enumerate(made)]
+                columns += [c if isinstance(c, pa.Array) else pa.array(c, type=arrow.field(k + j).type) for j, c in enumerate(made)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return docs.select(*[docs[c] for c in keep], docs[text]).mapInArrow(run, out)
@@ -141,3 +141,31 @@ def split_at(values: Sequence, counts: np.ndarray) -> list:
     """Cut a flat sequence into runs of the given lengths."""
     ends = np.cumsum(counts)
     return [values[e - c : e] for e, c in zip(ends.tolist(), counts.tolist())]
+
+
+def lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    """A list for each document, from flat values and the number of each document's."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), values)
+
+
+def distinct_by_owner(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, hash) pairs in that order, and how often each occurs."""
+    order = np.lexsort((h, owner))
+    o, v = owner[order], h[order]
+    new = np.r_[True, (o[1:] != o[:-1]) | (v[1:] != v[:-1])] if len(o) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    return o[first], v[first], np.diff(np.r_[first, len(o)])
+
+
+def sliding(h: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
+    """Minimum or maximum of each n consecutive entries, by doubling."""
+    if len(h) < n:
+        return h[:0]
+    width = 1
+    while width * 2 <= n:
+        h = pick(h[: len(h) - width], h[width:])
+        width *= 2
+    if width == n:
+        return h
+    m = len(h) - (n - width)
+    return pick(h[:m], h[n - width :])

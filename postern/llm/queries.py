@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postern.llm import chat, decontaminate, language, licences, quality, token_files
+from postern.llm import chat, decontaminate, language, licences, quality, substrings, token_files
 from postern.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(stage(chat.segments(turns.unionByName(extra))))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.dedup(_table(spark, sf_dir, "documents")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,21 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
+_SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES["op7_substring_dedup"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SPACE_WORDS} AS w FROM documents),
+win AS (
+  SELECT r, i, md5(array_to_string(w[i : i + 34], ' ')) AS s
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+again AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM win SEMI JOIN again USING (s)),
+word AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
 _CONTROLS = chat.INST.controls
 _ESCAPED = "replace(text, '\\', '\\\\')"
 for _c in _CONTROLS:
@@ -94,4 +113,4 @@ SELECT conv_id, count(*) AS n_turns,
     WHEN before = 'system' THEN role = 'user' WHEN before = 'user' THEN role = 'assistant' ELSE false END AND (NOT final OR role = 'assistant')) AS valid
 FROM s GROUP BY conv_id"""
 
-QUERIES |= {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op4_token_files, op5_chat_format, op9_language_id, op10_decontamination)}
+QUERIES |= {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op4_token_files, op5_chat_format, op7_substring_dedup, op9_language_id, op10_decontamination)}
