@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postern.llm import chat, decontaminate, language, licences, quality, substrings, token_files
+from postern.llm import chat, decontaminate, language, licences, ngram_join, quality, substrings, token_files
 from postern.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_groups(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,21 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 _SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_LOWER_SPACE_WORDS = _SPACE_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+ORACLES["op3_ngram_join"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_LOWER_SPACE_WORDS} AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(4, len(w)) - 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT x, y FROM common JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, m AS component_id
+FROM documents LEFT JOIN size USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS m FROM reach GROUP BY x) USING (doc_id)"""
+
 ORACLES["op7_substring_dedup"] = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SPACE_WORDS} AS w FROM documents),
 win AS (
@@ -113,4 +132,4 @@ SELECT conv_id, count(*) AS n_turns,
     WHEN before = 'system' THEN role = 'user' WHEN before = 'user' THEN role = 'assistant' ELSE false END AND (NOT final OR role = 'assistant')) AS valid
 FROM s GROUP BY conv_id"""
 
-QUERIES |= {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op4_token_files, op5_chat_format, op7_substring_dedup, op9_language_id, op10_decontamination)}
+QUERIES |= {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_ngram_join, op4_token_files, op5_chat_format, op7_substring_dedup, op9_language_id, op10_decontamination)}
