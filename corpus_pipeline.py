@@ -1,8 +1,68 @@
-"""A corpus pipeline over `documents`; its stages follow."""
+"""A corpus pipeline over `documents`: what each stage keeps is the next one's input.
 
-STAGES = []
+Decisions are by doc_id: rows of one doc_id stand or fall together in the second and third stage. Rows without a
+doc_id are never taken for copies. Texts are redacted before they are encoded.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postern.llm import decontaminate, ngram_join, pieces, pii, quality
+from postern.session import stage
+
+#: Near copies: five-word shingles, similarity of 0.8 or more.
+NGRAM, PERCENT = 5, 80
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the hard rules and lie near a language reference learned from these documents."""
+    return quality.filtered(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents: the one with the smallest doc_id."""
+    groups = ngram_join.link_groups(docs.select("doc_id", "text"), n=NGRAM, percent=PERCENT)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    rows, hits = decontaminate.hits(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = rows.join(hits.select("_row").distinct(), "_row", "left_semi").select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_hit"]), "left_anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each personal span replaced by its kind; n_chars follows the new text."""
+    found = pii.find(docs, pii.train(docs.select("doc_id", "text")))
+    return found.withColumn("text", pii.redacted()).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of every document."""
+    return pieces.encode(docs.select("doc_id", "text")).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", near_copies),
+    ("benchmark_decontamination", benchmark_free),
+    ("personal_data", personal_data),
+    ("sentencepiece", token_ids),
+]
+
+#: Trained and language-model stages have no SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stage(docs)
+    return docs

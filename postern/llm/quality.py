@@ -16,7 +16,7 @@ rules judge; rows repeating a doc_id are each judged; texts count whole; only th
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import count, repeat
 
@@ -194,24 +194,40 @@ FIELDS = [
 ]
 
 
-def judge(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang", refs: dict | None = None) -> DataFrame:
-    """The `keep` columns, the counts, base_failed, kept, and the nearest reference with both distances."""
-    refs = references(docs, text, lang) if refs is None else refs
+def _kernel(refs: dict) -> Callable[[list[bytes | None]], list]:
+    names = list(refs) or [None]
 
     def kernel(blobs: list[bytes | None]) -> list:
         m = measure(blobs)
         failed = (m.n_words < MIN_WORDS) | (100 * m.n_repeat_words > REPEAT_PERCENT * m.n_words)
         sizes = np.stack([m.classes.sum(1), m.common.sum(1)])
-        far = np.zeros((max(1, len(refs)), 2, len(blobs)))
+        far = np.zeros((len(names), 2, len(blobs)))
         for i, (classes, common) in enumerate(refs.values()):
             far[i] = distance(m.classes, classes), distance(m.common, common)
         allowed = np.array(ALLOWED)[:, None] + np.array(WIDEN)[:, None] / np.sqrt(np.maximum(1, sizes))
-        over = far / allowed[None]
-        best = over.max(1).argmin(0)
+        best = (far / allowed).max(1).argmin(0)
         mine = far[best, :, np.arange(len(blobs))]
         judged = sizes >= np.array(LEAST)[:, None]
         bad = (judged & (mine.T > allowed)).any(0)
-        names = list(refs) or [None]
         return [m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, failed, ~failed & ~bad, [names[b] for b in best], mine[:, 0], mine[:, 1]]
 
-    return per_document(docs, keep, text, kernel, FIELDS)
+    return kernel
+
+
+def judge(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang", refs: dict | None = None) -> DataFrame:
+    """The `keep` columns, the counts, base_failed, kept, and the nearest reference with both distances."""
+    return per_document(docs, keep, text, _kernel(references(docs, text, lang) if refs is None else refs), FIELDS)
+
+
+def filtered(docs: DataFrame, text: str = "text", lang: str = "lang", refs: dict | None = None) -> DataFrame:
+    """The rows of `docs` that `judge` keeps, with all their columns."""
+    kernel, at = _kernel(references(docs, text, lang) if refs is None else refs), docs.columns.index(text)
+    verdict = [f.name for f in FIELDS].index("kept")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = batch.column(at).cast(pa.binary()).to_pylist()
+            for lo, hi in slices(blobs):
+                yield batch.slice(lo, hi - lo).filter(pa.array(kernel(blobs[lo:hi])[verdict]))
+
+    return docs.mapInArrow(run, docs.schema)

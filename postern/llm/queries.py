@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postern.llm import chat, decontaminate, language, licences, ngram_join, pii, quality, substrings, token_files
+from postern.llm import chat, decontaminate, language, licences, ngram_join, pieces, pii, quality, substrings, token_files
 from postern.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(stage(chat.segments(turns.unionByName(extra))))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(pieces.encode(_table(spark, sf_dir, "documents")))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.dedup(_table(spark, sf_dir, "documents")))
 
@@ -137,4 +141,4 @@ SELECT conv_id, count(*) AS n_turns,
     WHEN before = 'system' THEN role = 'user' WHEN before = 'user' THEN role = 'assistant' ELSE false END AND (NOT final OR role = 'assistant')) AS valid
 FROM s GROUP BY conv_id"""
 
-QUERIES |= {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_ngram_join, op4_token_files, op5_chat_format, op7_substring_dedup, op8_personal_data, op9_language_id, op10_decontamination)}
+QUERIES |= {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_ngram_join, op4_token_files, op5_chat_format, op6_sentencepiece, op7_substring_dedup, op8_personal_data, op9_language_id, op10_decontamination)}
