@@ -11,6 +11,7 @@ A document's set holds its distinct word n-grams. Two sets link when 100 * |inte
 4. Pairs, without all pairs of a group: each token's classes first meet only its centre, the class in which it stands
    earliest (fewest n-grams of its own). Then components are taken, and only classes that share a token but lie in
    different components still meet. Links inside a component can't change the result, so nothing is lost.
+   Of consecutive common tokens a pair meets on the first alone.
 5. Filters per pair, on its first common token: length, position (what can still follow in either set), and suffix
    (sets cut into `CELLS` cells by hash: the differences of the cells' sizes bound the sets' difference from below).
 6. Each remaining pair is verified once, on the two texts.
@@ -28,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
 
@@ -168,7 +169,9 @@ def link_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
 
     tokens = classes.select("node", "size", F.posexplode("prefix").alias("at", "token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "node", "size")).alias("centre")).where("n > 1").drop("n")
-    shared = stage(tokens.join(shared, "token"))
+    # `known`: earlier tokens of the class that any other class has; `previous`: the last of them.
+    along = Window.partitionBy("node", "size").orderBy("at")
+    shared = stage(tokens.join(shared, "token").withColumns({"known": F.row_number().over(along) - 1, "previous": F.lag("token").over(along)}))
     y = F.col("centre")
     star = shared.where(F.col("node") != y["node"]).select(
         F.col("node").alias("x"), y["node"].alias("y"), F.col("size").alias("x_size"), y["size"].alias("y_size"), F.col("at").alias("x_at"), y["at"].alias("y_at")
@@ -181,16 +184,19 @@ def link_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     links = stage(verify(first, docs, doc_id, text, n, percent).unionByName(tied))
     roots = stage(components(links))
 
-    placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("token", "node", "size", "at", "root")
+    placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("centre")
     mixed = placed.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
     open_rows = stage(placed.join(mixed, "token", "left_semi"))
     major = open_rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("major"))
     open_rows = open_rows.join(major, "token")
-    minor = open_rows.where("root <> major").select("token", F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("at").alias("x_at"), F.col("root").alias("x_root"))
-    other = open_rows.select("token", F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("at").alias("y_at"), F.col("root").alias("y_root"), (F.col("root") == F.col("major")).alias("in_major"))
-    rest = 1 + F.least("x_at", "y_at") + F.least(F.col("x_size") - F.col("x_at") - 1, F.col("y_size") - F.col("y_at") - 1)
+    side = lambda rows, s: rows.select("token", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("size", "at", "known", "previous", "root")], (F.col("root") == F.col("major")).alias(f"{s}_in_major"))
+    # What can be common before this token is known to another class, and what can follow is left in both.
+    rest = 1 + F.least("x_known", "y_known") + F.least(F.col("x_size") - F.col("x_at") - 1, F.col("y_size") - F.col("y_at") - 1)
     fits = (100 * F.least("x_size", "y_size") >= percent * F.greatest("x_size", "y_size")) & (rest >= _least_overlap(percent))
-    met = minor.join(other, "token").where((F.col("x_root") != F.col("y_root")) & (F.col("in_major") | (F.col("x") < F.col("y"))) & fits)
+    # Where the tokens before are equal, the pair has met on those.
+    fresh = ~F.col("x_previous").eqNullSafe(F.col("y_previous")) | F.col("x_previous").isNull()
+    once = F.col("y_in_major") | (F.col("x") < F.col("y"))
+    met = side(open_rows.where("root <> major"), "x").join(side(open_rows, "y"), "token").where((F.col("x_root") != F.col("y_root")) & once & fits & fresh)
     later = _suffix_filter(_candidates(met, percent), classes, percent)
     done = first.unionByName(first.select(F.col("y").alias("x"), F.col("x").alias("y")))
     more = verify(later.join(done, ["x", "y"], "left_anti"), docs, doc_id, text, n, percent)
