@@ -45,10 +45,11 @@ def default_tokenizer() -> str:
 
 
 class UnitEncoder:
-    """Ids of texts as bytes, a unit encoded once."""
+    """Ids of texts as bytes, a unit encoded once. Two generations of units are kept, so frequent ones stay."""
 
-    #: Units remembered, and new units encoded in one call.
-    LIMIT, CALL = 400_000, 4_000
+    #: Units of a generation, and new units encoded in one call.
+    LIMIT, CALL = 600_000, 4_000
+    MARKS = ".,;:!?"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,7 +59,9 @@ class UnitEncoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.line = self._ids("\n")
+        self.mark = {m: self.pack(self._ids(m)) for m in self.MARKS}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -66,22 +69,38 @@ class UnitEncoder:
     def pack(self, ids: list[int] | np.ndarray) -> bytes:
         return np.asarray(ids, self.dtype).tobytes()
 
+    def _joined(self, units: list[str], prefix: str) -> list[bytes]:
+        """Units joined by line breaks, which are tokens of their own between other characters."""
+        out: list[bytes] = []
+        for at in range(0, len(units), self.CALL):
+            part = units[at : at + self.CALL]
+            ids = np.array(self._ids("\n".join(prefix + u for u in part)), self.dtype)
+            cuts = np.flatnonzero(ids == self.line[0])
+            if len(cuts) != len(part) - 1:
+                raise ValueError("a line break is not a token of its own in this tokenizer")
+            edges = [0, *(cuts + 1).tolist(), len(ids) + 1]
+            out += [ids[a : b - 1].tobytes() for a, b in zip(edges, edges[1:])]
+        return out
+
     def _learn(self, units: list[str]) -> None:
-        """Encode units joined by line breaks, which are tokens of their own between other characters."""
-        line = self.line[0]
-        for prefix, lead, group in ((" ", b"", [u for u in units if u[0] != "\n"]), ("", self.pack(self.line), [u for u in units if u[0] == "\n"])):
-            for at in range(0, len(group), self.CALL):
-                part = group[at : at + self.CALL]
-                ids = np.array(self._ids("\n".join(prefix + u.lstrip("\n") for u in part)), self.dtype)
-                cuts = np.flatnonzero(ids == line)
-                if len(cuts) != len(part) - 1:
-                    raise ValueError("a line break is not a token of its own in this tokenizer")
-                for unit, own in zip(part, np.split(ids, cuts)):
-                    self.known[unit] = lead + (own[1:] if len(own) and own[0] == line else own).tobytes()
+        """Remember the ids of units; one that is letters and a mark is put together from both, which are cut anyway."""
+        body = {u: u[:-1] for u in units if u[-1] in self.mark and u[:-1].isalpha()}
+        new = []
+        for u in {body.get(u, u) for u in units}.difference(self.known):
+            if (ids := self.older.get(u)) is not None:
+                self.known[u] = ids
+            else:
+                new.append(u)
+        plain, lines = [u for u in new if u[0] != "\n"], [u for u in new if u[0] == "\n"]
+        self.known |= zip(plain, self._joined(plain, " "))
+        lead = self.pack(self.line)
+        self.known |= zip(lines, [lead + ids for ids in self._joined([u[1:] for u in lines], "")])
+        for u, b in body.items():
+            self.known[u] = self.known[b] + self.mark[u[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.LIMIT:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         plain, heads = [], []
         for text in texts:
             whole = not text or len(self.line) != 1 or text[0].isspace() or text[-1].isspace() or _PAIR.search(text)
@@ -92,7 +111,7 @@ class UnitEncoder:
         found = [list(map(get, units)) for units in plain]
         missed = [i for i, own in enumerate(found) if None in own]
         if missed:
-            self._learn(sorted({u for i in missed for u, x in zip(plain[i], found[i]) if x is None}))
+            self._learn([*{u for i in missed for u, x in zip(plain[i], found[i]) if x is None}])
             for i in missed:
                 found[i] = map(get, plain[i])
         first = self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)
