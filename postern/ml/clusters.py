@@ -45,15 +45,15 @@ def _neighbours(points: DataFrame, columns: Sequence[str], eps: float, grid: Seq
     return pairs.where((F.col("pid") < F.col("other")) & (d2 <= F.lit(eps * eps))).select("pid", "other")
 
 
-def components(points: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(points: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components by spreading the smallest label along edges, with label shortcuts.
 
     Every round is checkpointed. Distinct stacks are few and shortcuts halve the remaining distance, so
-    rounds grow with the logarithm of the longest chain; not converging is an error, never a cut result.
+    rounds grow with the logarithm of the longest chain. It ends when no label moves.
     """
     both = cut_lineage(edges.select("pid", "other").unionByName(edges.select(F.col("other").alias("pid"), F.col("pid").alias("other"))))
     labels = cut_lineage(points.select("pid", F.col("pid").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.select(F.col("pid").alias("other"), F.col("label").alias("near")), "other").groupBy("pid").agg(F.min("near").alias("near"))
         spread = labels.join(near, "pid", "left").select("pid", "label", F.least("label", "near").alias("better"))
         up = spread.select(F.col("pid").alias("better"), F.col("better").alias("jump"))
@@ -62,7 +62,6 @@ def components(points: DataFrame, edges: DataFrame, max_rounds: int = 50) -> Dat
         labels = new.select("pid", F.col("next").alias("label"))
         if moved:
             return labels
-    raise RuntimeError("components did not converge; raise max_rounds")
 
 
 def cluster_clients(df: DataFrame, keys: Sequence[str], columns: Sequence[str], eps: float = EPS, grid: Sequence[str] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postern.functions.text import from_base64, is_mangled, secret_evidence
-from postern.operators.ordered import ROWS_PER_TASK, by_size, running
+from postern.operators.ordered import running
 from postern.session import stage
 
 FLOW = ["capture_id", "flow"]
@@ -42,20 +42,14 @@ def tag_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def with_context(lines: DataFrame, limit: int = ROWS_PER_TASK) -> DataFrame:
-    """Tagged lines plus the dialogue context each one is read in."""
-    return by_size(lines, FLOW, _with_context, limit)
-
-
-def _with_context(lines: DataFrame, blocked: bool) -> DataFrame:
+def with_context(lines: DataFrame) -> DataFrame:
+    """Tagged lines plus the dialogue context each one is read in, by blocks of frames for every flow."""
     c = F.col
     order = ["frame", "side", "line_offset"]
-    block = "blk" if blocked else None
 
     def look_back(t: DataFrame, aggs: dict, keys: list[str] = FLOW) -> DataFrame:
-        """Running values; the blocked way reads its input twice, so it is written in between."""
-        out = running(t, keys, order, block, aggs)
-        return stage(out) if blocked else out
+        """Running values; the input is read twice, so it is written in between."""
+        return stage(running(t, keys, order, "blk", aggs))
 
     s2c, smtp, imap, pop = c("from_server"), c("protocol") == "SMTP", c("protocol") == "IMAP", c("protocol") == "POP3"
     greet_like = s2c & (
@@ -69,7 +63,7 @@ def _with_context(lines: DataFrame, blocked: bool) -> DataFrame:
     login = smtp & ~s2c & c("up").rlike(r"^AUTH +LOGIN\b")
     prompt = smtp & s2c & c("up").startswith("334")
     keyword = smtp & ~s2c & _starts(c("up"), "EHLO", "HELO", "STARTTLS", "AUTH ")
-    prompt_kind = F.when(F.trim(F.substring("text", 5, 1000)) == "VXNlcm5hbWU6", F.lit("username")).otherwise(F.lit("password"))
+    prompt_kind = F.when(F.trim(F.substr("text", F.lit(5))) == "VXNlcm5hbWU6", F.lit("username")).otherwise(F.lit("password"))
     t = t.withColumns({"k_accept": accept, "k_refuse": refuse, "k_authenticate": imap & ~s2c & (c("verb") == "AUTHENTICATE")})
     t = look_back(
         t,
@@ -89,7 +83,7 @@ def _with_context(lines: DataFrame, blocked: bool) -> DataFrame:
                 .when(smtp & ~s2c & ~keyword, F.struct("pos", F.lit("").alias("field"))),
             ),
             # last POP3 account name
-            "last_user": ("max", F.when(pop & ~s2c & c("up").startswith("USER "), F.struct("pos", F.trim(F.substring("text", 6, 100000)).alias("user")))),
+            "last_user": ("max", F.when(pop & ~s2c & c("up").startswith("USER "), F.struct("pos", F.trim(F.substr("text", F.lit(6))).alias("user")))),
             "clients_before": ("sum", (~s2c).cast("bigint")),
         },
     )
@@ -169,13 +163,13 @@ def events(lines: DataFrame) -> DataFrame:
     imap_cli: list[Column] = []
     pop_srv: list[Column] = []
     pop_cli: list[Column] = []
-    banner = F.when(pop, F.trim(F.substring("text", 4, 100000))).otherwise(F.trim(F.substring("text", 5, 100000)))
+    banner = F.when(pop, F.trim(F.substr("text", F.lit(4)))).otherwise(F.trim(F.substr("text", F.lit(5))))
     for rules in (smtp_srv, imap_srv, pop_srv):
         rules.append(_event(greeting, "greeting", banner))
     # --- SMTP, server side
     srv = smtp & s2c & ~greeting
     offers = up.rlike(r"^250[- ]STARTTLS\s*$")
-    token = F.substring("text", 5, 100000)
+    token = F.substr("text", F.lit(5))
     mangled = up.rlike("^250[- ]") & is_mangled(token)
     auth_cap = up.rlike(r"^250[- ]AUTH\s+.+$")
     smtp_srv.append(_event(srv & offers, "upgrade_advertised"))
@@ -193,7 +187,7 @@ def events(lines: DataFrame) -> DataFrame:
     mechanism = F.upper(F.coalesce(F.get(words, F.lit(1)), F.lit("UNKNOWN")))
     plain = from_base64(F.get(words, F.lit(2)))
     plain_parts = F.split(plain, "\u0000")
-    smtp_cli.append(_event(cli & hello, "capability_request", F.trim(F.substring("text", 6, 100000))))
+    smtp_cli.append(_event(cli & hello, "capability_request", F.trim(F.substr("text", F.lit(6)))))
     smtp_cli.append(_event(cli & ~hello & starts, "upgrade_requested"))
     smtp_cli.append(_event(cli & ~hello & ~starts & auth, "auth_requested", F.concat(F.lit("AUTH "), mechanism)))
     smtp_cli.append(
@@ -255,7 +249,7 @@ def events(lines: DataFrame) -> DataFrame:
     pop_cli.append(_event(pcl & capa, "capability_request"))
     pop_cli.append(_event(pcl & ~capa & stls, "upgrade_requested"))
     pop_cli.append(_event(pcl & up.startswith("USER "), "auth_requested", F.lit("USER")))
-    pw = F.trim(F.substring("text", 6, 100000))
+    pw = F.trim(F.substr("text", F.lit(6)))
     pop_cli.append(_event(pcl & up.startswith("PASS "), "auth_credential", F.lit("POP3 PASS credential"), secret_evidence(F.lit("POP3 USER/PASS"), c("last_user.user"), pw)))
     pop_cli.append(_event(pcl & _starts(up, "STAT", "LIST", "RETR", "UIDL", "TOP "), "mailbox_access", F.get(words, F.lit(0))))
     pop_cli.append(_event(pcl & up.startswith("QUIT"), "session_end", F.lit("QUIT")))

@@ -1,23 +1,17 @@
 """Ordered computations that stay bounded when one key holds most of the rows.
 
-A plain window `partitionBy(key).orderBy(x)` puts a whole key into one task. For keys too large for
-that, rows fall into ordered *blocks* of the key, each block is windowed on its own, and the block
-totals (few rows) carry the state from one block to the next. The results are those of the plain
-window. `by_size` counts the keys first and sends only the oversized ones down the blocked way, so
-ordinary keys cost one shuffle and one sort.
+A plain window `partitionBy(key).orderBy(x)` puts a whole key into one task. Here the rows of every key
+fall into ordered *blocks*, each block is windowed on its own, and the block totals (few rows) carry the
+state from one block to the next. The results are those of the plain window, at every size by one path.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postern.session import stage
-
-ROWS_PER_TASK = 2_000_000
-
 _AGG = {"max": F.max, "sum": F.sum, "min": F.min}
 
 
@@ -61,21 +55,6 @@ def running(
     return out.drop(*drop)
 
 
-def by_size(
-    df: DataFrame, keys: Sequence[str], job: Callable[[DataFrame, bool], DataFrame], limit: int = ROWS_PER_TASK
-) -> DataFrame:
-    """`job(rows, blocked)` over all rows: plain for keys of at most `limit` rows, blocked for the rest.
-
-    The check is a count per key over the key columns alone. Oversized rows are written once, because
-    the blocked way reads them several times.
-    """
-    keys = list(keys)
-    large = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(*keys))
-    if large.isEmpty():
-        return job(df, False)
-    return job(df.join(large, keys, "left_anti"), False).unionByName(job(stage(df.join(large, keys, "left_semi")), True))
-
-
 def numbered(
     df: DataFrame,
     keys: Sequence[str],

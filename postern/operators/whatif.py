@@ -346,24 +346,28 @@ def plan(sessions: DataFrame, found: DataFrame) -> DataFrame:
     return steps.drop("useful").withColumnRenamed("trial", "fix_id")
 
 
-def minimal_fixes(sessions: DataFrame, found: DataFrame, category: str, limit: int = 12) -> DataFrame:
-    """Smallest fix combination clearing each finding of `category`: single fixes first, then pairs.
+def minimal_fixes(sessions: DataFrame, found: DataFrame) -> DataFrame:
+    """Smallest fix combination that clears each failed finding of a session: single fixes first, then pairs.
 
-    Every combination is a trial over the sessions of the captures concerned; all run in one job.
+    Every single fix and every pair is a trial over the sessions of the captures concerned, in one job. Of the
+    trials that clear a finding, the first in its category's order counts: fixes made for the category first.
     """
     spark = sessions.sparkSession
-    direct = [f for f, _, cats in sorted(dims.FIXES, key=lambda f: (len(f[2]), f[1])) if category in f[2]]
-    pool = direct + [f for f in dims.FIX_ORDER if f not in direct]
-    combos = ([[f] for f in pool] + [list(p) for p in combinations(pool, 2)])[: max(limit, len(pool))]
-    trials = dims.table(spark, ["trial", "fixes"], [(i, c) for i, c in enumerate(combos)])
-    wanted = found.where((F.col("category") == category) & (F.col("verdict") == "FAIL"))
+    combos = [(f,) for f in dims.FIX_ORDER] + list(combinations(dims.FIX_ORDER, 2))
+    place = []
+    for category in sorted({c for _, _, cats in dims.FIXES for c in cats}):
+        direct = [f for f, _, cats in sorted(dims.FIXES, key=lambda f: (len(f[2]), f[1])) if category in f[2]]
+        pool = direct + [f for f in dims.FIX_ORDER if f not in direct]
+        ranked = sorted(range(len(combos)), key=lambda i: (len(combos[i]), sorted(pool.index(f) for f in combos[i])))
+        place += [(category, i, rank, sorted(combos[i], key=pool.index)) for rank, i in enumerate(ranked)]
+    order = dims.table(spark, ["category", "trial", "rank", "fixes"], place)
+    wanted = found.where((F.col("verdict") == "FAIL") & F.col("session_id").isNotNull()).select(CAP, "session_id", "category").distinct()
     here = sessions.join(wanted.select(CAP).distinct(), CAP, "left_semi")
     arr = F.array(*[F.struct(F.lit(i).alias("trial"), F.array(*[F.lit(f) for f in c]).alias("fixes")) for i, c in enumerate(combos)])
     rows = here.withColumn("t", F.explode(arr)).withColumn("trial", F.col("t.trial"))
     rows = rows.withColumns({f"fx_{f}": F.array_contains("t.fixes", f) for f in dims.FIX_ORDER}).drop("t")
     after = stage(project(rows, ["trial"]))
-    left = reevaluate(after, extra_keys=["trial"]).where((F.col("category") == category) & (F.col("verdict") == "FAIL")).select("trial", CAP, "session_id").distinct()
-    every = wanted.select(CAP, "session_id").distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(len(combos) - 1))))
-    cleared = every.join(left, ["trial", CAP, "session_id"], "left_anti")
-    first = cleared.groupBy(CAP, "session_id").agg(F.min("trial").alias("trial"))
-    return first.join(F.broadcast(trials), "trial").select(CAP, "session_id", F.lit(category).alias("category"), "fixes")
+    left = reevaluate(after, extra_keys=["trial"]).where(F.col("verdict") == "FAIL").select("trial", CAP, "session_id", "category").distinct()
+    every = wanted.join(F.broadcast(order), "category")
+    cleared = every.join(left, ["trial", CAP, "session_id", "category"], "left_anti")
+    return cleared.groupBy(CAP, "session_id", "category").agg(F.min_by("fixes", "rank").alias("fixes"))

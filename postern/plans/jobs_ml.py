@@ -14,6 +14,8 @@ from postern.plans.views import load, view
 from postern.session import stage
 
 KEYS = ["capture_id", "session_id"]
+#: Length of the given vectors
+DIMENSIONS = 64
 
 
 def facts(spark, sf):
@@ -22,10 +24,10 @@ def facts(spark, sf):
 
 def vectors(spark, sf):
     e = load(spark, sf, "embeddings")
-    return e.select("vec_id", F.col("label").cast("bigint").alias("label"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"v{i}") for i in range(8)])
+    return e.select("vec_id", F.col("label").cast("bigint").alias("label"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"v{i}") for i in range(DIMENSIONS)])
 
 
-VEC = [f"v{i}" for i in range(8)]
+VEC = [f"v{i}" for i in range(DIMENSIONS)]
 _B = "CAST({c} AS INT)::DOUBLE"
 _COMMON = {
     "is_smtp": "protocol = 'SMTP'",
@@ -126,17 +128,16 @@ def _rounded(df, *cols):
 @query(
     "session_attribution",
     "M-4",
-    sql(["af"], ", lg AS (SELECT capture_id, session_id, feature, value FROM af UNPIVOT (value FOR feature IN (server_port, handshake_ms, frame_span, event_count, tls_version_rank)))" + _mad_sql("lg", "capture_id", "session_id")).replace(" , lg", ", lg"),
+    sql(["af"], f", lg AS (SELECT capture_id, session_id, feature, value FROM af UNPIVOT (value FOR feature IN ({', '.join(features.ANOMALY_FEATURES)})))" + _mad_sql("lg", "capture_id", "session_id")).replace(" , lg", ", lg"),
 )
 def session_attribution(spark, sf):
-    cols = ["server_port", "handshake_ms", "frame_span", "event_count", "tls_version_rank"]
-    return _rounded(anomaly.mad_attribution(features.anomaly_features(facts(spark, sf)), ["capture_id"], ["session_id"], cols), "capture_id", "session_id")
+    return _rounded(anomaly.mad_attribution(features.anomaly_features(facts(spark, sf)), ["capture_id"], ["session_id"], features.ANOMALY_FEATURES), "capture_id", "session_id")
 
 
 @query(
     "vector_attribution",
     "M-4",
-    "WITH lg AS (SELECT label, vec_id, 'v' || i AS feature, embedding[i + 1]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(0, 8)) AS i) x)" + _mad_sql("lg", "label", "vec_id"),
+    f"WITH lg AS (SELECT label, vec_id, 'v' || i AS feature, embedding[i + 1]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(0, {DIMENSIONS})) AS i) x)" + _mad_sql("lg", "label", "vec_id"),
 )
 def vector_attribution(spark, sf):
     return _rounded(anomaly.mad_attribution(vectors(spark, sf), ["label"], ["vec_id"], VEC), "label", "vec_id")

@@ -82,13 +82,13 @@ def candidate_flows(spark, sf):
     sql(
         ["lines"],
         """SELECT capture_id, flow AS stream, CASE WHEN t LIKE '220 %' OR t LIKE '220-%' THEN 'SMTP' WHEN t LIKE '* OK%' OR t LIKE '* PREAUTH%' THEN 'IMAP' WHEN t LIKE '+OK%' THEN 'POP3' END AS port_protocol
-FROM (SELECT capture_id, flow, arg_min(text, frame) AS t FROM lines WHERE flow % 3 = 0 GROUP BY 1, 2) x WHERE port_protocol IS NOT NULL""",
+FROM (SELECT capture_id, flow, arg_min(text, frame) AS t FROM lines GROUP BY 1, 2) x WHERE port_protocol IS NOT NULL""",
     ),
 )
 def greeting_probe(spark, sf):
     segs = view(spark, sf, "lines").select("capture_id", F.col("flow").alias("stream"), "frame", F.col("text").alias("payload"))
     fl = segs.groupBy("capture_id", "stream").agg(F.lit(1).alias("bytes_s2c"))
-    fl = fl.withColumn("is_candidate", F.lit(False)).withColumn("port_protocol", F.lit(None).cast("string")).where(F.col("stream") % 3 == 0)
+    fl = fl.withColumn("is_candidate", F.lit(False)).withColumn("port_protocol", F.lit(None).cast("string"))
     return flows.probe(fl, segs).select("capture_id", "stream", "port_protocol")
 
 
@@ -137,17 +137,18 @@ def evidence_slices(spark, sf):
     "D-6",
     sql(
         ["sess"],
-        """SELECT capture_id, session_id, CASE WHEN encryption_state = 'TRUNCATED' OR session_id % 11 <> 3 THEN protocol ELSE CASE WHEN encryption_state = 'IMPLICIT_TLS' THEN NULL ELSE protocol END END AS protocol,
- CASE WHEN encryption_state = 'IMPLICIT_TLS' THEN CASE WHEN session_id % 11 = 3 THEN 'tls_on_unknown_port' ELSE 'implicit_tls_port' END WHEN encryption_state = 'TRUNCATED' THEN 'port_only'
+        """SELECT capture_id, session_id, CASE WHEN encryption_state = 'TRUNCATED' THEN CASE session_id % 11 WHEN 3 THEN NULL WHEN 4 THEN 'SMTP' ELSE protocol END
+  WHEN encryption_state = 'IMPLICIT_TLS' AND session_id % 11 IN (3, 4) THEN NULL ELSE protocol END AS protocol,
+ CASE WHEN encryption_state = 'IMPLICIT_TLS' THEN CASE WHEN session_id % 11 IN (3, 4) THEN 'tls_on_unknown_port' ELSE 'implicit_tls_port' END
+  WHEN encryption_state = 'TRUNCATED' THEN CASE WHEN session_id % 11 = 3 THEN 'undetected' ELSE 'port_only' END
   WHEN session_id % 11 = 3 THEN 'payload_signature_nonstandard_port' WHEN session_id % 11 = 4 AND protocol <> 'SMTP' THEN 'payload_signature_port_mismatch' ELSE 'payload_signature' END AS detection_method
-FROM sess WHERE NOT (encryption_state = 'TRUNCATED' AND session_id % 11 IN (3, 4)) AND NOT (encryption_state = 'IMPLICIT_TLS' AND session_id % 11 = 4)""",
+FROM sess""",
     ),
 )
 def protocol_identity(spark, sf):
     s = view(spark, sf, "sess")
     k = F.col("session_id") % 11
-    odd = (F.col("encryption_state") == "TRUNCATED") & k.isin(3, 4) | (F.col("encryption_state") == "IMPLICIT_TLS") & (k == 4)
-    moved = s.where(~odd).withColumn("server_port", F.when(k == 3, F.lit(8025)).when(k == 4, F.lit(2525)).otherwise(F.col("server_port")))
+    moved = s.withColumn("server_port", F.when(k == 3, F.lit(8025)).when(k == 4, F.lit(2525)).otherwise(F.col("server_port")))
     first = view(spark, sf, "lines").where("dir = 's2c'").groupBy("capture_id", F.col("flow").alias("session_id")).agg(F.min_by("text", "frame").alias("opening"))
     rows = moved.drop("protocol", "detection_method").join(first, ["capture_id", "session_id"], "left").withColumn("tls_first", F.col("encryption_state") == "IMPLICIT_TLS")
     return flows.protocol_of(rows).select("capture_id", "session_id", "protocol", "detection_method")
@@ -297,14 +298,14 @@ def first_greetings(spark, sf):
 @query(
     "mangled_tokens",
     "D-4",
-    r"""WITH w AS (SELECT doc_id, string_split(text, ' ')[1] AS t0 FROM documents), t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN repeat(substr(t0, 1, 1), 7) || 'A' ELSE t0 END AS token FROM w),
+    r"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS t0 FROM documents), t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN repeat(substr(t0, 1, 1), 7) || 'A' ELSE t0 END AS token FROM w),
  c AS (SELECT doc_id, token, regexp_split_to_array(trim(token), '\s+')[1] AS word FROM t)
-SELECT doc_id, length(trim(token)) > 0 AND (regexp_matches(token, '[^\x20-\x7E\t]') OR (length(word) >= 6 AND list_max(list_transform(list_distinct(string_split(word, '')), lambda x: length(word) - length(replace(word, x, '')))) >= length(word) - 1)) AS mangled FROM c""",
+SELECT doc_id, count(*) AS tokens, count(*) FILTER (length(trim(token)) > 0 AND (regexp_matches(token, '[^\x20-\x7E\t]') OR (length(word) >= 6 AND list_max(list_transform(list_distinct(string_split(word, '')), lambda x: length(word) - length(replace(word, x, '')))) >= length(word) - 1))) AS mangled FROM c GROUP BY doc_id""",
 )
 def mangled_tokens(spark, sf):
-    first = F.get(F.split("text", " "), F.lit(0))
-    token = F.when(F.col("doc_id") % 3 == 0, F.concat(F.repeat(F.substring(first, 1, 1), 7), F.lit("A"))).otherwise(first)
-    return load(spark, sf, "documents").select("doc_id", words.is_mangled(token).alias("mangled"))
+    rows = load(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("word"))
+    token = F.when(F.col("doc_id") % 3 == 0, F.concat(F.repeat(F.substring("word", 1, 1), 7), F.lit("A"))).otherwise(F.col("word"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.count(F.when(words.is_mangled(token), 1)).alias("mangled"))
 
 
 _CRED = """SELECT capture_id, session_id AS flow, first_frame + {f} AS frame, '{m}' AS mechanism, {u} AS username_redacted, length({s}) AS credential_length, substr(sha256({s}), 1, 6) AS credential_sha256_prefix FROM sess WHERE protocol = '{p}' AND cleartext_auth AND {c}"""
@@ -817,11 +818,12 @@ def question_entities(spark, sf):
 @query(
     "document_topics",
     "M-14",
-    "SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(lower(text), 'credential|password|passwd|pwd|login|auth|username|account') THEN 'credential' END, CASE WHEN regexp_matches(lower(text), 'risky|high risk|critical risk|dangerous') THEN 'risk' END) AS topics FROM documents",
+    """SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(t, 'cert|x\\.?509|expir|self.?signed|hostname|chain|sha-?1') THEN 'certificate' END, CASE WHEN regexp_matches(t, 'cipher|cbc|rc4|3des|aead|forward secrecy|\\bfs\\b|pfs') THEN 'cipher' END, CASE WHEN regexp_matches(t, 'starttls|stls|strip|downgrade|upgrade') THEN 'starttls' END,
+  CASE WHEN regexp_matches(t, 'credential|password|passwd|pwd|login|auth|username|account') THEN 'credential' END, CASE WHEN regexp_matches(t, 'cleartext|plain.?text|unencrypted|not encrypted|in clear|no tls') THEN 'cleartext' END, CASE WHEN regexp_matches(t, 'mta.?sts|dane|dmarc|tls.?rpt|dns') THEN 'dns' END,
+  CASE WHEN regexp_matches(t, 'pqc|quantum|ml-?kem|kyber|hybrid') THEN 'pqc' END, CASE WHEN regexp_matches(t, 'risky|high risk|critical risk|dangerous') THEN 'risk' END) AS topics FROM (SELECT doc_id, lower(text) AS t FROM documents) q""",
 )
 def document_topics(spark, sf):
-    topics = words.entities(F.col("text"))["topics"]
-    return load(spark, sf, "documents").select("doc_id", text(F.filter(topics, lambda x: x.isin("credential", "risk"))).alias("topics"))
+    return load(spark, sf, "documents").select("doc_id", text(words.entities(F.col("text"))["topics"]).alias("topics"))
 
 
 @query("first_upload", "IO-2", "SELECT doc_id, sha256(text) AS sha256 FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1")

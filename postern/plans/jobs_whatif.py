@@ -185,7 +185,7 @@ def remediation_plan(spark, sf):
 @query("minimal_fix_sets", "W-10")
 def minimal_fix_sets(spark, sf):
     f = facts(spark, sf)
-    return whatif.minimal_fixes(f, stage(rules.findings(f)), "cleartext_credential_exposure").withColumn("fixes", text("fixes"))
+    return whatif.minimal_fixes(f, stage(rules.findings(f))).withColumn("fixes", text("fixes"))
 
 
 @query("evidence_gaps", "W-11", sql(["fnd"], "SELECT capture_id, category, count(*) AS findings FROM fnd WHERE category IN ('incomplete_evidence','certificate_not_observable') GROUP BY 1, 2"))

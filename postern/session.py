@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,15 +30,35 @@ def build(master: str | None = None, app: str = "postern", **extra: str) -> Spar
     return builder.getOrCreate()
 
 
+_STAGED: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a folder of its own only where none is named."""
+    """The folder the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a local session gets a folder of its own, removed at exit; a cluster is refused, since
+    its executors would write to disks that the others do not see.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="postern-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+def clear_staged(spark: SparkSession) -> int:
+    """Remove the tables this process has staged; for the end of a run, when its results are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and go on from the files.
 
@@ -46,6 +68,7 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

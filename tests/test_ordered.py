@@ -41,7 +41,7 @@ def test_hot_stream_reassembly_is_whole(spark):
     segs = [(0, "c", rng.randrange(0, 400), rng.randrange(1, 30), i) for i in range(300)] + [(1, "c", s, 10, s) for s in range(0, 60, 10)]
     df = spark.createDataFrame(segs, "flow int, dir string, seq int, len int, frame int")
     plain = reassembly.byte_ranges(df, ["flow", "dir"])
-    hot = reassembly.byte_ranges(df, ["flow", "dir"], block=32, limit=20)
+    hot = reassembly.byte_ranges(df, ["flow", "dir"], block=32)
     cols = ["flow", "seq", "len", "frame", "new_from", "new_len", "hole", "start", "stop"]
     assert rows(plain.select(*cols)) == rows(hot.select(*cols))
     # brute force over single bytes: covered bytes and the frame that carried each first
@@ -51,7 +51,7 @@ def test_hot_stream_reassembly_is_whole(spark):
     assert plain.agg(F.sum("new_len")).first()[0] == len(covered)
     offsets = spark.createDataFrame([(0, "c", o) for o in range(0, 450, 7)], "flow int, dir string, offset bigint")
     a = reassembly.frame_for(offsets, plain, ["flow", "dir"])
-    b = reassembly.frame_for(offsets, plain, ["flow", "dir"], block=64, limit=10)
+    b = reassembly.frame_for(offsets, plain, ["flow", "dir"], block=64)
     assert rows(a) == rows(b)
 
 
@@ -64,9 +64,9 @@ def test_lines_across_segments_and_terminators(spark):
         for raw in data.splitlines(keepends=True):
             want.append((off, raw.rstrip(b"\r\n").decode("utf-8", "replace")))
             off += len(raw)
-        for limit in (1000, 2):
-            got = [(r["line_offset"], r["text"]) for r in reassembly.lines(df, ["flow"], block=8, limit=limit).orderBy("line_no").collect()]
-            assert got == want, (size, limit)
+        for block in (1000, 8):
+            got = [(r["line_offset"], r["text"]) for r in reassembly.lines(df, ["flow"], block=block).orderBy("line_no").collect()]
+            assert got == want, (size, block)
 
 
 def test_dialogue_context_blocked_equals_plain(spark):
@@ -86,10 +86,10 @@ def test_dialogue_context_blocked_equals_plain(spark):
     assert [(f, k) for fl, f, k in got if fl == 1 and k.startswith("upgrade_")] == [(4, "upgrade_requested"), (6, "upgrade_accepted")]
     assert [(f, k) for fl, f, k in got if fl == 2 and k.startswith("upgrade_")] == [(4, "upgrade_advertised"), (7, "upgrade_requested"), (8, "upgrade_rejected")]
     old = dialogue.FRAMES_PER_BLOCK
+    plain = rows(dialogue.with_context(df).drop("last_prompt", "last_user"))
     try:
         dialogue.FRAMES_PER_BLOCK = 3
-        plain = rows(dialogue.with_context(df).drop("last_prompt", "last_user"))
-        hot = rows(dialogue.with_context(df, limit=2).drop("last_prompt", "last_user"))
+        hot = rows(dialogue.with_context(df).drop("last_prompt", "last_user"))
     finally:
         dialogue.FRAMES_PER_BLOCK = old
     assert plain == hot
