@@ -13,6 +13,7 @@ from postern.operators import browse, certs, dialogue, dnsaudit, flows, fsm, gra
 from postern.plans.catalog import query
 from postern.plans.oracle_parts import part, sql
 from postern.plans.views import load, view
+from postern.sources import readers
 from postern.sources.readers import dedup_first
 from postern.session import stage
 
@@ -154,6 +155,54 @@ def protocol_identity(spark, sf):
     return flows.protocol_of(rows).select("capture_id", "session_id", "protocol", "detection_method")
 
 
+# ---- decoded text --------------------------------------------------------------------------------------
+def _line(*fields) -> Column:
+    """A line as the dissector prints it: fields as text between tabs, flags as 1 and 0."""
+    return F.concat_ws("\t", *[f.cast("string") for f in fields])
+
+
+@query("parsed_packets", "IO-4", sql(["packets"], "SELECT capture_id, stream, frame, CAST(epoch_us(ts) AS DOUBLE) AS ts, src_ip, src_port, dst_ip, dst_port, tcp_len, syn, fin, rst FROM packets"))
+def parsed_packets(spark, sf):
+    p, c, none = packets(spark, sf), F.col, F.lit("")
+    v6 = c("frame") % 2 == 0  # the address may stand in either column
+    pair = lambda a: (F.when(v6, none).otherwise(c(a)), F.when(v6, c(a)).otherwise(none))
+    line = _line(c("frame"), c("ts"), c("stream"), *pair("src_ip"), c("src_port"), *pair("dst_ip"), c("dst_port"), c("tcp_len"), *[c(x).cast("int") for x in ("syn", "fin", "rst")])
+    return readers.parse_packets(p.select("capture_id", line.alias("value")), c("capture_id"))
+
+
+@query(
+    "parsed_segments",
+    "IO-5",
+    "SELECT doc_id AS stream, doc_id AS frame, CAST(length(text) AS BIGINT) AS seq, CAST(octet_length(encode(text)) AS BIGINT) AS octets, sha256(text) AS sha256 FROM documents WHERE length(text) > 0",
+)
+def parsed_segments(spark, sf):
+    c = F.col
+    payload = F.regexp_replace(F.lower(F.hex(F.encode("text", "UTF-8"))), "(..)(?=.)", "$1:")
+    line = _line(c("doc_id"), F.lit(0), c("doc_id"), F.lit("10.0.0.1"), F.lit(""), F.lit(25), F.lit("10.0.0.2"), F.lit(""), F.lit(4000), F.length("text"), F.lit(0), payload)
+    found = readers.parse_segments(load(spark, sf, "documents").select(line.alias("value")))
+    return found.select("stream", "frame", "seq", F.length("payload").cast("bigint").alias("octets"), F.sha2("payload", 256).alias("sha256"))
+
+
+_VALUES = "array_to_string(list_filter(string_split(coalesce({c}, ''), ','), lambda x: x <> ''), '|')"
+_NAMES = "array_to_string(list_transform(list_filter(string_split(coalesce(mx, ''), ','), lambda x: x <> ''), lambda x: rtrim(lower(x), '.')), '|')"
+
+
+@query(
+    "parsed_dns",
+    "IO-6",
+    sql(
+        ["dns"],
+        "SELECT capture_id, frame, is_response, qname, qtype, rcode, " + f"{_VALUES.format(c='txt')} AS txt, {_NAMES} AS mx, {_VALUES.format(c='addresses')} AS addresses" + ", answer_count FROM dns",
+    ),
+)
+def parsed_dns(spark, sf):
+    c = F.col
+    many = lambda name: F.coalesce(c(name), F.lit(""))
+    line = _line(c("frame"), F.lit(0), c("is_response").cast("int"), F.concat(F.upper("qname"), F.lit(".")), c("qtype"), c("rcode"), many("txt"), F.upper(many("mx")), many("addresses"), c("answer_count"))
+    found = readers.parse_dns(view(spark, sf, "dns").select("capture_id", line.alias("value")), c("capture_id"))
+    return found.select("capture_id", "frame", "is_response", "qname", "qtype", "rcode", *[F.array_join(x, "|").alias(x) for x in ("txt", "mx", "addresses")], "answer_count")
+
+
 # ---- reassembly -----------------------------------------------------------------------------------------
 KEY = ["flow", "dir"]
 part("sg", ["segments"], "SELECT flow, dir, seq, len, min(frame) AS frame FROM segments GROUP BY 1, 2, 3, 4")

@@ -73,17 +73,32 @@ def _filled(name: str) -> Column:
     return F.when(F.length(name) > 0, F.col(name))
 
 
-def _tsv(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.csv(path, sep="\t", schema=schema, header=False, quote="", escape="", mode="PERMISSIVE")
+def _fields(lines: DataFrame, schema, capture_id: Column | int) -> DataFrame:
+    """Tab separated fields of the column `value`; fields that a line lacks are null."""
+    capture = capture_id if isinstance(capture_id, Column) else F.lit(capture_id)
+    cells = lines.select(capture.cast("bigint").alias("capture_id"), F.split("value", "\t").alias("_cells"))
+    return cells.select("capture_id", *[F.try_element_at("_cells", F.lit(i + 1)).alias(name) for i, name in enumerate(schema.names)])
 
 
 def read_packets(spark: SparkSession, path: str, capture_id=0) -> DataFrame:
+    return parse_packets(spark.read.text(path), capture_id)
+
+
+def read_segments(spark: SparkSession, path: str, streams: DataFrame | None = None, capture_id=0) -> DataFrame:
+    return parse_segments(spark.read.text(path), streams, capture_id)
+
+
+def read_dns(spark: SparkSession, path: str, capture_id=0) -> DataFrame:
+    return parse_dns(spark.read.text(path), capture_id)
+
+
+def parse_packets(lines: DataFrame, capture_id: Column | int = 0) -> DataFrame:
     """Packet index from tab separated fields. Rows without a stream or an address pair are dropped."""
-    raw = _tsv(spark, path, schemas.PACKET_FIELDS)
+    raw = _fields(lines, schemas.PACKET_FIELDS, capture_id)
     rows = raw.withColumn("src", F.coalesce(_filled("src_v4"), _filled("src_v6"))).withColumn("dst", F.coalesce(_filled("dst_v4"), _filled("dst_v6")))
     kept = rows.where(_filled("stream").isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull())
     return kept.select(
-        F.lit(capture_id).cast("bigint").alias("capture_id"),
+        "capture_id",
         _number("stream").alias("stream"),
         _number("frame").alias("frame"),
         _number("ts", "double").alias("ts"),
@@ -98,17 +113,17 @@ def read_packets(spark: SparkSession, path: str, capture_id=0) -> DataFrame:
     )
 
 
-def read_segments(spark: SparkSession, path: str, streams: DataFrame | None = None, capture_id=0) -> DataFrame:
+def parse_segments(lines: DataFrame, streams: DataFrame | None = None, capture_id: Column | int = 0) -> DataFrame:
     """Payload segments from tab separated fields, limited to the wanted streams by a semi join.
 
     The wanted streams are a table that grows with the capture, so the join is left to the optimizer
     (it broadcasts the streams only when they are measured to be small).
     """
-    raw = _tsv(spark, path, schemas.SEGMENT_FIELDS)
+    raw = _fields(lines, schemas.SEGMENT_FIELDS, capture_id)
     text = F.replace(F.coalesce(F.trim("payload"), F.lit("")), F.lit(":"), F.lit(""))
     rows = raw.withColumn("src", F.coalesce(_filled("src_v4"), _filled("src_v6"))).withColumn("dst", F.coalesce(_filled("dst_v4"), _filled("dst_v6")))
     out = rows.where(_filled("stream").isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull()).select(
-        F.lit(capture_id).cast("bigint").alias("capture_id"),
+        "capture_id",
         _number("stream").alias("stream"),
         _number("frame").alias("frame"),
         _number("ts", "double").alias("ts"),
@@ -128,12 +143,12 @@ def _list(name: str) -> Column:
     return F.filter(F.split(F.coalesce(F.col(name), F.lit("")), ","), lambda x: x != "")
 
 
-def read_dns(spark: SparkSession, path: str, capture_id=0) -> DataFrame:
+def parse_dns(lines: DataFrame, capture_id: Column | int = 0) -> DataFrame:
     """DNS messages from tab separated fields, multi-values as arrays, names lower-case without trailing dots."""
-    raw = _tsv(spark, path, schemas.DNS_FIELDS)
+    raw = _fields(lines, schemas.DNS_FIELDS, capture_id)
     name = lambda c: F.regexp_replace(F.lower(c), r"\.+$", "")
     return raw.where(_filled("qname").isNotNull()).select(
-        F.lit(capture_id).cast("bigint").alias("capture_id"),
+        "capture_id",
         _number("frame").alias("frame"),
         _number("ts", "double").alias("ts"),
         _flag("is_response").alias("is_response"),
