@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postern.operators.ordered import exact_median, running, value_counts
+from postern.operators.ordered import exact_median, running, scale_block, value_counts
 from postern.session import stage
 
 # Fixed values of the method
@@ -31,7 +31,7 @@ def mad_attribution(df: DataFrame, group: Sequence[str], row_key: Sequence[str],
     med = exact_median(long, keys, F.col("value")).select(*keys, F.col("median").alias("population_median"))
     counts = value_counts(long, keys, F.col("value")).join(med, keys)
     away = counts.select(*keys, F.abs(F.col("value") - F.col("population_median")).alias("d"), "n").groupBy(*keys, "d").agg(F.sum("n").alias("n"))
-    upto = running(away, keys, ["d"], F.floor(F.col("d") / 64.0), {"upto": ("sum", F.col("n"))}, inclusive=True)
+    upto = running(away, keys, ["d"], scale_block(F.col("d")), {"upto": ("sum", F.col("n"))}, inclusive=True)
     total = away.groupBy(*keys).agg(F.sum("n").alias("total"))
     first = F.col("upto") - F.col("n") + 1
     mad = (

@@ -83,7 +83,7 @@ def category_snapshot(found: DataFrame) -> DataFrame:
     )
 
 
-def capture_pairs(captures: DataFrame, seconds_per_block: float = 86400.0 * 365) -> DataFrame:
+def capture_pairs(captures: DataFrame, seconds_per_block: float = 86400.0) -> DataFrame:
     """Neighbouring captures in time: (from_capture, to_capture), no driver loop and no global window."""
     ranked = numbered(
         captures.withColumn("series", F.lit("all")),

@@ -87,14 +87,21 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame
     return df.where(value.isNotNull()).groupBy(*keys, value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: Column, per_block: float = 64.0) -> DataFrame:
+def scale_block(value: Column, per_octave: int = 32) -> Column:
+    """Ascending block of a number, fine at every scale: `per_octave` blocks between a value and its double."""
+    far = 1100 * per_octave  # above any logarithm of a double
+    size = F.floor(F.log2(F.abs(value)) * per_octave) + far
+    return F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size).cast("bigint")
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: Column, per_octave: int = 32) -> DataFrame:
     """Exact median per key, without holding a key's values in one task.
 
     Counts per distinct value are summed in value order; the one or two middle values are the
     rows whose cumulative count spans the middle positions.
     """
     counts = value_counts(df, keys, value.cast("double"))
-    ranked = running(counts, keys, ["value"], F.floor(F.col("value") / F.lit(per_block)), {"upto": ("sum", F.col("n"))}, inclusive=True)
+    ranked = running(counts, keys, ["value"], scale_block(F.col("value"), per_octave), {"upto": ("sum", F.col("n"))}, inclusive=True)
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     lo = F.floor((F.col("total") + 1) / 2)
     hi = F.floor((F.col("total") + 2) / 2)

@@ -32,7 +32,7 @@ def test_numbered_equals_row_number(spark):
 
 def test_exact_median_even_and_odd(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 200.0), ("a", 3.0), ("a", 100.0), ("b", 5.0), ("b", -7.5), ("b", 900.0), ("c", None)], "k string, v double")
-    got = {r["k"]: r["median"] for r in ordered.exact_median(df, ["k"], F.col("v"), per_block=10.0).collect()}
+    got = {r["k"]: r["median"] for r in ordered.exact_median(df, ["k"], F.col("v"), per_octave=1).collect()}
     assert got == {"a": 51.5, "b": 5.0}
 
 
@@ -126,3 +126,10 @@ def test_strict_time_order_flag(spark):
             assert got == {0: True, 1: False}
     finally:
         flows.FRAMES_PER_BLOCK = old
+
+
+def test_scale_blocks_ascend_with_the_value(spark):
+    values = sorted([0.0, -1e300, 1e300, 5e-324, -5e-324, 1.0, 1.01, -1.01, 0.5, 124.9, 125.0, -3.5, 1e-9, 7e18])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r["b"] for r in df.select("i", ordered.scale_block(F.col("v")).alias("b")).orderBy("i").collect()]
+    assert got == sorted(got) and len(set(got)) >= len(values) - 2
