@@ -74,7 +74,7 @@ def _with_sets(rows: DataFrame, sets: DataFrame, kernel: Callable, fields: list[
             blobs, again = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2)
             for lo, hi in slices(blobs):
                 own = again.slice(lo, hi - lo)
-                made = kernel(blobs[lo:hi], np.unique(own.flatten().to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64), own.is_valid().to_numpy(zero_copy_only=False))
+                made = kernel(blobs[lo:hi], np.unique(own.flatten().to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64))
                 columns = [c if isinstance(c, pa.Array) else pa.array(c, arrow.field(j + 1).type) for j, c in enumerate(made)]
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip([batch.column(0).slice(lo, hi - lo), *columns], arrow)], schema=arrow)
 
@@ -97,7 +97,7 @@ def repeats(rows: DataFrame, window: int = WINDOW, first: int = FIRST) -> DataFr
     for k in range(1, len(steps)):
         short, long = steps[k - 1], steps[k]
 
-        def extended(blobs: list[bytes | None], again: np.ndarray, _: np.ndarray, k: int = k, short: int = short, long: int = long) -> list:
+        def extended(blobs: list[bytes | None], again: np.ndarray, k: int = k, short: int = short, long: int = long) -> list:
             words, counts = split_words(blobs)
             owner, h = owners(counts), word_hashes(words)
             old, new = grams(h, short), grams(h, long)
@@ -118,7 +118,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     """Per document: n_words, n_removed and kept (the other words, joined by one space)."""
     rows = docs.select(docs[doc_id].alias("id"), docs[text].alias("text"))
 
-    def cut(blobs: list[bytes | None], again: np.ndarray, has: np.ndarray) -> list:
+    def cut(blobs: list[bytes | None], again: np.ndarray) -> list:
         words, counts = split_words(blobs)
         removed = np.zeros(len(words), bool)
         if len(again):
