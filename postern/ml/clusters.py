@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +16,13 @@ EPS = 1.2
 MIN_POINTS = 2
 
 
-def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Zero mean and unit population deviation; constant columns become zero. Statistics are one row."""
-    row = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
+def standardise(df: DataFrame, columns: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """Zero mean and unit population deviation in each population (rows of equal `within`); constant columns become zero."""
+    stats = [F.avg(c).alias(f"m_{c}") for c in columns] + [F.stddev_pop(c).alias(f"s_{c}") for c in columns]
+    if within:
+        rows = df.join(df.groupBy(*within).agg(*stats), list(within))
+        return rows.select(*[F.when(F.col(f"s_{c}") > 0, (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).otherwise(0.0).alias(c) if c in columns else F.col(c) for c in df.columns])
+    row = df.agg(*stats).first()
     cols = {}
     for c in columns:
         m, s = row[f"m_{c}"], row[f"s_{c}"]
@@ -26,22 +30,22 @@ def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns(cols)
 
 
-def _neighbours(points: DataFrame, columns: Sequence[str], eps: float, grid: Sequence[str]) -> DataFrame:
-    """Pairs of distinct points within `eps`.
+def _neighbours(points: DataFrame, columns: Sequence[str], eps: float, grid: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """Pairs of distinct points of one population within `eps`.
 
     Points fall into grid cells of side `eps` over the `grid` columns (3 of them), and meet only points of
     the same or an adjacent cell: an equi-join on the cell instead of all pairs.
     """
     cell = [F.floor(F.col(g) / F.lit(eps)).alias(f"_g{i}") for i, g in enumerate(grid)]
-    left = points.select("pid", *columns, *cell)
+    left = points.select("pid", *within, *columns, *cell)
     shifted = left
     for i in range(len(grid)):
         shifted = shifted.withColumn(f"_s{i}", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(f"_g{i}", F.col(f"_g{i}") + F.col(f"_s{i}")).drop(f"_s{i}")
-    right = shifted.select(F.col("pid").alias("other"), *[F.col(c).alias(f"_o_{c}") for c in columns], *[f"_g{i}" for i in range(len(grid))])
+    right = shifted.select(F.col("pid").alias("other"), *within, *[F.col(c).alias(f"_o_{c}") for c in columns], *[f"_g{i}" for i in range(len(grid))])
     d2 = F.lit(0.0)
     for c in columns:
         d2 = d2 + (F.col(c) - F.col(f"_o_{c}")) * (F.col(c) - F.col(f"_o_{c}"))
-    pairs = left.join(right, [f"_g{i}" for i in range(len(grid))])
+    pairs = left.join(right, [*within, *[f"_g{i}" for i in range(len(grid))]])
     return pairs.where((F.col("pid") < F.col("other")) & (d2 <= F.lit(eps * eps))).select("pid", "other")
 
 
@@ -64,35 +68,61 @@ def components(points: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def cluster_clients(df: DataFrame, keys: Sequence[str], columns: Sequence[str], eps: float = EPS, grid: Sequence[str] | None = None) -> DataFrame:
-    """Cluster of each row, its size and share, and whether the stack is novel.
+def cluster_clients(df: DataFrame, keys: Sequence[str], columns: Sequence[str], eps: float = EPS, grid: Sequence[str] | None = None, within: Sequence[str] = ()) -> DataFrame:
+    """Cluster of each row, its size and share of its population, and whether the stack is novel.
 
     With two points making a cluster, density clusters are exactly the connected components of the
-    eps-graph. Identical vectors are merged first, so the graph is over distinct stacks only.
+    eps-graph. Identical vectors are merged first, so the graph is over distinct stacks only; a stack is
+    named by its population and its values.
     """
-    z = stage(standardise(df.select(*keys, *columns), columns))
-    h = F.xxhash64(*[F.col(c) for c in columns])
-    vectors = z.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).withColumn("pid", h)
-    vectors = stage(vectors)
-    grid = list(grid or columns[:3])
-    labels = components(vectors, _neighbours(vectors, columns, eps, grid))
-    sized = vectors.select("pid", "n").join(labels, "pid")
-    size = sized.groupBy("label").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("stacks"))
-    total = z.count()
+    z = stage(standardise(df.select(*dict.fromkeys([*within, *keys, *columns])), columns, within))
+    name = F.to_json(F.array(*[F.col(c).cast("string") for c in [*within, *columns]]))
+    stacks = stage(z.groupBy(*within, *columns).agg(F.count(F.lit(1)).alias("n")).withColumn("pid", name))
+    labels = components(stacks, _neighbours(stacks, columns, eps, list(grid or columns[:3]), within))
+    sized = stacks.select("pid", *within, "n").join(labels, "pid")
+    size = sized.groupBy("label").agg(F.sum("n").alias("size"))
+    if within:
+        sized = sized.join(z.groupBy(*within).agg(F.count(F.lit(1)).alias("total")), list(within))
+    else:
+        sized = sized.withColumn("total", F.lit(z.count()))
     noise = F.col("size") < MIN_POINTS
-    share = F.col("size") / F.lit(float(total))
+    share = F.col("size") / F.col("total").cast("double")
     named = sized.join(size, "label").select(
-        "pid", F.col("label").alias("cluster"), "size", share.alias("share"), noise.alias("is_noise"), (noise | ((share < 0.1) & F.lit(total >= 10))).alias("novel")
+        "pid", F.sha2("label", 256).alias("cluster"), "size", share.alias("share"), noise.alias("is_noise"), (noise | ((share < 0.1) & (F.col("total") >= 10))).alias("novel")
     )
-    return z.select(*keys, h.alias("pid")).join(named, "pid").drop("pid")
-
-
-def project_2d(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """First two principal components, each with the sign that makes its largest loading positive."""
-    z = standardise(df.select(*keys, *columns), columns)
-    vec = VectorAssembler(inputCols=list(columns), outputCol="features").transform(z)
-    model = PCA(k=2, inputCol="features", outputCol="pc").fit(vec)
-    load = model.pc.toArray()
-    signs = [1.0 if load[abs(load[:, j]).argmax(), j] >= 0 else -1.0 for j in range(2)]
-    pc = vector_to_array(F.col("pc"))
-    return model.transform(vec).select(*keys, (F.get(pc, F.lit(0)) * signs[0]).alias("x"), (F.get(pc, F.lit(1)) * signs[1]).alias("y"))
+    return z.withColumn("pid", name).select(*keys, "pid").join(named, "pid").drop("pid")
+
+
+def _loadings(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, second = [], []
+            for flat in batch.column("cov").to_pylist():
+                full = np.zeros((n, n))
+                full[np.tril_indices(n)] = flat
+                _, vectors = np.linalg.eigh(full)  # reads the lower triangle
+                for out, v in ((first, vectors[:, -1]), (second, vectors[:, -2])):
+                    out.append((v * (1.0 if v[np.abs(v).argmax()] >= 0 else -1.0)).tolist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(first, pa.list_(pa.float64())), pa.array(second, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "a", "b"])
+
+    return run
+
+
+def project_2d(df: DataFrame, keys: Sequence[str], columns: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """First two principal components of each population, each with the sign that makes its largest loading positive.
+
+    A population is reduced to the covariances of its columns; only those small rows are decomposed.
+    """
+    z = stage(standardise(df.select(*dict.fromkeys([*within, *keys, *columns])), columns, within))
+    # means are zero, so the covariance of two columns is the mean of their product
+    cov = F.array(*[F.avg(F.col(a) * F.col(b)) for i, a in enumerate(columns) for b in columns[: i + 1]])
+    rows = z.groupBy(*within).agg(cov.alias("cov"))
+    schema = ", ".join([f"{c} {dict(z.dtypes)[c]}" for c in within] + ["a array<double>", "b array<double>"])
+    axes = rows.mapInArrow(_loadings(len(columns)), schema)
+    dot = lambda side: F.aggregate(F.zip_with(F.array(*columns), side, lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
+    if within:
+        joined = z.join(axes, list(within))
+    else:
+        one = axes.first()
+        joined = z.withColumns({k: F.array(*[F.lit(x) for x in one[k]]) for k in ("a", "b")})
+    return joined.select(*keys, dot("a").alias("x"), dot("b").alias("y"))

@@ -220,8 +220,9 @@ def _model(spark, sf):
 
 @query("feature_importance", "M-6")
 def feature_importance(spark, sf):
-    data, model = _model(spark, sf)
-    return risk.permutation_importance(model, data, KEYS, features.RISK_FEATURES, repeats=2)
+    data = stage(risk.with_fold(labelled(spark, sf), KEYS, folds=4, seed=7))
+    model = risk.pipeline(features.RISK_FEATURES, trees=15, depth=5).fit(data.where("fold <> 0"))
+    return risk.permutation_importance(model, data.where("fold = 0"), KEYS, features.RISK_FEATURES)
 
 
 @query("risk_scores", "M-7")
@@ -243,7 +244,7 @@ def client_vectors(spark, sf):
 @query("client_clusters", "M-10")
 def client_clusters(spark, sf):
     v = client_vectors(spark, sf)
-    return clusters.cluster_clients(v, KEYS, features.CLIENT_FEATURES, grid=["groups", "extensions", "ciphers"])
+    return clusters.cluster_clients(v, KEYS, features.CLIENT_FEATURES, grid=["groups", "extensions", "ciphers"], within=["capture_id"])
 
 
 @query("vector_clusters", "M-10")
@@ -254,8 +255,8 @@ def vector_clusters(spark, sf):
 @query("client_projection", "M-11 Q-15")
 def client_projection(spark, sf):
     v = stage(client_vectors(spark, sf))
-    xy = clusters.project_2d(v, KEYS, features.CLIENT_FEATURES)
-    named = clusters.cluster_clients(v, KEYS, features.CLIENT_FEATURES, grid=["groups", "extensions", "ciphers"]).select(*KEYS, "cluster")
+    xy = clusters.project_2d(v, KEYS, features.CLIENT_FEATURES, within=["capture_id"])
+    named = clusters.cluster_clients(v, KEYS, features.CLIENT_FEATURES, grid=["groups", "extensions", "ciphers"], within=["capture_id"]).select(*KEYS, "cluster")
     return browse.fold_points(xy.join(named, KEYS).withColumn("ref", F.col("session_id")))
 
 

@@ -113,3 +113,27 @@ def test_forest_ranks_a_planted_outlier_first(spark):
     top = out.orderBy(F.desc("anomaly_score")).first()
     assert top["id"] == 17 and top["is_outlier"] and top["anomaly_score"] == 1.0
     assert 10 <= out.where("is_outlier").count() <= 30
+
+
+def test_projection_and_clusters_stay_within_a_population(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    pts = [(g, i, rng.gauss(0, 1 + g), rng.gauss(0, 2), 7.0, rng.random()) for g in range(2) for i in range(40)]
+    df = spark.createDataFrame(pts, "g int, id int, a double, b double, c double, d double")
+    cols = ["a", "b", "c", "d"]
+    got = {(r["g"], r["id"]): (r["x"], r["y"]) for r in clusters.project_2d(df, ["g", "id"], cols, within=["g"]).collect()}
+    for g in range(2):
+        x = np.array([p[2:] for p in pts if p[0] == g])
+        z = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
+        _, vectors = np.linalg.eigh(z.T @ z)
+        for k, v in ((0, vectors[:, -1]), (1, vectors[:, -2])):
+            want = z @ (v * (1 if v[np.abs(v).argmax()] >= 0 else -1))
+            assert np.allclose(want, [got[g, i][k] for i in range(40)])
+    rows = clusters.cluster_clients(df.unionByName(df.where("g = 0")), ["g", "id"], cols, within=["g"]).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["cluster"], set()).add(r["g"])
+    assert len(rows) == 120 and all(len(g) == 1 for g in by.values())
