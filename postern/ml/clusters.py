@@ -103,7 +103,7 @@ def _loadings(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 _, vectors = np.linalg.eigh(full)  # reads the lower triangle
                 for out, v in ((first, vectors[:, -1]), (second, vectors[:, -2])):
                     out.append((v * (1.0 if v[np.abs(v).argmax()] >= 0 else -1.0)).tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(first, pa.list_(pa.float64())), pa.array(second, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "a", "b"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(first, pa.list_(pa.float64())), pa.array(second, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "_axis1", "_axis2"])
 
     return run
 
@@ -117,12 +117,12 @@ def project_2d(df: DataFrame, keys: Sequence[str], columns: Sequence[str], withi
     # means are zero, so the covariance of two columns is the mean of their product
     cov = F.array(*[F.avg(F.col(a) * F.col(b)) for i, a in enumerate(columns) for b in columns[: i + 1]])
     rows = z.groupBy(*within).agg(cov.alias("cov"))
-    schema = ", ".join([f"{c} {dict(z.dtypes)[c]}" for c in within] + ["a array<double>", "b array<double>"])
+    schema = ", ".join([f"{c} {dict(z.dtypes)[c]}" for c in within] + ["_axis1 array<double>", "_axis2 array<double>"])
     axes = rows.mapInArrow(_loadings(len(columns)), schema)
     dot = lambda side: F.aggregate(F.zip_with(F.array(*columns), side, lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
     if within:
         joined = z.join(axes, list(within))
     else:
         one = axes.first()
-        joined = z.withColumns({k: F.array(*[F.lit(x) for x in one[k]]) for k in ("a", "b")})
-    return joined.select(*keys, dot("a").alias("x"), dot("b").alias("y"))
+        joined = z.withColumns({k: F.array(*[F.lit(x) for x in one[k]]) for k in ("_axis1", "_axis2")})
+    return joined.select(*keys, dot("_axis1").alias("x"), dot("_axis2").alias("y"))
