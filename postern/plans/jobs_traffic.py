@@ -9,7 +9,7 @@ from postern import dims
 from postern.functions import crypto
 from postern.functions import text as words
 from postern.functions.scores import text
-from postern.operators import browse, certs, dialogue, dnsaudit, flows, fsm, grading, reassembly, rules, sessions, tls
+from postern.operators import browse, certs, dialogue, dnsaudit, flows, fsm, grading, graph, reassembly, rules, sessions, tls
 from postern.plans.catalog import query
 from postern.plans.oracle_parts import part, sql
 from postern.plans.views import load, view
@@ -821,24 +821,44 @@ def address_domains(spark, sf):
     return dnsaudit.ip_domain(dnsaudit.resolved(d, dnsaudit.mx_hosts(d)), dnsaudit.domain_policy(d))
 
 
-@query(
-    "dns_findings",
-    "N-5",
-    sql(
-        ["dpol", "dmx", "ddane", "dres", "f"],
-        """, r AS (SELECT d.capture_id, d.domain, arg_min(f.session_id, f.first_frame) AS any_s, arg_min(f.session_id, f.first_frame) FILTER (is_clear AND NOT is_indeterminate) AS clear_s, count(*) FILTER (is_clear AND NOT is_indeterminate) AS n FROM dres d JOIN f ON f.capture_id = d.capture_id AND f.server_ip = d.ip GROUP BY 1, 2),
+part(
+    "dnsf",
+    ["dpol", "dmx", "ddane", "dres", "f"],
+    """WITH r AS (SELECT d.capture_id, d.domain, arg_min(f.session_id, f.first_frame) AS any_s, arg_min(f.session_id, f.first_frame) FILTER (is_clear AND NOT is_indeterminate) AS clear_s, count(*) FILTER (is_clear AND NOT is_indeterminate) AS n FROM dres d JOIN f ON f.capture_id = d.capture_id AND f.server_ip = d.ip GROUP BY 1, 2),
  p AS (SELECT dpol.*, r.any_s, r.clear_s, coalesce(r.n, 0) AS n, ddane.dane_published, EXISTS (SELECT 1 FROM dmx WHERE dmx.capture_id = dpol.capture_id AND dmx.domain = dpol.domain) AS has_mx, EXISTS (SELECT 1 FROM dres WHERE dres.capture_id = dpol.capture_id AND dres.domain = dpol.domain) AS has_ip FROM dpol LEFT JOIN r USING (capture_id, domain) LEFT JOIN ddane USING (capture_id, domain))
 SELECT capture_id, domain, 'mta_sts_policy_violation' AS category, 'CRITICAL' AS severity, 'FAIL' AS verdict, clear_s AS session_id, n AS affected_sessions FROM p WHERE mta_sts_published AND n > 0
 UNION ALL SELECT capture_id, domain, 'mta_sts_not_published', 'MEDIUM', 'FAIL', any_s, 1 FROM p WHERE mta_sts_queried AND mta_sts_published = false UNION ALL SELECT capture_id, domain, 'dane_not_deployed', 'LOW', 'FAIL', NULL, 1 FROM p WHERE has_mx AND dane_published = false
 UNION ALL SELECT capture_id, domain, 'tlsrpt_not_configured', 'LOW', 'FAIL', NULL, 1 FROM p WHERE tlsrpt_queried AND tlsrpt_published = false UNION ALL SELECT capture_id, domain, 'dmarc_not_published', 'MEDIUM', 'FAIL', NULL, 1 FROM p WHERE dmarc_queried AND dmarc_published = false
 UNION ALL SELECT capture_id, domain, 'dmarc_policy_none', 'LOW', 'FAIL', NULL, 1 FROM p WHERE dmarc_published AND dmarc_policy = 'none' UNION ALL SELECT capture_id, domain, 'dns_correlation_incomplete', 'INFO', 'UNKNOWN', NULL, 1 FROM p WHERE has_mx AND NOT has_ip""",
-    ).replace(" , r AS", ", r AS"),
 )
+
+
+@query("dns_findings", "N-5", sql(["dnsf"], "SELECT * FROM dnsf"))
 def dns_findings(spark, sf):
     out = rules.resolve(dnsaudit.dns_drafts(dns(spark, sf), view(spark, sf, "sess")))
     return out.select("capture_id", "domain", "category", "severity", "verdict", "session_id", "affected_sessions")
 
 
+def _with_domains(spark, sf):
+    """Sessions, all findings with those of DNS, and the servers of each domain."""
+    f = stage(crypto.decorate(view(spark, sf, "sess")))
+    d = dns(spark, sf)
+    servers = dnsaudit.domain_servers(dnsaudit.audit(d)[1], f)
+    return f, stage(rules.findings(f, dnsaudit.dns_drafts(d, f))), servers
+
+
+@query("mail_domain_edges", "H-4", sql(["dres", "f"], "SELECT DISTINCT d.capture_id, 'domain:' || d.domain AS source, 'server:' || f.server AS target, 1 AS weight FROM dres d JOIN f ON f.capture_id = d.capture_id AND f.server_ip = d.ip AND f.protocol IS NOT NULL"))
+def mail_domain_edges(spark, sf):
+    f, found, servers = _with_domains(spark, sf)
+    return graph.edges(f, graph.finding_scope(found, f, servers), domain_servers=servers).where("type = 'mx'").select("capture_id", "source", "target", "weight")
+
+
+@query("dns_finding_scope", "H-5", sql(["dnsf", "dres", "f"], "SELECT DISTINCT x.capture_id, x.category, f.server FROM dnsf x JOIN dres d USING (capture_id, domain) JOIN f ON f.capture_id = d.capture_id AND f.server_ip = d.ip WHERE x.verdict = 'FAIL'"))
+def dns_finding_scope(spark, sf):
+    f, found, servers = _with_domains(spark, sf)
+    return graph.finding_scope(found, f, servers).where(F.col("category").isin(*dims.DNS_CATEGORIES))
+
+
 # ---- text ----------------------------------------------------------------------------------------------------------------
 _ASK = "'Finding ' || page_id || ' f-' || (page_id + 1) || ' on 10.0.0.' || (page_id % 250) || ':25 SMTP-' || lpad(CAST(page_id AS VARCHAR), 4, '0') || CASE WHEN page_id % 2 = 0 THEN ' imap TLS 1.2 ' ELSE ' tlsv1 high ' END || 'port 587 ' || url"
 
