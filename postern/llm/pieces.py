@@ -57,7 +57,8 @@ def default_model() -> str:
 class Pieces:
     """A byte-pair SentencePiece model: whole words by the library, paths between states by the lattice."""
 
-    LIMIT = 400_000
+    #: Words remembered.
+    LIMIT = 250_000
 
     def __init__(self, path: str):
         import sentencepiece
@@ -75,7 +76,7 @@ class Pieces:
             self.raw[i] = piece.replace(SPACE, " ").encode()
         for value, i in self.byte.items():
             self.raw[i] = bytes([value])
-        self.words: dict[str, np.ndarray] = {}
+        self.words: dict[str, bytes] = {}
         self.fits = lru_cache(1 << 18)(self._fits)
 
     def merged(self, text: str) -> list[str]:
@@ -164,9 +165,9 @@ class Pieces:
             self.words.clear()
         parts = [t[1:].replace(SPACE, " ").split(" ") if t else [] for t in texts]
         found = [list(map(self.words.get, units)) for units in parts]
-        missed = sorted({u for units, own in zip(parts, found) for u, x in zip(units, own) if x is None and u})
+        missed = [*{u for units, own in zip(parts, found) if None in own for u, x in zip(units, own) if x is None and u}]
         for unit, ids in zip(missed, self.lib.encode(missed, num_threads=1)):
-            self.words[unit] = np.array(ids, np.int32)
+            self.words[unit] = np.array(ids, np.int32).tobytes()
         out = []
         for text, units, own in zip(texts, parts, found):
             if text == SPACE:
@@ -174,8 +175,7 @@ class Pieces:
             elif "" in units:
                 out.append(np.array(self.lib.encode(text[1:].replace(SPACE, " ")), np.int32))
             else:
-                own = [x if x is not None else self.words[u] for u, x in zip(units, own)]
-                out.append(np.concatenate(own) if own else np.zeros(0, np.int32))
+                out.append(np.frombuffer(b"".join([x if x is not None else self.words[u] for u, x in zip(units, own)]), np.int32))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
