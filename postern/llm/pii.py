@@ -4,16 +4,17 @@ High-recall generators propose spans, which may overlap: four base kinds with fi
 (keys with a value, upper-case codes, hex strings, numbers like 123-45-6789, telephone numbers without country code).
 Each candidate has features of its format (length, digits, letters, marks, distinct characters) and its context (a cue
 word before it, the characters around it). Boosted trees score it. Base kinds that pass their check always count;
-other candidates count above their kind's threshold, the lowest at which the held-out part of the sample reached
-`PRECISION`. A proposed span that meets a base span, or a better neighbour in order of start, is dropped.
+proposed candidates count above their kind's threshold, the lowest at which the held-out candidates, a fifth of all,
+reached `PRECISION`. A kind with fewer than `LEAST_HELD` held-out candidates, or where no threshold reaches that, is
+judged by its label rule instead, so no kind is dropped for being rare. A proposed span that meets a base span, or a better neighbour in order of start, is dropped.
 
 Labels for training are not given, so they come from rules that the features don't show as such (check digits, octet
-ranges, known prefixes, cue words): `seed` below. The trees are fitted on a sample of about `SAMPLE` candidates,
-chosen by hash; the fitted trees become one SQL expression, so scoring is part of the row's projection: no shuffle,
+ranges, known prefixes, cue words): `seed` below. The trees are fitted on at most about `SAMPLE` candidates of each
+proposed kind, chosen by hash; thresholds come from one aggregation over all candidates. The fitted trees become one SQL expression, so scoring is part of the row's projection: no shuffle,
 no Python. Offsets come from the pieces between matches, summed in blocks, so many matches in a text stay cheap.
 
-Defined cases: a null or empty text has no spans; without candidates of two labels to learn from, base spans alone
-count; rows repeating a doc_id are each searched; texts are searched whole; `redact` keeps a null text null.
+Defined cases: a null or empty text has no spans; without candidates of two labels to learn from, each
+proposed kind is judged by its label rule; rows repeating a doc_id are each searched; texts are searched whole; `redact` keeps a null text null.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +45,11 @@ PROPOSED = {
 KINDS = [*BASE, *PROPOSED]
 CUE = r"(?i)(?:mail|tel|phone|call|fax|card|ssn|social|password|passwd|pwd|secret|token|key|account|iban)[^A-Za-z0-9]{0,4}$"
 
+#: Candidates of each proposed kind to fit on.
 SAMPLE, TREES, DEPTH, PRECISION = 20_000, 20, 3, 0.9
+#: Held-out candidates a kind's threshold needs.
+LEAST_HELD = 20
+_BUCKETS = 1_000_000_000
 _BLOCK = 256
 
 FEATURES = ["len", "digits", "upper", "lower", "marks", "distinct", "cue", "tight", "glued", *[f"is_{k}" for k in KINDS]]
@@ -121,7 +125,7 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class Model:
-    """The trees as one SQL expression over a candidate `c`, and each kind's threshold."""
+    """Score as one SQL expression over a candidate `c` (the trees, or a kind's label rule), and each kind's threshold."""
 
     score: str
     thresholds: dict[str, float]
@@ -135,27 +139,41 @@ def _tree(node) -> str:
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH, precision: float = PRECISION) -> Model:
-    """Fit on about `sample` of the candidates of all documents, chosen by hash; a fifth is held out for thresholds."""
-    found = with_candidates(docs.select(doc_id, text), text).select(F.xxhash64(doc_id).alias("h"), F.explode("_found").alias("c"))
-    rows = stage(found.select(F.abs(F.xxhash64("h", "c.rank", "c.start") % 1_000_000).alias("h"), "c.kind", F.col("c.seed").cast("int").alias("label"), *[F.col(f"c.{f}").cast("double").alias(f) for f in FEATURES]))
-    total = rows.count()
-    few = rows.where(F.col("h") < int(min(1.0, sample / max(1, total)) * 1_000_000))
-    fit, held = few.where("h % 5 <> 0"), few.where("h % 5 = 0")
-    if fit.agg(F.count_distinct("label")).first()[0] < 2:
-        return Model("cast(0 AS double)", {})
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1, cacheNodeIds=False).fit(vectors.transform(fit))
-    margin = " + ".join(f"{float(w)!r} * ({_tree(t._call_java('rootNode'))})" for w, t in zip(model.treeWeights, model.trees))
-    scored = model.transform(vectors.transform(held)).select("kind", "label", F.round(vector_to_array("probability")[1], 2).alias("p"))
-    steps = scored.groupBy("kind", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).orderBy("kind", F.desc("p")).collect()
-    thresholds: dict[str, float] = {}
-    sums: dict[str, tuple[int, int]] = {}
-    for r in steps:
-        n, good = sums.get(r["kind"], (0, 0))
-        sums[r["kind"]] = n, good = n + r["n"], good + r["good"]
-        if good >= precision * n and r["p"] >= 0.5:
-            thresholds[r["kind"]] = r["p"]
-    return Model(f"1 / (1 + exp(-2 * ({margin})))", thresholds)
+    """Fit on about `sample` candidates of each proposed kind, chosen by hash; a fifth of all is held out for thresholds."""
+    found = with_candidates(docs.select(doc_id, text), text).select(F.xxhash64(doc_id).alias("h"), F.explode(F.expr(f"filter(_found, c -> c.rank >= {len(BASE)})")).alias("c"))
+    rows = stage(found.select(F.abs(F.xxhash64("h", "c.rank", "c.start") % _BUCKETS).alias("h"), "c.kind", F.col("c.seed").cast("int").alias("label"), *[F.col(f"c.{f}").cast("double").alias(f) for f in FEATURES]))
+    below = {r["kind"]: max(1, int(min(1.0, sample / r["count"]) * _BUCKETS)) for r in rows.groupBy("kind").count().collect()}
+    ruled, thresholds, margin = set(PROPOSED), dict.fromkeys(PROPOSED, 0.5), "0.0D"
+    limit = "CASE kind " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in below.items()) + " END" if below else "0"
+    fit = rows.where(f"h < {limit} AND h % 5 <> 0")
+    if fit.agg(F.count_distinct("label")).first()[0] == 2:
+        vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
+        model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1, cacheNodeIds=False).fit(vectors.transform(fit))
+        margin = " + ".join(f"{float(w)!r}D * ({_tree(t._call_java('rootNode'))})" for w, t in zip(model.treeWeights, model.trees))
+        scored = rows.where("h % 5 = 0").select("kind", "label", F.struct(*FEATURES).alias("c")).select("kind", "label", F.expr(f"round({_score(margin)}, 2)").alias("p"))
+        steps = scored.groupBy("kind", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).orderBy("kind", F.desc("p")).collect()
+        for kind in PROPOSED:
+            low = _threshold([(r["p"], r["n"], r["good"]) for r in steps if r["kind"] == kind], precision)
+            if low is not None:
+                thresholds[kind] = low
+                ruled.discard(kind)
+    by_rule = " OR ".join(f"c.kind = '{k}'" for k in sorted(ruled)) or "false"
+    return Model(f"CASE WHEN {by_rule} THEN cast(cast(c.seed AS int) AS double) ELSE {_score(margin)} END", thresholds)
+
+
+def _score(margin: str) -> str:
+    return f"1 / (1 + exp(-2 * ({margin})))"
+
+
+def _threshold(steps: list[tuple[float, int, int]], precision: float) -> float | None:
+    """Lowest score of 0.5 or more down to which `precision` holds; None with too few rows, or if there is none."""
+    n = good = 0
+    low = None
+    for p, rows, right in steps:
+        n, good = n + rows, good + right
+        if good >= precision * n and p >= 0.5:
+            low = p
+    return low if n >= LEAST_HELD else None
 
 
 def find(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
