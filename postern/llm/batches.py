@@ -40,13 +40,14 @@ def per_document(
     docs: DataFrame,
     keep: Sequence[str],
     text: str,
-    kernel: Callable[[list[bytes | None]], list],
+    kernel: Callable[..., list],
     fields: Sequence[StructField],
     limit: int = SLICE_BYTES,
+    beside: Sequence[str] = (),
 ) -> DataFrame:
     """One row per document: the `keep` columns, then what `kernel` makes of a slice's UTF-8 texts, a column per field.
 
-    Only `keep` and `text` are read, so further columns of `docs` can't clash with the fields.
+    The kernel is also given the values of each column of `beside`. Only `keep`, `text` and `beside` are read, so further columns of `docs` can't clash with the fields.
     """
     out = StructType([docs.schema[c] for c in keep] + list(fields))
     arrow = to_arrow_schema(out)
@@ -55,13 +56,14 @@ def per_document(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = batch.column(k).cast(pa.binary()).to_pylist()
+            more = [batch.column(k + 1 + j).to_pylist() for j in range(len(beside))]
             for lo, hi in slices(blobs, limit):
-                made = kernel(blobs[lo:hi])
+                made = kernel(blobs[lo:hi], *[x[lo:hi] for x in more])
                 columns = [batch.column(j).slice(lo, hi - lo) for j in range(k)]
                 columns += [c if isinstance(c, pa.Array) else pa.array(c, type=arrow.field(k + j).type) for j, c in enumerate(made)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return docs.select(*[docs[c] for c in keep], docs[text]).mapInArrow(run, out)
+    return docs.select(*[docs[c] for c in keep], docs[text], *[docs[c] for c in beside]).mapInArrow(run, out)
 
 
 class WordHash(dict):

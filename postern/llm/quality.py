@@ -1,13 +1,18 @@
 """Quality rules: hard text rules, then divergence of each document from language references.
 
-References are learned from all documents with a language of `COMMON`: one histogram of character classes and one
-of common words for each such language. A document is compared to every reference with the Jensen-Shannon distance
+References are learned from all documents with a language: one histogram of character classes and one of common
+words for each language. The common words of the languages of `COMMON` are given; those of any other language are the
+`LEARNED` most frequent words of its documents. Such a language has a reference from `LEAST_LEARNED` entries on, so a
+handful of mislabelled texts makes none. A document whose language has no reference is judged by the hard rules
+alone; any other, also one without a language, is compared to every reference with the Jensen-Shannon distance
 (base 2, so 0 to 1) and judged by the nearest, so a wrong language label does no harm. Two guards keep short texts
 from being judged by sampling noise: a histogram of fewer than `LEAST` entries is not judged, and the allowed
 distance is widened by the expected distance of a true sample of that size, which shrinks with its root.
 
-The first pass adds the histograms up in each task, so the shuffle holds a few hundred numbers a task; the table of
-references has a fixed number of entries and is sent to the second pass. Documents are never shuffled.
+The words of languages outside `COMMON` are counted by (language, word), of which `LEARNED` a language reach the
+driver. The next pass adds the histograms up in each task, so the shuffle holds a few hundred numbers a task and
+language; the table of references grows with the languages, not the rows, and is sent to the last pass. Documents are
+never shuffled.
 
 Defined cases: a null or empty text has no words and fails the hard rules; without any reference only the hard
 rules judge; rows repeating a doc_id are each judged; texts count whole; only the named columns are read.
@@ -22,7 +27,7 @@ from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField
 
@@ -45,6 +50,9 @@ LEAST = (200, 40)
 #: Allowed distance of the character classes and of the common words, and the widening by 1 / sqrt(entries).
 ALLOWED, WIDEN = (0.16, 0.06), (2.3, 3.3)
 
+#: Words learned of each language outside COMMON, and the entries its reference needs: characters, words.
+LEARNED, LEAST_LEARNED = 40, (10_000, 1_000)
+
 SYMBOLS = b"#*$%&|<>"
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -71,8 +79,25 @@ def _class_of(c: int) -> int:
 
 CLASS_OF = np.array([_class_of(c) for c in range(256)], np.int32)
 WORDS = sorted({w for words in COMMON.values() for w in words})
-#: Place in the common-word histogram of each common word, in lower case or capitalised, alone or before one mark.
-PLACES = {(form + mark).encode(): i for i, w in enumerate(WORDS) for form in (w, w.capitalize()) for mark in ("", *".,;:!?")}
+
+
+def places(words: list[str]) -> dict[bytes, int]:
+    """Place in the common-word histogram of each common word, in lower case or capitalised, alone or before one mark."""
+    return {(form + mark).encode(): i for i, w in enumerate(words) for form in (w, w.capitalize()) for mark in ("", *".,;:!?")}
+
+
+PLACES = places(WORDS)
+
+
+class References(dict):
+    """Both histograms by language, and the place of each word they count."""
+
+    def __init__(self, found: dict[str, tuple[np.ndarray, np.ndarray]], words: list[str]):
+        super().__init__(found)
+        self.words = words
+
+    def __reduce__(self):
+        return References, (dict(self), self.words)
 
 
 def word_ids(words: list[bytes]) -> np.ndarray:
@@ -104,15 +129,15 @@ def repeated_words(ids: np.ndarray, owner: np.ndarray, n_docs: int, width: int =
     return np.bincount(owner[np.cumsum(edge[:-1]) > 0], minlength=n_docs)
 
 
-def histograms(blobs: list[bytes | None], words: list[bytes], n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def histograms(blobs: list[bytes | None], words: list[bytes], n_words: np.ndarray, at: dict[bytes, int] = PLACES, size: int = len(WORDS)) -> tuple[np.ndarray, np.ndarray]:
     """Character classes and common words of each text, a row per document."""
     n, k = len(blobs), len(CLASSES) + 1
     raw = np.frombuffer(b"".join(b or b"" for b in blobs), np.uint8)
     place = CLASS_OF[raw]
     place += np.repeat(np.arange(0, n * k, k, dtype=np.int32), [len(b or b"") for b in blobs])
     classes = np.bincount(place, minlength=n * k).reshape(n, k)[:, :-1]
-    k = len(WORDS) + 1
-    common = np.bincount(owners(n_words) * k + np.fromiter(map(PLACES.get, words, repeat(len(WORDS))), np.int64, len(words)), minlength=n * k).reshape(n, k)
+    k = size + 1
+    common = np.bincount(owners(n_words) * k + np.fromiter(map(at.get, words, repeat(size)), np.int64, len(words)), minlength=n * k).reshape(n, k)
     return classes, common
 
 
@@ -129,7 +154,7 @@ class Measured:
     common: np.ndarray
 
 
-def measure(blobs: list[bytes | None]) -> Measured:
+def measure(blobs: list[bytes | None], at: dict[bytes, int] = PLACES, size: int = len(WORDS)) -> Measured:
     n = len(blobs)
     words, n_words = split_words(blobs)
     symbols, dup_lines, blank = (np.zeros(n, np.int64) for _ in range(3))
@@ -142,7 +167,7 @@ def measure(blobs: list[bytes | None]) -> Measured:
         if len(lines) != len(set(lines)):
             lines = [x for x in lines if x.strip()]
             dup_lines[d] = len(lines) - len(set(lines))
-    classes, common = histograms(blobs, words, n_words)
+    classes, common = histograms(blobs, words, n_words, at, size)
     repeats = repeated_words(word_ids(words), owners(n_words), n)
     return Measured(n_words, classes.sum(1) - blank, symbols, dup_lines, repeats, classes, common)
 
@@ -158,30 +183,43 @@ def distance(own: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where(own.sum(1) > 0, np.sqrt(np.clip((left + right) / 2, 0, 1)), 0.0)
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Histograms of all documents of each language of COMMON: at most len(COMMON) x 400 numbers reach the driver."""
+def learned_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[str]:
+    """The LEARNED most frequent words of each language outside COMMON, one mark at their end aside."""
+    rows = docs.where(~F.col(lang).isin(sorted(COMMON)) & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.lower(text).alias("text"))
+    words = rows.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).select("lang", F.regexp_replace("word", "[.,;:!?]$", "").alias("word"))
+    counts = words.where("word <> ''").groupBy("lang", "word").count()
+    first = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
+    return [r["word"] for r in counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= LEARNED).select("word").distinct().collect()]
+
+
+def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> References:
+    """Histograms of all documents of each language: a row of numbers for each reaches the driver."""
     k = len(CLASSES)
+    vocabulary = WORDS + sorted(set(learned_words(docs, text, lang)) - set(WORDS))
+    at, size = places(vocabulary), len(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             blobs, langs = batch.column(0).cast(pa.binary()).to_pylist(), np.array(batch.column(1).to_pylist(), object)
             for lo, hi in slices(blobs):
-                found = measure(blobs[lo:hi])
+                found = measure(blobs[lo:hi], at, size)
                 table = np.hstack([found.classes, found.common])
                 for name in set(langs[lo:hi]):
                     part = table[langs[lo:hi] == name].sum(0)
                     sums[name] = sums[name] + part if name in sums else part
         for name, row in sums.items():
-            at = np.flatnonzero(row)
-            yield pa.RecordBatch.from_pydict({"lang": [name] * len(at), "place": at, "n": row[at]})
+            own = np.flatnonzero(row)
+            yield pa.RecordBatch.from_pydict({"lang": [name] * len(own), "place": own, "n": row[own]})
 
-    rows = docs.where(F.col(lang).isin(sorted(COMMON)) & F.col(text).isNotNull()).select(text, lang)
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(text, lang)
     found = rows.mapInArrow(run, "lang string, place bigint, n bigint").groupBy("lang", "place").agg(F.sum("n").alias("n")).collect()
-    out = {r["lang"]: np.zeros(k + len(WORDS) + 1) for r in found}
+    out = {r["lang"]: np.zeros(k + size + 1) for r in found}
     for r in found:
         out[r["lang"]][r["place"]] = r["n"]
-    return {name: (row[:k], row[k:]) for name, row in sorted(out.items())}
+    refs = {name: (row[:k], row[k:]) for name, row in sorted(out.items())}
+    enough = {name for name, own in refs.items() if name in COMMON or all(h.sum() >= least for h, least in zip(own, LEAST_LEARNED))}
+    return References({name: own for name, own in refs.items() if name in enough}, vocabulary)
 
 
 FIELDS = [
@@ -194,11 +232,12 @@ FIELDS = [
 ]
 
 
-def _kernel(refs: dict) -> Callable[[list[bytes | None]], list]:
+def _kernel(refs: References) -> Callable[[list[bytes | None], list[str | None]], list]:
     names = list(refs) or [None]
+    at, size = places(refs.words), len(refs.words)
 
-    def kernel(blobs: list[bytes | None]) -> list:
-        m = measure(blobs)
+    def kernel(blobs: list[bytes | None], langs: list[str | None]) -> list:
+        m = measure(blobs, at, size)
         failed = (m.n_words < MIN_WORDS) | (100 * m.n_repeat_words > REPEAT_PERCENT * m.n_words)
         sizes = np.stack([m.classes.sum(1), m.common.sum(1)])
         far = np.zeros((len(names), 2, len(blobs)))
@@ -208,26 +247,26 @@ def _kernel(refs: dict) -> Callable[[list[bytes | None]], list]:
         best = (far / allowed).max(1).argmin(0)
         mine = far[best, :, np.arange(len(blobs))]
         judged = sizes >= np.array(LEAST)[:, None]
-        bad = (judged & (mine.T > allowed)).any(0)
+        bad = (judged & (mine.T > allowed)).any(0) & np.array([x is None or x in refs for x in langs], bool)
         return [m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, failed, ~failed & ~bad, [names[b] for b in best], mine[:, 0], mine[:, 1]]
 
     return kernel
 
 
-def judge(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang", refs: dict | None = None) -> DataFrame:
+def judge(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang", refs: References | None = None) -> DataFrame:
     """The `keep` columns, the counts, base_failed, kept, and the nearest reference with both distances."""
-    return per_document(docs, keep, text, _kernel(references(docs, text, lang) if refs is None else refs), FIELDS)
+    return per_document(docs, keep, text, _kernel(references(docs, text, lang) if refs is None else refs), FIELDS, beside=[lang])
 
 
-def filtered(docs: DataFrame, text: str = "text", lang: str = "lang", refs: dict | None = None) -> DataFrame:
+def filtered(docs: DataFrame, text: str = "text", lang: str = "lang", refs: References | None = None) -> DataFrame:
     """The rows of `docs` that `judge` keeps, with all their columns."""
-    kernel, at = _kernel(references(docs, text, lang) if refs is None else refs), docs.columns.index(text)
+    kernel, at, tag = _kernel(references(docs, text, lang) if refs is None else refs), docs.columns.index(text), docs.columns.index(lang)
     verdict = [f.name for f in FIELDS].index("kept")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = batch.column(at).cast(pa.binary()).to_pylist()
+            blobs, langs = batch.column(at).cast(pa.binary()).to_pylist(), batch.column(tag).to_pylist()
             for lo, hi in slices(blobs):
-                yield batch.slice(lo, hi - lo).filter(pa.array(kernel(blobs[lo:hi])[verdict]))
+                yield batch.slice(lo, hi - lo).filter(pa.array(kernel(blobs[lo:hi], langs[lo:hi])[verdict]))
 
     return docs.mapInArrow(run, docs.schema)

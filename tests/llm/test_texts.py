@@ -87,6 +87,25 @@ def test_quality_divergence_keeps_prose_and_drops_junk(spark, sf="/root/testdata
     assert whole.columns == docs.columns and whole.count() == quality.judge(docs, ["doc_id"], refs=refs).where("kept").count()
 
 
+CYRILLIC = "и в не на я быть он с что а по это она этот к но они мы весь который из у то за свой река камень свет дом утро дерево ветер бумага голос стекло зима лето".split()
+POLISH = "i w nie na z się do to że jest o jak ale po co tak za od go rzeka kamień światło dom poranek drzewo wiatr papier głos szkło zima lato".split()
+
+
+@pytest.mark.parametrize("others", [["en"], []])
+def test_quality_keeps_prose_of_languages_without_given_words(spark, others):
+    rows = [(i, prose(300, i), x) for x in others for i in range(20)]
+    rows += [(100 + i, prose(300, 100 + i, CYRILLIC), "ru") for i in range(20)] + [(200 + i, prose(300, 200 + i, POLISH), "pl") for i in range(20)]
+    rows += [(300, prose(300, 300, CYRILLIC), "bg"), (301, prose(300, 301, POLISH), None)]
+    junk = [(400 + i, " ".join(w + "###$$$" for w in prose(200, 400 + i, POLISH).split()), x) for i, x in enumerate(["ru", "pl", *others])]
+    docs = spark.createDataFrame(rows + junk, "doc_id bigint, text string, lang string").repartition(3)
+    refs = quality.references(docs)
+    assert set(refs) == {"ru", "pl", *others}
+    out = {r.doc_id: r for r in quality.judge(docs, ["doc_id"]).collect()}
+    assert all(out[d].kept for d, *_ in rows) and not any(out[d].kept for d, *_ in junk)
+    assert {out[d].nearest for d, _, x in rows if x == "ru"} == {"ru"} and {out[d].nearest for d, _, x in rows if x == "pl"} == {"pl"}
+    assert sorted(r.doc_id for r in quality.filtered(docs).collect()) == sorted(d for d, *_ in rows)
+
+
 def test_language_held_out_accuracy(spark, sf="/root/testdata/sf0.01"):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
