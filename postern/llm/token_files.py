@@ -8,7 +8,8 @@ in them ascend by document id. A part's base, the ids in all parts before it, is
 
 Encoding: documents are dealt out by ranges of their id and sorted within a part. Text is cut where the tokenizer's
 own pre-tokenizer cuts in any case: before a space or line break between two other characters; each task encodes
-a unit once and keeps a bounded number of them. A text with two white-space characters in a row is encoded whole.
+a unit once and keeps a bounded number of them. A text with two white-space characters in a row, or with a token
+added to the vocabulary such as `<|endoftext|>`, is encoded whole; such tokens get their own ids, the library's default.
 
 A task writes under a name of its own and renames at the end, so a task that runs twice or is lost leaves either
 nothing or the same complete files. Defined cases: null and empty texts have the end id alone; a null id sorts first;
@@ -36,6 +37,7 @@ from postern.session import shared_folder
 
 END_ID = 0
 _PAIR = regex.compile(r"\s\s")
+_SPACE = regex.compile(r"\s")
 
 
 def default_tokenizer() -> str:
@@ -56,8 +58,11 @@ class UnitEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
+        #: Units can't be told apart where a normalizer may make an added token, or one holds white space.
+        self.uncut = bool(added) and (self.tokenizer.normalizer is not None or any(_SPACE.search(t) for t in added))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.line = self._ids("\n")
@@ -103,7 +108,7 @@ class UnitEncoder:
             self.known, self.older = {}, self.known
         plain, heads = [], []
         for text in texts:
-            whole = not text or len(self.line) != 1 or text[0].isspace() or text[-1].isspace() or _PAIR.search(text)
+            whole = not text or self.uncut or len(self.line) != 1 or text[0].isspace() or text[-1].isspace() or _PAIR.search(text) or (self.added and self.added.search(text))
             units = [] if whole else text.replace("\n", " \n").split(" ")
             heads.append(text if whole else units.pop(0))
             plain.append(units)

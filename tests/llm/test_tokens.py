@@ -28,6 +28,21 @@ def test_token_files_hold_the_librarys_ids(spark):
     assert got == want
 
 
+def test_token_files_hold_the_ids_of_added_tokens_by_default(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["x <|endoftext|> y", "a b<|endoftext|>c d", "<|endoftext|>", "a <|endoftext|>\n<|endoftext|> b", "plain words <|endoftext |> here", "no such token"]
+    library = Tokenizer.from_file(token_files.default_tokenizer())
+    want, at = [], 0
+    for i, t in enumerate(texts):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert library.encode(texts[0], add_special_tokens=False).ids == [87, 220, 50256, 331]
+    got = token_files.round_trip(documents(spark, texts, dup=False)).collect()
+    assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want
+
+
 def test_token_files_of_an_empty_table(spark):
     assert token_files.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
 
