@@ -2,14 +2,14 @@ r"""Personal data by candidate gradient boosting, in DataFrame and SQL functions
 
 High-recall generators propose spans, which may overlap: four base kinds with fixed patterns, and further kinds
 (keys with a value, upper-case codes, hex strings, numbers like 123-45-6789, telephone numbers without country code).
-Each candidate has features of its format (length, digits, letters, marks, distinct characters) and its context (a cue
-word before it, the characters around it). Boosted trees score it. Base kinds that pass their check always count;
+Each candidate has features of its format (length, digits, letters, marks, distinct characters) and its context (the
+characters around it). Boosted trees score it. Base kinds that pass their check always count;
 proposed candidates count above their kind's threshold, the lowest at which the held-out candidates, a fifth of all,
 reached `PRECISION`. A kind with fewer than `LEAST_HELD` held-out candidates, or where no threshold reaches that, is
 judged by its label rule instead, so no kind is dropped for being rare. A proposed span that meets a base span, or a better neighbour in order of start, is dropped.
 
-Labels for training are not given, so they come from rules that the features don't show as such (check digits, octet
-ranges, known prefixes, cue words): `seed` below. The trees are fitted on at most about `SAMPLE` candidates of each
+Labels for training are not given, so they come from rules (cue words before it, valid area and exchange codes, known
+prefixes): `seed` below. None of these is a feature; only the rule of `key`, length and a digit, can be seen in them. The trees are fitted on at most about `SAMPLE` candidates of each
 proposed kind, chosen by hash; thresholds come from one aggregation over all candidates. The fitted trees become one SQL expression, so scoring is part of the row's projection: no shuffle,
 no Python. Offsets come from the pieces between matches, summed in blocks, so many matches in a text stay cheap.
 
@@ -45,6 +45,9 @@ PROPOSED = {
 KINDS = [*BASE, *PROPOSED]
 CUE = r"(?i)(?:mail|tel|phone|call|fax|card|ssn|social|password|passwd|pwd|secret|token|key|account|iban)[^A-Za-z0-9]{0,4}$"
 
+#: A cue of a secret anywhere in the 24 characters before a hex string.
+NEAR = r"(?i)(?:password|passwd|pwd|secret|token|key|auth|credential|bearer)"
+
 #: Candidates of each proposed kind to fit on.
 SAMPLE, TREES, DEPTH, PRECISION = 20_000, 20, 3, 0.9
 #: Held-out candidates a kind's threshold needs.
@@ -52,7 +55,7 @@ LEAST_HELD = 20
 _BUCKETS = 1_000_000_000
 _BLOCK = 256
 
-FEATURES = ["len", "digits", "upper", "lower", "marks", "distinct", "cue", "tight", "glued", *[f"is_{k}" for k in KINDS]]
+FEATURES = ["len", "digits", "upper", "lower", "marks", "distinct", "tight", "glued", *[f"is_{k}" for k in KINDS]]
 
 
 def _sql(pattern: str) -> str:
@@ -90,21 +93,21 @@ _CHECK = {
 }
 _SEED = {
     "code": "c.value rlike '^(AKIA|ASIA|AIza|GOCSPX)' OR c.before rlike {cue}",
-    "hex": "c.before rlike {cue}",
+    "hex": "c.before rlike {near}",
     "key": "length(c.value) >= 14 AND c.value rlike '[0-9]'",
-    "local": "c.before rlike {cue} OR startswith(c.value, '(')",
+    "local": "c.before rlike {cue} OR startswith(c.value, '(') OR " + _digits("c.value") + " rlike '^[2-9](?!11)[0-8][0-9][2-9](?!11)[0-9]{6}$'",
     "number": "NOT c.value rlike '^(000|666|9)' AND NOT c.value rlike '-00-|-0000$'",
 }
 
 
 def _candidate(kind: str) -> str:
     count = lambda chars: f"length(c.value) - length(regexp_replace(c.value, '[{chars}]', ''))"
-    seed = _SEED.get(kind, _CHECK.get(kind, "false")).replace("{cue}", _sql(CUE))
+    seed = _SEED.get(kind, _CHECK.get(kind, "false")).replace("{cue}", _sql(CUE)).replace("{near}", _sql(NEAR))
     flags = ", ".join(f"'is_{k}', {int(k == kind)}" for k in KINDS)
     return (
         f"transform(o_{kind}, c -> named_struct('kind', '{kind}', 'rank', {KINDS.index(kind)}, 'start', c.start, 'end', c.end, 'base', {_CHECK.get(kind, 'false')}, 'seed', {seed}, "
         f"'len', length(c.value), 'digits', {count('0-9')}, 'upper', {count('A-Z')}, 'lower', {count('a-z')}, 'marks', {count('^A-Za-z0-9')}, "
-        f"'distinct', size(array_distinct(split(c.value, ''))), 'cue', int(c.before rlike {_sql(CUE)}), 'tight', int(c.before rlike '[=:(\"]$'), 'glued', int(c.after rlike '^[A-Za-z0-9]'), {flags}))"
+        f"'distinct', size(array_distinct(split(c.value, ''))), 'tight', int(c.before rlike '[=:(\"]$'), 'glued', int(c.after rlike '^[A-Za-z0-9]'), {flags}))"
     )
 
 

@@ -85,6 +85,13 @@ def test_a_kind_with_one_label_alone_is_found(spark):
     assert [[s.kind for s in r.spans] for r in pii.find(docs.select("doc_id", "text"), pii.train(docs)).orderBy("doc_id").collect()] == [["number"], []]
 
 
+def test_local_numbers_and_secrets_without_a_cue_directly_before(spark):
+    texts = ["call me at 988-555-2485 now", "token of the build 0641917ea4e9feb9cda83477b57ac265 end", "part 123-411-2485 now", "commit 0641917ea4e9feb9cda83477b57ac265 end"]
+    docs = documents(spark, texts, dup=False)
+    found = pii.find(docs.select("doc_id", "text"), pii.train(docs)).orderBy("doc_id").collect()
+    assert [[s.kind for s in r.spans] for r in found] == [["local"], ["hex"], [], []] and "cue" not in pii.FEATURES
+
+
 def test_thresholds():
     assert pii._threshold([(0.9, 50, 50), (0.6, 50, 42), (0.2, 100, 0)], 0.9) == 0.6
     assert pii._threshold([(0.9, 5, 5)], 0.9) is None and pii._threshold([(0.3, 500, 5)], 0.9) is None
