@@ -6,7 +6,8 @@ Each candidate has features of its format (length, digits, letters, marks, disti
 characters around it). Boosted trees score it. Base kinds that pass their check always count;
 proposed candidates count above their kind's threshold, the lowest at which the held-out candidates, a fifth of all,
 reached `PRECISION`. A kind with fewer than `LEAST_HELD` held-out candidates, or where no threshold reaches that, is
-judged by its label rule instead, so no kind is dropped for being rare. A proposed span that meets a base span, or a better neighbour in order of start, is dropped.
+judged by its label rule instead, so no kind is dropped for being rare. Spans may
+overlap; none is dropped for that, and `redacted` merges them.
 
 Labels for training are not given, so they come from rules (cue words before it, valid area and exchange codes, known
 prefixes): `seed` below. None of these is a feature; only the rule of `key`, length and a digit, can be seen in them. The trees are fitted on at most about `SAMPLE` candidates of each
@@ -183,14 +184,9 @@ def find(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`docs` with the column `spans`: (kind, rank, start, end, base, score) by kind, then start."""
     low = "CASE c.kind " + " ".join(f"WHEN '{k}' THEN {max(0.0, t - 0.005)}D" for k, t in model.thresholds.items()) + " ELSE 2.0D END" if model.thresholds else "2.0D"
     short = f"transform(_found, c -> named_struct('start', c.start, 'end', c.end, 'kind', c.kind, 'rank', c.rank, 'base', c.base, 'score', CASE WHEN c.base THEN 1.0D ELSE {model.score} END, 'low', {low}))"
-    kept = f"array_sort(filter({short}, c -> c.base OR (c.rank >= {len(BASE)} AND c.score >= c.low)))"
-    beats = "(o.base OR o.score > c.score OR (o.score = c.score AND o.start < c.start))"
-    clash = lambda at: f"exists(slice(_kept, {at}, 1), o -> o.start < c.end AND c.start < o.end AND {beats})"
-    near = " OR ".join([f"(i > {d - 1} AND {clash(f'greatest(1, i + 1 - {d})')})" for d in (1, 2)] + [clash(f"i + 1 + {d}") for d in (1, 2)])
-    spans = f"filter(_kept, (c, i) -> c.base OR NOT ({near}))"
-    ordered = "array_sort(transform(spans, c -> named_struct('rank', c.rank, 'start', c.start, 'end', c.end, 'kind', c.kind, 'base', c.base, 'score', c.score)))"
-    df = with_candidates(docs, text).withColumn("_kept", F.expr(kept)).withColumn("spans", F.expr(spans))
-    return df.withColumn("spans", F.expr(ordered)).drop("_found", "_kept")
+    kept = f"filter({short}, c -> c.base OR (c.rank >= {len(BASE)} AND c.score >= c.low))"
+    ordered = f"array_sort(transform({kept}, c -> named_struct('rank', c.rank, 'start', c.start, 'end', c.end, 'kind', c.kind, 'base', c.base, 'score', c.score)))"
+    return with_candidates(docs, text).withColumn("spans", F.expr(ordered)).drop("_found")
 
 
 def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
