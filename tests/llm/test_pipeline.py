@@ -107,6 +107,12 @@ def test_run_matches_brute_force(spark, sf):
     assert None in ids and not ids & {300, 301, 302, 303, 310, 311, 312, 320} and {0, 100, 200, 330} <= ids and len(ids & set(range(330, 342))) < 12
 
 
+def test_texts_of_a_repeated_doc_id_stay(spark, sf):
+    a, b = prose(80, 1), prose(80, 2)
+    docs = spark.createDataFrame([(1, a, "x"), (1, b, "x"), (7, b, "x"), (1, a, "x")], "doc_id bigint, text string, lang string").repartition(3)
+    assert sorted(tuple(r)[:2] for r in corpus_pipeline.near_copies(spark, docs, sf).collect()) == sorted([(1, a), (1, b)])
+
+
 def test_stages_keep_the_columns_of_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "ngram_jaccard_join", "benchmark_decontamination", "personal_data", "sentencepiece"]
