@@ -5,10 +5,12 @@ word shingles, and a document contains it only if it contains every one of them,
 the window's rarest shingle, counted over all documents. Documents meet windows on that token alone; bounds on
 length and position cut pairs that can't fit, and the words themselves decide.
 
-Steps. (1) A bit table of fixed size (`BITS`, 2 MB) of the items' shingles goes to all tasks: its size doesn't depend
-on the benchmark. (2) One pass over the documents keeps each maximal run of positions whose shingles are in the
-table and that is long enough for some window; for clean documents that is nothing. (3) Runs and windows are joined
-on the rarest shingle, and compared word by word. Everything after (2) is small and stays in Spark SQL.
+Steps. (1) A bit table of the items' shingles goes to all tasks: `SPARE` bits a shingle, but 2^`MOST_BITS` (16 MB) at
+most, whatever the benchmark. (2) One pass over the documents keeps each maximal run of positions whose shingles are in
+the table and that is long enough for some window; for clean documents that is nothing. (3) The positions of the runs,
+without their words, meet windows on the rarest shingle; what fits in length and position is handed back to its run and
+compared there word by word. A run of L words is L narrow rows and one row of L words, never L rows of L words, so a
+whole long document may be a hit. Everything after (2) stays in Spark SQL.
 
 Defined cases: a null or empty text has no words and no hit; a null or empty item has no window; rows repeating a
 doc_id are each judged and returned; items repeating an item_id count once; very long texts are whole; empty tables
@@ -17,7 +19,7 @@ give empty or clean results. Only the named columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,8 @@ from postern.session import stage
 
 WINDOW = 10
 SHINGLE = 3
-BITS = 24
+#: Bits of the table for each distinct shingle of the items, and the least and most bits in all, as powers of two.
+SPARE, LEAST_BITS, MOST_BITS = 64, 20, 27
 
 _RUN = StructType(
     [
@@ -80,8 +83,15 @@ def _table(found: DataFrame, bits: int) -> np.ndarray:
     return table.view(U64)
 
 
-def runs(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
-    """Per document: n_words and the runs of words that could hold a window."""
+def table_bits(found: DataFrame) -> int:
+    """Size of the bit table as a power of two."""
+    n = found.select(F.explode("tokens").alias("t")).agg(F.approx_count_distinct("t")).first()[0]
+    return min(MOST_BITS, max(LEAST_BITS, (SPARE * n).bit_length()))
+
+
+def runs(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Per document: the `keep` columns, n_words and the runs of words that could hold a window."""
+    bits = table_bits(found) if bits is None else bits
     least = {r["size"]: r["n"] for r in found.groupBy("size").agg(F.min(F.size("words")).alias("n")).collect()}
     table = docs.sparkSession.sparkContext.broadcast(_table(found, bits))
     shift = U64(64 - bits)
@@ -107,14 +117,17 @@ def runs(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str =
                     rows[d].append({"size": size, "start": a - int(base[d]), "words": [w.decode() for w in words[a : z + size]], "tokens": h[a : z + 1].view(np.int64).tolist()})
         return [counts, rows]
 
-    return per_document(docs, [doc_id], text, kernel, [StructField("n_words", LongType()), StructField("runs", ArrayType(_RUN))])
+    return per_document(docs, [doc_id, *keep], text, kernel, [StructField("n_words", LongType()), StructField("runs", ArrayType(_RUN))])
 
 
-def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(documents with n_words and a row key, occurrences: row key, start word, n words, item)."""
+def hits(
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", window: int = WINDOW, shingle: int = SHINGLE, keep: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """(documents with the `keep` columns, n_words and a row key, occurrences: row key, start word, n words, item)."""
     found = stage(windows(items, item_id, "text", window, shingle))
-    kept = stage(runs(docs, found, doc_id, text).withColumn("_row", F.monotonically_increasing_id()))
-    place = kept.select("_row", F.explode("runs").alias("r")).select("_row", "r", F.posexplode("r.tokens").alias("k", "token"))
+    kept = stage(runs(docs, found, doc_id, text, keep=keep).withColumn("_row", F.monotonically_increasing_id()))
+    run = kept.select("_row", F.posexplode("runs").alias("run", "r"))
+    place = run.select("_row", "run", F.size("r.words").alias("length"), F.col("r.size").alias("size"), F.posexplode("r.tokens").alias("k", "token"))
     counts = place.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     spread = found.select("item", "words", "size", F.posexplode("tokens").alias("offset", "token"))
     rarest = (
@@ -124,10 +137,12 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         .where(F.col("m.n") > 0)
         .select("item", F.col("words").alias("want"), F.col("size").alias("of"), F.col("m.token").alias("token"), F.col("m.offset").alias("offset"))
     )
-    at, width = F.col("k") - F.col("offset"), F.size("want")
-    near = place.join(rarest, "token").where((F.col("r.size") == F.col("of")) & (at >= 0) & (at + width <= F.size("r.words")))
-    exact = near.where(F.slice("r.words", at + 1, width) == F.col("want"))
-    return kept.drop("runs"), exact.select("_row", (F.col("r.start") + at).alias("start"), width.alias("n"), "item")
+    at = F.col("k") - F.col("offset")
+    near = place.join(rarest, "token").where((F.col("size") == F.col("of")) & (at >= 0) & (at + F.size("want") <= F.col("length")))
+    tried = near.groupBy("_row", "run").agg(F.collect_list(F.struct(at.alias("at"), "want", "item")).alias("tried"))
+    same = F.filter("tried", lambda c: F.slice(F.col("r.words"), c["at"] + 1, F.size(c["want"])) == c["want"])
+    exact = run.join(tried, ["_row", "run"]).select("_row", F.col("r.start").alias("first"), F.explode(same).alias("c"))
+    return kept.drop("runs"), exact.select("_row", (F.col("first") + F.col("c.at")).alias("start"), F.size("c.want").alias("n"), F.col("c.item").alias("item"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:

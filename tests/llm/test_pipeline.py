@@ -27,6 +27,8 @@ def fixture():
     base = prose(150, 810, english).split(" ")
     rows += [(330 + i, " ".join([*base[: 10 * i], *["changed"] * (i % 4), *base[10 * i :]]), "en") for i in range(12)]
     rows += [(5, rows[5][1], "en"), (rows[60][0] + 1000, rows[60][1], None), (None, prose(150, 900, english), "en")]
+    # Rows without a doc_id: one is hit, another has a copy.
+    rows += [(None, f"{prose(70, 901, english)} {ITEM} {prose(70, 902, english)}", "en"), (None, prose(150, 903, english), "en"), (None, prose(150, 903, english), "en")]
     return [(d, t, x, "s", None if t is None else len(t)) for d, t, x in rows]
 
 
@@ -113,6 +115,18 @@ def test_texts_of_a_repeated_doc_id_stay(spark, sf):
     assert sorted(tuple(r)[:2] for r in corpus_pipeline.near_copies(spark, docs, sf).collect()) == sorted([(1, a), (1, b)])
 
 
+def test_a_hit_without_doc_id_takes_no_other_row_along(spark, sf):
+    docs = spark.createDataFrame([(None, f"a {ITEM} b", 1), (None, "clean words", 2), (None, None, 3), (4, f"a {ITEM} b", 4), (4, "clean too", 5)], "doc_id bigint, text string, _row int")
+    kept = corpus_pipeline.benchmark_free(spark, docs, sf)
+    assert kept.columns == docs.columns and sorted(r._row for r in kept.collect()) == [2, 3, 5]
+
+
+def test_of_rows_equal_in_id_and_text_the_least_stays(spark, sf):
+    t = prose(80, 1)
+    docs = spark.createDataFrame([(1, t, "b", "z"), (1, t, "a", "y"), (1, t, None, "y")], "doc_id bigint, text string, lang string, rest string").repartition(3)
+    assert [(r.lang, r.rest) for r in corpus_pipeline.near_copies(spark, docs, sf).collect()] == [(None, "y")]
+
+
 def test_stages_keep_the_columns_of_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "ngram_jaccard_join", "benchmark_decontamination", "personal_data", "sentencepiece"]

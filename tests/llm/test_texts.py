@@ -159,6 +159,15 @@ def test_decontamination_matches_brute_force(spark):
     assert sorted((tuple(r) for r in out.collect()), key=key) == sorted(want, key=key)
 
 
+def test_a_whole_long_document_may_be_a_hit(spark):
+    """One run of 100,000 words: its rows are narrow, so they take about as much as the text."""
+    text = " ".join(f"w{i % 9973}x{i % 89}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, "x " + " ".join(text.split()[:300]))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, text)], "item_id bigint, text string")
+    out = {r.doc_id: r for r in decontaminate.digest(decontaminate.decontaminate(docs, items)).collect()}
+    assert (out[1].n_hit, out[1].n_items) == (100_000, 1) and out[2].n_hit == 300
+
+
 @pytest.mark.parametrize("which", ["docs", "items"])
 def test_decontamination_of_empty_tables(spark, which):
     docs = documents(spark, [] if which == "docs" else None)
