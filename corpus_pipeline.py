@@ -1,7 +1,8 @@
 """A corpus pipeline over `documents`: what each stage keeps is the next one's input.
 
-Decisions are by doc_id: rows of one doc_id stand or fall together in the second and third stage. Rows without a
-doc_id are never taken for copies. Texts are redacted before they are encoded.
+The second stage decides by doc_id: rows of one doc_id stay or go together, and of rows equal in doc_id and text the least
+one stays. Rows without a doc_id are never taken for copies. All other stages judge each row by its own text. Texts are
+redacted before they are encoded.
 """
 
 from __future__ import annotations
@@ -25,15 +26,21 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the smallest doc_id, with each different text it has once."""
     groups = ngram_join.link_groups(docs.select("doc_id", "text"), n=NGRAM, percent=PERCENT)
     first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0), *rest)).alias("rest"))
+    kept = kept.select("doc_id", "text", *[F.col("rest")[c].alias(c) for c in rest])
     return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    rows, hits = decontaminate.hits(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = rows.join(hits.select("_row").distinct(), "_row", "left_semi").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_hit"]), "left_anti")
+    # A hit is a fact about the text, so it is carried back by 128 bits of hash of the text.
+    mark = ["_one", "_two"]
+    marked = docs.withColumns({"_one": F.xxhash64("text"), "_two": F.xxhash64(F.lit(1), "text")})
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    rows, hits = decontaminate.hits(marked.select("doc_id", "text", *mark), items, keep=mark)
+    found = rows.join(hits.select("_row").distinct(), "_row", "left_semi").select(*mark).distinct()
+    return marked.join(found, mark, "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
