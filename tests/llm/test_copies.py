@@ -83,7 +83,7 @@ def brute_dedup(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window", [35, 12, 61])
+@pytest.mark.parametrize("window", [35, 12, 61, 100])
 def test_dedup_matches_brute_force(spark, window):
     r = random.Random(7)
     passages = [prose(r.randint(20, 90), 100 + i) for i in range(6)]
@@ -95,6 +95,30 @@ def test_dedup_matches_brute_force(spark, window):
     assert sorted(got, key=key) == sorted(brute_dedup(rows, window), key=key)
 
 
+def test_dedup_with_null_and_common_ids(spark):
+    """Rows without an id, or with one very common id, are texts of their own; equal texts repeat each other whole."""
+    texts = [*[prose(60, i) for i in range(40)], *[prose(60, i)[20:] + " " + prose(50, 900 + i) for i in range(40)], *[prose(70, 1)] * 30]
+    docs = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    rows = [(x.doc_id, x.text) for x in docs.collect()]
+    key = lambda x: tuple((y is not None, y) for y in x)
+    for window in (35, 61):
+        got = [tuple(x) for x in substrings.digest(substrings.dedup(docs, window=window)).collect()]
+        assert sorted(got, key=key) == sorted(brute_dedup(rows, window), key=key)
+
+
+def test_texts_are_shuffled_once(spark):
+    """The next length and the cut read one exchange of the texts."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = substrings.dedup(documents(spark))
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.split("Initial Plan")[0].count("ReusedExchange") == 1
+
+
 def test_lengths_double():
     assert substrings.lengths(35) == [18, 35] and substrings.lengths(100) == [13, 25, 50, 100] and substrings.lengths(12) == [12]
 
