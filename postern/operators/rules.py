@@ -100,13 +100,14 @@ def cert_rules() -> list[Column]:
     return out
 
 
-_DRAFT_COLUMNS = ["capture_id", "session_id", "server", "category", "verdict", "frames", "confidence_override", "baseline_scope", "affected_sessions", "domain"]
+_DRAFT_COLUMNS = ["capture_id", "session_id", "server", "category", "verdict", "frames", "severity_override", "confidence_override", "baseline_scope", "affected_sessions", "domain"]
 
 
 def _drafts(df: DataFrame, extra_keys: list[str] | None = None) -> DataFrame:
     """Bring any draft table to the common draft columns."""
     defaults = {
         "server": F.lit(None).cast("string"),
+        "severity_override": F.lit(None).cast("string"),
         "confidence_override": F.lit(None).cast("double"),
         "baseline_scope": F.lit(None).cast("string"),
         "affected_sessions": F.lit(1).cast("bigint"),
@@ -240,17 +241,19 @@ def resolve(drafts: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Join the policy: an override beats the rule, the rule beats the default."""
     rules = dims.rules(drafts.sparkSession) if rules is None else rules
     frames = F.array_sort(F.array_distinct("frames"))
-    severity = F.coalesce(F.col("severity"), F.lit("INFO"))
+    own = F.col("severity_override")
+    severity = F.coalesce(own, F.col("severity"), F.lit("INFO"))
+    rank = F.when(own.isNotNull(), dims.lookup(own, dims.SEVERITY_RANK, 9)).otherwise(F.col("severity_rank"))
     return (
         drafts.join(F.broadcast(rules), "category", "left")
+        .withColumn("severity_rank", F.coalesce(rank, F.lit(9)))
         .withColumn("severity", severity)
-        .withColumn("severity_rank", F.coalesce(F.col("severity_rank"), F.lit(9)))
         .withColumn("confidence", F.coalesce("confidence_override", "confidence", F.lit(0.5)))
         .withColumn("title", F.coalesce(F.col("title"), F.initcap(F.replace(F.col("category"), F.lit("_"), F.lit(" ")))))
         .withColumn("frames", frames)
         .withColumn("finding_frame", F.array_min("frames"))
         .withColumn("finding_last_frame", F.array_max("frames"))
-        .drop("confidence_override")
+        .drop("confidence_override", "severity_override")
     )
 
 
