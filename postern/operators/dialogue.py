@@ -1,21 +1,26 @@
 """Protocol lines to protocol events for the three mail dialects.
 
-A line is first tagged on its own. What depends on the dialogue (is an upgrade still pending, does
-a prompt await a credential, is a capability block open) is always a question about the *last
-marker before this line*, so it is answered by running maxima and never by walking a flow.
+A line is first tagged on its own. What depends on the dialogue (has the server greeted, is an upgrade still pending,
+which credential does a prompt await, is a capability block open) is a state machine of a dozen states: each
+line is a map from state to state, and one prefix scan (operators/scan.py) tells every line the state it is read in.
+Two contexts are values, not states: the account name before a password and the tag of the last upgrade request. Only
+the lines that need them are looked at again, by running maxima.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postern.functions.text import from_base64, is_mangled, secret_evidence
 from postern.operators.ordered import running
+from postern.operators.scan import packed, states_before
 from postern.session import stage
 
 FLOW = ["capture_id", "flow"]
-FRAMES_PER_BLOCK = 4096
+FRAMES_PER_BLOCK = 64
 
 
 def _starts(col: Column, *prefixes: str) -> Column:
@@ -27,96 +32,111 @@ def _starts(col: Column, *prefixes: str) -> Column:
 
 def tag_lines(lines: DataFrame) -> DataFrame:
     """Stateless facts of each line: upper text, direction flags and, for IMAP, tag, verb and rest."""
-    up = F.upper("text")
     parts = F.split(F.trim("text"), r"\s+", 3)
-    side = F.when(F.col("dir") == "c2s", 0).otherwise(1)
     return (
-        lines.withColumn("up", up)
+        lines.withColumn("up", F.upper("text"))
         .withColumn("from_server", F.col("dir") == "s2c")
         .withColumn("tag", F.upper(F.get(parts, F.lit(0))))
         .withColumn("verb", F.upper(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))))
         .withColumn("rest", F.coalesce(F.get(parts, F.lit(2)), F.lit("")))
-        .withColumn("side", side)
-        .withColumn("pos", F.struct("frame", "side", "line_offset"))
-        .withColumn("blk", F.floor(F.col("frame") / FRAMES_PER_BLOCK))
     )
 
 
+# States of a dialogue, as bits: greeted (1), upgrade pending (2), and above them what a prompt awaits (SMTP: nothing, a
+# user name, a password) or whether a capability block is open (POP3); for IMAP the second bit is an unanswered AUTHENTICATE.
+N_STATES = 12
+_FIELDS = ["", "username", "password"]
+
+
+def _step(move: Callable[[int, int, int], tuple[int, int, int]]) -> Column:
+    """The map that moves (greeted, second bit, rest) of each state."""
+    after = [move(s & 1, s >> 1 & 1, s >> 2) for s in range(N_STATES)]
+    return F.lit(packed([g | p << 1 | r << 2 for g, p, r in after]))
+
+
+def _steps(smtp: Column, imap: Column, pop: Column, s2c: Column) -> Column:
+    up, ok = F.col("up"), F.col("up").startswith("+OK")
+    stay = _step(lambda g, p, r: (g, p, r))
+    off = _step(lambda g, p, r: (g, 0, r))
+    greet = _step(lambda g, p, r: (1, p, r))
+    prompt = F.trim(F.substr("text", F.lit(5))) == "VXNlcm5hbWU6"
+    smtp_srv = (
+        F.when(up.startswith("220"), F.when(F.contains(up, F.lit("TLS")), _step(lambda g, p, r: (1, p if not g else 0, r))).otherwise(greet))
+        .when(_refused(), off)
+        .when(up.startswith("334"), F.when(prompt, _step(lambda g, p, r: (g, p, 1))).otherwise(_step(lambda g, p, r: (g, p, 2))))
+    )
+    smtp_cli = (
+        F.when(up.startswith("STARTTLS"), _step(lambda g, p, r: (g, 1, r)))
+        .when(up.rlike(r"^AUTH +LOGIN\b"), _step(lambda g, p, r: (g, p, 1)))
+        .when(_starts(up, "EHLO", "HELO", "AUTH "), stay)
+        .otherwise(_step(lambda g, p, r: (g, p, 0)))
+    )
+    imap_srv = F.when(_imap_greets(), greet)
+    # A client line right after an unanswered AUTHENTICATE is its credential; runs of them alternate.
+    imap_cli = F.when(F.col("verb") == "AUTHENTICATE", _step(lambda g, p, r: (g, 1 - p, r))).otherwise(off)
+    # A server line that resolves an upgrade neither opens nor closes a capability block.
+    pop_srv = (
+        F.when(up.startswith("+OK CAPA"), _step(lambda g, p, r: (1, p if not g else 0, r if not g or p else 1)))
+        .when(ok, _step(lambda g, p, r: (1, p if not g else 0, r)))
+        .when(F.trim("text") == ".", _step(lambda g, p, r: (g, 0, r if p else 0)))
+        .otherwise(off)
+    )
+    pop_cli = F.when(up.startswith("STLS"), _step(lambda g, p, r: (g, 1, r))).when(up.startswith("CAPA"), _step(lambda g, p, r: (g, p, 1)))
+    pick = lambda server, client: F.when(s2c, server).otherwise(client)
+    return F.coalesce(F.when(smtp, pick(smtp_srv, smtp_cli)).when(imap, pick(imap_srv, imap_cli)).when(pop, pick(pop_srv, pop_cli)), stay)
+
+
+def _refused() -> Column:
+    return _starts(F.col("up"), "454", "502", "500", "421")
+
+
+def _imap_greets() -> Column:
+    return _starts(F.col("text"), "* OK", "* PREAUTH")
+
+
 def with_context(lines: DataFrame) -> DataFrame:
     """Tagged lines plus the dialogue context each one is read in, by blocks of frames for every flow."""
     c = F.col
     order = ["frame", "side", "line_offset"]
-
-    def look_back(t: DataFrame, aggs: dict, keys: list[str] = FLOW) -> DataFrame:
-        """Running values; the input is read twice, so it is written in between."""
-        return stage(running(t, keys, order, "blk", aggs))
-
     s2c, smtp, imap, pop = c("from_server"), c("protocol") == "SMTP", c("protocol") == "IMAP", c("protocol") == "POP3"
-    greet_like = s2c & (
-        (smtp & c("up").startswith("220")) | (imap & _starts(c("text"), "* OK", "* PREAUTH")) | (pop & c("up").startswith("+OK"))
-    )
-    t = look_back(tag_lines(lines).withColumn("greet_like", greet_like), {"greeted": ("sum", c("greet_like").cast("int"))})
-    t = t.withColumn("is_greeting", c("greet_like") & (F.coalesce("greeted", F.lit(0)) == 0))
-    accept = smtp & s2c & ~c("is_greeting") & c("up").startswith("220") & F.contains(c("up"), F.lit("TLS"))
-    refuse = smtp & s2c & _starts(c("up"), "454", "502", "500", "421")
-    ask = ~s2c & ((smtp & c("up").startswith("STARTTLS")) | (pop & c("up").startswith("STLS")))
-    login = smtp & ~s2c & c("up").rlike(r"^AUTH +LOGIN\b")
-    prompt = smtp & s2c & c("up").startswith("334")
-    keyword = smtp & ~s2c & _starts(c("up"), "EHLO", "HELO", "STARTTLS", "AUTH ")
-    prompt_kind = F.when(F.trim(F.substr("text", F.lit(5))) == "VXNlcm5hbWU6", F.lit("username")).otherwise(F.lit("password"))
-    t = t.withColumns({"k_accept": accept, "k_refuse": refuse, "k_authenticate": imap & ~s2c & (c("verb") == "AUTHENTICATE")})
-    t = look_back(
-        t,
-        {
-            # last marker before a line: pending upgrade (SMTP and POP3)
-            "last_upgrade": (
-                "max",
-                F.when(ask, F.struct("pos", F.lit(True).alias("on"))).when(
-                    (c("k_accept") | c("k_refuse")) | (pop & s2c & ~c("is_greeting")), F.struct("pos", F.lit(False).alias("on"))
-                ),
-            ),
-            # last marker: what credential a prompt awaits; any other client line uses it up
-            "last_prompt": (
-                "max",
-                F.when(prompt, F.struct("pos", prompt_kind.alias("field")))
-                .when(login, F.struct("pos", F.lit("username").alias("field")))
-                .when(smtp & ~s2c & ~keyword, F.struct("pos", F.lit("").alias("field"))),
-            ),
-            # last POP3 account name
-            "last_user": ("max", F.when(pop & ~s2c & c("up").startswith("USER "), F.struct("pos", F.trim(F.substr("text", F.lit(6))).alias("user")))),
-            "clients_before": ("sum", (~s2c).cast("bigint")),
-        },
-    )
-    pending = F.coalesce(c("last_upgrade.on"), F.lit(False))
+    blk = F.floor(c("frame") / FRAMES_PER_BLOCK)
+    placed = lines.withColumn("side", F.when(c("dir") == "c2s", 0).otherwise(1))
+    step = tag_lines(placed).withColumn("_step", _steps(smtp, imap, pop, s2c))
+    read = states_before(step.select(*placed.columns, "_step"), FLOW, order, blk, c("_step"), 0, N_STATES).drop("_step")
+    t = tag_lines(stage(read))
+
+    greeted, second, third = c("state") % 2 == 1, F.floor(c("state") / 2) % 2 == 1, F.floor(c("state") / 4).cast("int")
+    greets = s2c & ((smtp & c("up").startswith("220")) | (imap & _imap_greets()) | (pop & c("up").startswith("+OK")))
+    t = t.withColumn("is_greeting", greets & ~greeted)
+    pending = second & ~imap
     t = t.withColumns(
         {
+            "k_accept": smtp & s2c & ~c("is_greeting") & c("up").startswith("220") & F.contains(c("up"), F.lit("TLS")),
+            "k_refuse": smtp & s2c & _refused(),
             "upgrade_pending": pending,
-            "client_no": F.coalesce("clients_before", F.lit(0)) + 1,
+            "last_prompt": F.struct(F.when(smtp, F.element_at(F.array(*[F.lit(x) for x in _FIELDS]), third + 1)).otherwise(F.lit("")).alias("field")),
             "pop_resolves": pop & s2c & ~c("is_greeting") & pending,
+            "in_capa": pop & (third == 1),
+            "sasl_line": imap & ~s2c & second,
         }
     )
-    resolves = c("pop_resolves")
-    opens = (pop & ~s2c & c("up").startswith("CAPA")) | (pop & s2c & ~resolves & ~c("is_greeting") & c("up").startswith("+OK CAPA"))
-    closes = pop & s2c & ~resolves & (F.trim("text") == ".")
-    t = look_back(
-        t,
-        {
-            "last_capa": ("max", F.when(opens, F.struct("pos", F.lit(True).alias("on"))).when(closes, F.struct("pos", F.lit(False).alias("on")))),
-            "last_plain": ("max", F.when(imap & ~s2c & ~c("k_authenticate"), c("client_no"))),
-        },
-    )
-    # A client line right after an unanswered AUTHENTICATE is its credential; runs of them alternate.
-    run = c("client_no") - 1 - F.coalesce("last_plain", F.lit(0))
-    consumed = imap & ~s2c & (F.pmod(run, F.lit(2)) == 1)
-    t = t.withColumns({"in_capa": F.coalesce(c("last_capa.on"), F.lit(False)), "sasl_line": consumed})
     t = t.withColumn("imap_asks", imap & ~s2c & ~c("sasl_line") & (c("verb") == "STARTTLS"))
-    t = look_back(t, {"last_tag": ("max", F.when(c("imap_asks"), F.struct("pos", "tag")))})
-    answer = imap & s2c & c("last_tag").isNotNull() & c("up").startswith(F.concat(c("last_tag.tag"), F.lit(" ")))
-    t = t.withColumns({"asked": c("last_tag.pos"), "answer": F.coalesce(answer, F.lit(False))})
+    names = pop & ~s2c & _starts(c("up"), "USER ", "PASS ")
+    again = F.coalesce(names | c("imap_asks") | (imap & s2c), F.lit(False))
+    user = F.struct(*order, F.trim(F.substr("text", F.lit(6))).alias("user"))
+    look = running(
+        t.where(again).withColumn("blk", blk), FLOW, order, "blk",
+        {"last_user": ("max", F.when(names & c("up").startswith("USER "), user)), "last_tag": ("max", F.when(c("imap_asks"), F.struct(*order, "tag")))},
+    ).drop("blk")
+    answers = F.coalesce(imap & s2c & c("up").startswith(F.concat(c("last_tag.tag"), F.lit(" "))), F.lit(False))
+    look = stage(look.withColumn("answers", answers))
     # only the first answer to an upgrade request counts
-    t = t.withColumn("asked_key", F.coalesce(F.to_json("asked"), F.lit("")))
-    t = look_back(t, {"answers_before": ("sum", c("answer").cast("int"))}, [*FLOW, "asked_key"])
-    return t.withColumn("tag_answers", c("answer") & (F.coalesce("answers_before", F.lit(0)) == 0)).select(*lines.columns, *_CONTEXT)
+    here = F.struct(*order)
+    first = look.where("answers").groupBy(*FLOW, "last_tag").agg(F.min(here).alias("_first"))
+    look = look.join(first, [*FLOW, "last_tag"], "left").withColumn("tag_answers", c("answers") & (here == c("_first")))
+    plain = t.where(~again).withColumns({"last_user": F.lit(None).cast(look.schema["last_user"].dataType), "tag_answers": F.lit(False)})
+    wanted = [*lines.columns, *_CONTEXT]
+    return plain.select(*wanted).unionByName(look.withColumn("tag_answers", F.coalesce("tag_answers", F.lit(False))).select(*wanted))
 
 
 _CONTEXT = [
@@ -138,19 +158,31 @@ _CONTEXT = [
 ]
 
 
-def _event(cond: Column, kind: str | Column, detail: Column | None = None, credential: Column | None = None) -> Column:
+#: What an event says beside its line, typed; a field that does not belong to the kind is NULL.
+META = ["banner", "identity", "keyword", "command", "mechanism", "mechanisms", "token", "reply_code", "status", "starttls", "login_disabled", "field"]
+_TYPES = {"mechanisms": "array<string>", "starttls": "boolean", "login_disabled": "boolean"}
+
+
+def _event(cond: Column, kind: str | Column, detail: Column | None = None, credential: Column | None = None, **meta: Column | str) -> Column:
     k = F.lit(kind) if isinstance(kind, str) else kind
     none = F.lit(None).cast("struct<mechanism:string,username_redacted:string,credential_length:int,credential_sha256_prefix:string>")
+    value = lambda m: F.lit(meta[m]) if isinstance(meta.get(m), str) else meta.get(m, F.lit(None))
     return F.when(
         cond,
         F.struct(
-            k.alias("kind"), (F.col("text") if detail is None else detail).alias("detail"), (none if credential is None else credential).alias("credential")
+            k.alias("kind"),
+            (F.col("text") if detail is None else detail).alias("detail"),
+            (none if credential is None else credential).alias("credential"),
+            F.struct(*[value(m).cast(_TYPES.get(m, "string")).alias(m) for m in META]).alias("meta"),
         ),
     )
 
 
 def events(lines: DataFrame) -> DataFrame:
-    """Protocol events of a dialogue: one row per event with kind, position, detail and redacted credential."""
+    """Protocol events of a dialogue: one row per event with kind, position, time, detail, redacted credential and metadata.
+
+    `ts` is the time of the line's first byte, where the lines have one.
+    """
     c = F.col
     t = with_context(lines)
     s2c, c2s = c("from_server"), ~c("from_server")
@@ -165,19 +197,19 @@ def events(lines: DataFrame) -> DataFrame:
     pop_cli: list[Column] = []
     banner = F.when(pop, F.trim(F.substr("text", F.lit(4)))).otherwise(F.trim(F.substr("text", F.lit(5))))
     for rules in (smtp_srv, imap_srv, pop_srv):
-        rules.append(_event(greeting, "greeting", banner))
+        rules.append(_event(greeting, "greeting", banner, banner=banner))
     # --- SMTP, server side
     srv = smtp & s2c & ~greeting
     offers = up.rlike(r"^250[- ]STARTTLS\s*$")
     token = F.substr("text", F.lit(5))
     mangled = up.rlike("^250[- ]") & is_mangled(token)
     auth_cap = up.rlike(r"^250[- ]AUTH\s+.+$")
-    smtp_srv.append(_event(srv & offers, "upgrade_advertised"))
-    smtp_srv.append(_event(srv & ~offers & mangled, "upgrade_advertised_mangled", F.trim(token)))
-    smtp_srv.append(_event(srv & ~offers & ~mangled & auth_cap, "capability_response"))
+    smtp_srv.append(_event(srv & offers, "upgrade_advertised", keyword="STARTTLS"))
+    smtp_srv.append(_event(srv & ~offers & mangled, "upgrade_advertised_mangled", F.trim(token), token=F.trim(token)))
+    smtp_srv.append(_event(srv & ~offers & ~mangled & auth_cap, "capability_response", mechanisms=F.split(F.trim(F.regexp_extract("text", r"(?i)^250[- ]AUTH\s+(.+)$", 1)), r"\s+")))
     rest = srv & ~offers & ~mangled & ~auth_cap
     smtp_srv.append(_event(rest & c("k_accept"), "upgrade_accepted"))
-    smtp_srv.append(_event(rest & c("k_refuse") & c("upgrade_pending"), "upgrade_rejected"))
+    smtp_srv.append(_event(rest & c("k_refuse") & c("upgrade_pending"), "upgrade_rejected", reply_code=F.substr("text", F.lit(1), F.lit(3))))
     smtp_srv.append(_event(rest & up.startswith("235"), "auth_succeeded"))
     smtp_srv.append(_event(rest & up.startswith("535"), "auth_failed"))
     # --- SMTP, client side
@@ -187,9 +219,9 @@ def events(lines: DataFrame) -> DataFrame:
     mechanism = F.upper(F.coalesce(F.get(words, F.lit(1)), F.lit("UNKNOWN")))
     plain = from_base64(F.get(words, F.lit(2)))
     plain_parts = F.split(plain, "\u0000")
-    smtp_cli.append(_event(cli & hello, "capability_request", F.trim(F.substr("text", F.lit(6)))))
-    smtp_cli.append(_event(cli & ~hello & starts, "upgrade_requested"))
-    smtp_cli.append(_event(cli & ~hello & ~starts & auth, "auth_requested", F.concat(F.lit("AUTH "), mechanism)))
+    smtp_cli.append(_event(cli & hello, "capability_request", F.trim(F.substr("text", F.lit(6))), identity=F.trim(F.substr("text", F.lit(6)))))
+    smtp_cli.append(_event(cli & ~hello & starts, "upgrade_requested", command="STARTTLS"))
+    smtp_cli.append(_event(cli & ~hello & ~starts & auth, "auth_requested", F.concat(F.lit("AUTH "), mechanism), mechanism=mechanism))
     smtp_cli.append(
         _event(
             cli & ~hello & ~starts & auth & (mechanism == "PLAIN") & (F.size(words) > 2),
@@ -208,6 +240,7 @@ def events(lines: DataFrame) -> DataFrame:
             "auth_credential",
             F.concat(F.lit("AUTH LOGIN "), field),
             secret_evidence(F.lit("AUTH LOGIN"), F.when(is_user, decoded), decoded),
+            field=field,
         )
     )
     idle = other & (field == "")
@@ -215,11 +248,11 @@ def events(lines: DataFrame) -> DataFrame:
     smtp_cli.append(_event(idle & up.startswith("QUIT"), "session_end", F.lit("QUIT")))
     # --- IMAP
     caps = imap & s2c & (up.startswith("* CAPABILITY") | F.contains(up, F.lit("[CAPABILITY")))
-    imap_srv.append(_event(caps, "capability_response"))
-    imap_srv.append(_event(caps & up.rlike(r"\bSTARTTLS\b"), "upgrade_advertised"))
+    imap_srv.append(_event(caps, "capability_response", starttls=up.rlike(r"\bSTARTTLS\b"), login_disabled=up.rlike(r"\bLOGINDISABLED\b")))
+    imap_srv.append(_event(caps & up.rlike(r"\bSTARTTLS\b"), "upgrade_advertised", keyword="STARTTLS"))
     status = F.get(F.split(F.trim("text"), r"\s+"), F.lit(1))
     verdict = F.when(F.upper(status) == "OK", F.lit("upgrade_accepted")).otherwise(F.lit("upgrade_rejected"))
-    imap_srv.append(_event(c("tag_answers"), verdict))
+    imap_srv.append(_event(c("tag_answers"), verdict, status=F.upper(status)))
     icl = imap & c2s
     imap_cli.append(
         _event(icl & c("sasl_line"), "auth_credential", F.lit("IMAP AUTHENTICATE credential"), secret_evidence(F.lit("IMAP AUTHENTICATE"), decoded, decoded))
@@ -227,8 +260,8 @@ def events(lines: DataFrame) -> DataFrame:
     live = icl & ~c("sasl_line")
     verb = c("verb")
     imap_cli.append(_event(live & (verb == "CAPABILITY"), "capability_request"))
-    imap_cli.append(_event(c("imap_asks"), "upgrade_requested"))
-    imap_cli.append(_event(live & (verb == "LOGIN"), "auth_requested", F.lit("LOGIN")))
+    imap_cli.append(_event(c("imap_asks"), "upgrade_requested", command="STARTTLS"))
+    imap_cli.append(_event(live & (verb == "LOGIN"), "auth_requested", F.lit("LOGIN"), mechanism="LOGIN"))
     login = r'(?i)^\S+\s+LOGIN\s+(?:"([^"]*)"|(\S+))\s+(?:"([^"]*)"|(\S+))\s*$'
     group = lambda i: F.regexp_extract("text", login, i)
     user = F.when(group(1) != "", group(1)).otherwise(group(2))
@@ -237,18 +270,18 @@ def events(lines: DataFrame) -> DataFrame:
         _event(live & (verb == "LOGIN") & (password != ""), "auth_credential", F.lit("IMAP LOGIN credential"), secret_evidence(F.lit("IMAP LOGIN"), user, password))
     )
     imap_mech = F.upper(F.coalesce(F.get(F.split("rest", r"\s+"), F.lit(0)), F.lit("UNKNOWN")))
-    imap_cli.append(_event(live & (verb == "AUTHENTICATE"), "auth_requested", F.concat(F.lit("AUTHENTICATE "), imap_mech)))
+    imap_cli.append(_event(live & (verb == "AUTHENTICATE"), "auth_requested", F.concat(F.lit("AUTHENTICATE "), imap_mech), mechanism=imap_mech))
     imap_cli.append(_event(live & verb.isin("SELECT", "EXAMINE", "FETCH", "LIST"), "mailbox_access", verb))
     imap_cli.append(_event(live & (verb == "LOGOUT"), "session_end", F.lit("LOGOUT")))
     # --- POP3
     pop_srv.append(_event(c("pop_resolves"), F.when(up.startswith("+OK"), F.lit("upgrade_accepted")).otherwise(F.lit("upgrade_rejected"))))
     listing = pop & s2c & ~greeting & ~c("pop_resolves") & c("in_capa")
-    pop_srv.append(_event(listing & (F.trim("up") == "STLS"), "upgrade_advertised"))
+    pop_srv.append(_event(listing & (F.trim("up") == "STLS"), "upgrade_advertised", keyword="STLS"))
     pcl = pop & c2s
     capa, stls = up.startswith("CAPA"), up.startswith("STLS")
     pop_cli.append(_event(pcl & capa, "capability_request"))
-    pop_cli.append(_event(pcl & ~capa & stls, "upgrade_requested"))
-    pop_cli.append(_event(pcl & up.startswith("USER "), "auth_requested", F.lit("USER")))
+    pop_cli.append(_event(pcl & ~capa & stls, "upgrade_requested", command="STLS"))
+    pop_cli.append(_event(pcl & up.startswith("USER "), "auth_requested", F.lit("USER"), mechanism="USER/PASS"))
     pw = F.trim(F.substr("text", F.lit(6)))
     pop_cli.append(_event(pcl & up.startswith("PASS "), "auth_credential", F.lit("POP3 PASS credential"), secret_evidence(F.lit("POP3 USER/PASS"), c("last_user.user"), pw)))
     pop_cli.append(_event(pcl & _starts(up, "STAT", "LIST", "RETR", "UIDL", "TOP "), "mailbox_access", F.get(words, F.lit(0))))
@@ -259,9 +292,8 @@ def events(lines: DataFrame) -> DataFrame:
         for cond, rules in ((dialect & s2c, server_rules), (dialect & c2s, client_rules)):
             hits = F.array_compact(F.array(*rules))
             found = F.when(cond, hits) if found is None else found.when(cond, hits)
-    return t.select(*FLOW, "protocol", "dir", "frame", "line_offset", F.posexplode(found).alias("event_no", "e")).select(
-        *FLOW, "protocol", "dir", "frame", "line_offset", "event_no", "e.kind", "e.detail", "e.credential"
-    )
+    at = [*FLOW, "protocol", "dir", "frame", "line_offset", *(["ts"] if "ts" in lines.columns else [])]
+    return t.select(*at, F.posexplode(found).alias("event_no", "e")).select(*at, "event_no", "e.kind", "e.detail", "e.credential", "e.meta")
 
 
 def first_greeting(evts: DataFrame) -> DataFrame:

@@ -133,3 +133,28 @@ def test_scale_blocks_ascend_with_the_value(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
     got = [r["b"] for r in df.select("i", ordered.scale_block(F.col("v")).alias("b")).orderBy("i").collect()]
     assert got == sorted(got) and len(set(got)) >= len(values) - 2
+
+
+def test_a_flow_of_a_million_sparse_frames(spark):
+    """One event a block of frames: the maps compose in a tree, and every event still knows the state before it."""
+    n = 1_000_000
+    kind = F.when(F.col("id") % 2 == 0, F.lit("upgrade_requested")).otherwise(F.lit("upgrade_rejected"))
+    ev = spark.range(n).select(F.lit(0).alias("capture_id"), F.lit(0).alias("flow"), (F.col("id") * 1000).alias("frame"), F.lit(0).cast("bigint").alias("line_offset"), F.lit(0).alias("event_no"), kind.alias("kind"))
+    fl = spark.createDataFrame([(0, 0, False)], "capture_id int, flow int, implicit_tls boolean")
+    steps = fsm.replay(ev, fl)
+    asked = F.col("k") == fsm.KINDS.index("upgrade_requested")
+    before = F.when(F.col("frame") == 0, fsm.TCP).when(asked, fsm.REJECTED).otherwise(fsm.REQUESTED)
+    assert steps.agg(F.count(F.lit(1)), F.count_if(F.col("before") == before), F.count_if(F.col("after") == F.when(asked, fsm.REQUESTED).otherwise(fsm.REJECTED))).first()[:] == (n, n, n)
+
+
+def test_event_time_and_metadata(spark):
+    script = [("s2c", "220 mx"), ("c2s", "EHLO me"), ("s2c", "250-STARTTLS"), ("s2c", "250 AUTH PLAIN  LOGIN"), ("c2s", "STARTTLS"), ("s2c", "454 no"), ("c2s", "AUTH LOGIN"), ("s2c", "334 VXNlcm5hbWU6"), ("c2s", "cm9vdA==")]
+    df = spark.createDataFrame([(0, 0, "SMTP", d, i, 0, i * 0.5, t) for i, (d, t) in enumerate(script)], "capture_id int, flow int, protocol string, dir string, frame int, line_offset int, ts double, text string")
+    ev = dialogue.events(df)
+    got = {r.kind: (r.frame, r.ts, {k: v for k, v in r.meta.asDict().items() if v is not None}) for r in ev.collect()}
+    assert got["greeting"] == (0, 0.0, {"banner": "mx"}) and got["upgrade_advertised"][2] == {"keyword": "STARTTLS"} and got["capability_request"][2] == {"identity": "me"}
+    assert got["capability_response"][2] == {"mechanisms": ["PLAIN", "LOGIN"]} and got["upgrade_requested"] == (4, 2.0, {"command": "STARTTLS"}) and got["upgrade_rejected"] == (5, 2.5, {"reply_code": "454"})
+    assert got["auth_requested"][2] == {"mechanism": "LOGIN"} and got["auth_credential"][2] == {"field": "username"}
+    fl = spark.createDataFrame([(0, 0, False)], "capture_id int, flow int, implicit_tls boolean")
+    said = [tuple(r)[4:] for r in fsm.described(ev, fl).orderBy("frame").collect()]
+    assert said == [(0.0, "TCP_CONNECTED", "PLAINTEXT_EMAIL", "server greeting"), (2.0, "PLAINTEXT_EMAIL", "TLS_REQUESTED", "STARTTLS requested"), (2.5, "TLS_REQUESTED", "STARTTLS_REJECTED", "server rejected upgrade (454)")]
