@@ -319,6 +319,11 @@ def duck(*names: str) -> str:
     return text
 
 
+def text(name: str) -> str:
+    """SQL of one view, for an oracle that defines what it rests on itself."""
+    return _TEXT[name]
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
