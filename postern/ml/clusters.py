@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postern.session import cut_lineage, stage
@@ -30,23 +31,68 @@ def standardise(df: DataFrame, columns: Sequence[str], within: Sequence[str] = (
     return df.withColumns(cols)
 
 
-def _neighbours(points: DataFrame, columns: Sequence[str], eps: float, grid: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
-    """Pairs of distinct points of one population within `eps`.
+def _square(a: Column, b: Column) -> Column:
+    return (a - b) * (a - b)
 
-    Points fall into grid cells of side `eps` over the `grid` columns (3 of them), and meet only points of
-    the same or an adjacent cell: an equi-join on the cell instead of all pairs.
+
+def _cells(points: DataFrame, columns: Sequence[str], eps: float, grid: Sequence[str], within: Sequence[str]) -> DataFrame:
+    """Points with their fine cell (`cell`) and its coarse one (`_g0`, `_g1`, ...).
+
+    A fine cell has the side eps / sqrt(d) over all d columns, so its points are all within `eps` of each other: a clique
+    that needs no pairs. A coarse cell is ceil(sqrt(d)) fine ones wide, `eps` at least, over the `grid` columns.
     """
-    cell = [F.floor(F.col(g) / F.lit(eps)).alias(f"_g{i}") for i, g in enumerate(grid)]
-    left = points.select("pid", *within, *columns, *cell)
-    shifted = left
-    for i in range(len(grid)):
-        shifted = shifted.withColumn(f"_s{i}", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(f"_g{i}", F.col(f"_g{i}") + F.col(f"_s{i}")).drop(f"_s{i}")
-    right = shifted.select(F.col("pid").alias("other"), *within, *[F.col(c).alias(f"_o_{c}") for c in columns], *[f"_g{i}" for i in range(len(grid))])
+    side, wide = eps / math.sqrt(len(columns)), math.ceil(math.sqrt(len(columns)))
+    fine = {c: F.floor(F.col(c) / F.lit(side)) for c in columns}
+    coarse = {f"_g{i}": F.floor(fine[g] / F.lit(wide)) for i, g in enumerate(grid)}
+    return points.withColumn("cell", F.concat_ws(",", *[F.col(w).cast("string") for w in within], *[fine[c].cast("string") for c in columns])).withColumns(coarse)
+
+
+def _linked_cells(points: DataFrame, columns: Sequence[str], eps: float, grid: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """(cell, label): fine cells that a chain of steps of at most `eps` connects, by the smallest of their names.
+
+    Cells of the same or an adjacent coarse cell meet as boxes. Boxes whose farthest corners lie within `eps` are linked,
+    boxes farther apart than `eps` are not. The rest matters only where it would join two groups of cells; there the
+    points of both that lie near the other's box are compared.
+    """
+    placed = stage(_cells(points, columns, eps, grid, within))
+    grids = [f"_g{i}" for i in range(len(grid))]
+    bounds = [f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]
+    boxes = stage(placed.groupBy(*within, *grids, "cell").agg(*bounds))
+    shifted = boxes.select(
+        *within, *[F.col(g) for g in grids], F.col("cell").alias("other"), *[F.col(f"_{n}_{c}").alias(f"_o{n}_{c}") for c in columns for n in ("lo", "hi")]
+    )
+    for g in grids:
+        shifted = shifted.withColumn("_s", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(g, F.col(g) + F.col("_s")).drop("_s")
+    near, far = F.lit(0.0), F.lit(0.0)
+    for c in columns:
+        lo, hi, olo, ohi = (F.col(f"{n}_{c}") for n in ("_lo", "_hi", "_olo", "_ohi"))
+        gap = F.greatest(F.lit(0.0), lo - ohi, olo - hi)
+        near, far = near + gap * gap, far + F.greatest(_square(hi, olo), _square(ohi, lo))
+    limit = F.lit(eps * eps)
+    met = boxes.join(shifted, [*within, *grids]).where((F.col("cell") < F.col("other")) & (near <= limit))
+    met = stage(met.select("cell", "other", (far <= limit).alias("sure")))
+    nodes = boxes.select(F.col("cell").alias("pid"))
+    first = components(nodes, met.where("sure").select(F.col("cell").alias("pid"), "other"))
+    named = lambda side, label: first.select(F.col("pid").alias(side), F.col("label").alias(label))
+    unsure = stage(met.where("NOT sure").join(named("cell", "_ga"), "cell").join(named("other", "_gb"), "other").where("_ga <> _gb").select("cell", "other", "_ga", "_gb"))
+
+    def side_points(pairs: DataFrame, own: str, of: str, prefix: str) -> DataFrame:
+        """Points of one side's cells that lie within `eps` of the other side's box."""
+        box = boxes.select(F.col("cell").alias(of), *[f"_{n}_{c}" for c in columns for n in ("lo", "hi")])
+        rows = pairs.join(placed.select(F.col("cell").alias(own), *columns), own).join(box, of)
+        out = F.lit(0.0)
+        for c in columns:
+            gap = F.greatest(F.lit(0.0), F.col(c) - F.col(f"_hi_{c}"), F.col(f"_lo_{c}") - F.col(c))
+            out = out + gap * gap
+        return rows.where(out <= limit).select("cell", "other", "_ga", "_gb", *[F.col(c).alias(f"{prefix}{c}") for c in columns])
+
     d2 = F.lit(0.0)
     for c in columns:
-        d2 = d2 + (F.col(c) - F.col(f"_o_{c}")) * (F.col(c) - F.col(f"_o_{c}"))
-    pairs = left.join(right, [*within, *[f"_g{i}" for i in range(len(grid))]])
-    return pairs.where((F.col("pid") < F.col("other")) & (d2 <= F.lit(eps * eps))).select("pid", "other")
+        d2 = d2 + _square(F.col(f"_x_{c}"), F.col(f"_y_{c}"))
+    compared = side_points(unsure, "cell", "other", "_x_").join(side_points(unsure, "other", "cell", "_y_"), ["cell", "other", "_ga", "_gb"]).where(d2 <= limit)
+    links = compared.select(F.col("_ga").alias("pid"), F.col("_gb").alias("other")).distinct()
+    final = components(first.select(F.col("label").alias("pid")).distinct(), links)
+    return first.select(F.col("pid").alias("cell"), F.col("label").alias("pid")).join(final, "pid").select("cell", "label")
 
 
 def components(points: DataFrame, edges: DataFrame) -> DataFrame:
@@ -72,14 +118,18 @@ def cluster_clients(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
     """Cluster of each row, its size and share of its population, and whether the stack is novel.
 
     With two points making a cluster, density clusters are exactly the connected components of the
-    eps-graph. Identical vectors are merged first, so the graph is over distinct stacks only; a stack is
-    named by its population and its values.
+    eps-graph. Identical vectors are merged first, and stacks of one fine cell are one group without comparing them, so
+    the graph is over the cells of distinct stacks; a stack is named by its population and its values.
     """
     z = stage(standardise(df.select(*dict.fromkeys([*within, *keys, *columns])), columns, within))
     name = F.to_json(F.array(*[F.col(c).cast("string") for c in [*within, *columns]]))
     stacks = stage(z.groupBy(*within, *columns).agg(F.count(F.lit(1)).alias("n")).withColumn("pid", name))
-    labels = components(stacks, _neighbours(stacks, columns, eps, list(grid or columns[:3]), within))
-    sized = stacks.select("pid", *within, "n").join(labels, "pid")
+    axes = list(grid or columns[:3])
+    cells = _linked_cells(stacks, columns, eps, axes, within)
+    grouped = _cells(stacks.select("pid", *within, "n", *columns), columns, eps, axes, within).join(cells.withColumnRenamed("label", "_group"), "cell")
+    # A group is named by its smallest stack.
+    first = grouped.groupBy("_group").agg(F.min("pid").alias("label"))
+    sized = grouped.join(first, "_group").select("pid", *within, "n", "label")
     size = sized.groupBy("label").agg(F.sum("n").alias("size"))
     if within:
         sized = sized.join(z.groupBy(*within).agg(F.count(F.lit(1)).alias("total")), list(within))

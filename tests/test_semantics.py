@@ -137,3 +137,12 @@ def test_projection_and_clusters_stay_within_a_population(spark):
     for r in rows:
         by.setdefault(r["cluster"], set()).add(r["g"])
     assert len(rows) == 120 and all(len(g) == 1 for g in by.values())
+
+
+def test_many_stacks_in_one_coarse_cell(spark):
+    """100,000 distinct stacks that fall into one cell of side eps after scaling, and two that don't."""
+    n = 100_000
+    pts = spark.range(n).select("id", (F.pmod(F.xxhash64("id"), F.lit(10**9)) / 10**9).alias("a"), (F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(10**9)) / 10**9).alias("b"), (F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(10**9)) / 10**9).alias("c"))
+    far = spark.createDataFrame([(n, 5e4, 5e4, 5e4), (n + 1, -5e4, -5e4, -5e4)], "id bigint, a double, b double, c double")
+    out = clusters.cluster_clients(pts.unionByName(far), ["id"], ["a", "b", "c"])
+    assert sorted(tuple(r) for r in out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.bool_or("is_noise").alias("noise")).select("n", "size", "noise").collect()) == [(1, 1, True), (1, 1, True), (n, n, False)]
