@@ -141,16 +141,16 @@ def snaplen_truncated(snaplen: Column) -> Column:
     return F.coalesce(snaplen < 1500, F.lit(False))
 
 
-def evidence_slice(packets: DataFrame, targets: DataFrame) -> DataFrame:
+def evidence_slice(packets: DataFrame, targets: DataFrame, block: int = SLICE_BLOCK) -> DataFrame:
     """Packets inside each target's frame window on its stream.
 
     `targets` = (capture, target, stream, first_frame, last_frame). The range join carries an equality on
     (capture, stream, frame block), so it hash-partitions and a hot stream spreads over its blocks.
     """
     t = targets.withColumn(
-        "_blk", F.explode(F.sequence(F.floor(F.col("first_frame") / SLICE_BLOCK), F.floor(F.col("last_frame") / SLICE_BLOCK)))
+        "_blk", F.explode(F.sequence(F.floor(F.col("first_frame") / block), F.floor(F.col("last_frame") / block)))
     ).withColumnsRenamed({"first_frame": "_lo", "last_frame": "_hi"})
-    p = packets.withColumn("_blk", F.floor(F.col("frame") / SLICE_BLOCK))
+    p = packets.withColumn("_blk", F.floor(F.col("frame") / block))
     return p.join(t, [*FLOW, "_blk"]).where(F.col("frame").between(F.col("_lo"), F.col("_hi"))).drop("_blk", "_lo", "_hi")
 
 
@@ -170,6 +170,38 @@ def slice_manifest(sliced: DataFrame) -> DataFrame:
     )
 
 
+def merkle(rows: DataFrame, keys: list[str], leaf: Column, block: int, fan: int = 1024, levels: int = 2) -> DataFrame:
+    """(keys, frames, octets, digest) of frame rows: a hash over the hashes of blocks, in a tree of `levels` above them.
+
+    Leaves are sorted by frame within a block of `block` frames, blocks within groups of `fan`, and so on, so no task holds
+    more than one block or `fan` hashes, but for the last step: one hash for every block * fan ** (levels - 1) frames.
+    """
+    join = lambda at, of: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, of))), lambda x: x[of]), ""), 256)
+    out = rows.select(*keys, "frame", F.col("tcp_len").cast("bigint").alias("b"), F.sha2(leaf, 256).alias("h"), F.floor(F.col("frame") / block).alias("at"))
+    out = out.groupBy(*keys, "at").agg(F.count(F.lit(1)).alias("frames"), F.sum("b").alias("octets"), join("frame", "h").alias("h"))
+    for k in range(levels):
+        up = [] if k == levels - 1 else [F.floor(F.col("at") / fan).alias("up")]
+        out = out.groupBy(*keys, *up).agg(F.sum("frames").alias("frames"), F.sum("octets").alias("octets"), join("at", "h").alias("h"))
+        out = out.withColumnRenamed("up", "at")
+    return out.withColumnRenamed("h", "digest")
+
+
+def custody(packets: DataFrame, targets: DataFrame, block: int = 1024) -> DataFrame:
+    """Chain-of-custody record of each target's evidence slice.
+
+    Digest of the slice, digest of the capture it was cut from, frames, bytes and the display filter that finds them again.
+    The blocks are about as wide as a window, so a packet meets only the targets around it.
+    """
+    from postern.operators.sessions import display_filter
+
+    leaf = F.concat_ws("|", *[F.col(c).cast("string") for c in ("frame", "stream", "src_ip", "src_port", "dst_ip", "dst_port", "tcp_len")])
+    parent = merkle(packets, ["capture_id"], leaf, block).select("capture_id", F.col("digest").alias("parent_sha256"))
+    window = targets.select("capture_id", "target", display_filter(F.col("stream"), F.col("first_frame"), F.col("last_frame")).alias("display_filter"))
+    cut = merkle(evidence_slice(packets, targets, block), ["capture_id", "target"], leaf, block)
+    rows = cut.join(window, ["capture_id", "target"]).join(parent, "capture_id")
+    return rows.select("capture_id", "target", "display_filter", F.col("frames").alias("frame_count"), F.col("octets").alias("size_bytes"), F.col("digest").alias("sha256"), "parent_sha256")
+
+
 def protocol_of(flows: DataFrame) -> DataFrame:
     """Protocol and how it was identified: bytes first, port second.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from postern import dims
 from postern.functions.scores import count_if, server_key
 from postern.operators.ordered import numbered
+from postern.session import stage
 
 FRAMES_PER_BLOCK = 1_000_000
 
@@ -257,17 +258,28 @@ def resolve(drafts: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     )
 
 
-def findings(sessions: DataFrame, dns_drafts: DataFrame | None = None, extra_keys: list[str] | None = None) -> DataFrame:
-    """All findings of the session tables, resolved against the default policy, not yet numbered."""
+def thresholds(policy: DataFrame) -> dict[str, float]:
+    """Thresholds that the policy sets for the stripping rule; what it leaves out keeps its default. One row is read."""
+    row = policy.where(F.col("category") == "starttls_stripping").select("min_sessions_for_baseline", "min_advertise_ratio").first()
+    found = {"min_sessions": row and row[0], "min_ratio": row and row[1]}
+    return {k: v for k, v in found.items() if v is not None}
+
+
+def findings(sessions: DataFrame, dns_drafts: DataFrame | None = None, extra_keys: list[str] | None = None, policy: DataFrame | None = None) -> DataFrame:
+    """All findings of the session tables, not yet numbered.
+
+    Severities, confidences and thresholds come from `policy` (the rules of `readers.load_policy`), or else from the default.
+    """
     ek = list(extra_keys or [])
+    limits = {} if policy is None else thresholds(policy)
     drafts = (
         session_drafts(sessions, extra_keys=ek)
-        .unionByName(stripping_drafts(sessions, extra_keys=ek))
+        .unionByName(stripping_drafts(sessions, extra_keys=ek, **limits))
         .unionByName(pqc_gap_drafts(sessions, extra_keys=ek))
     )
     if dns_drafts is not None:
         drafts = drafts.unionByName(dns_drafts)
-    return resolve(drafts)
+    return resolve(drafts, None if policy is None else policy.select("category", "severity", "severity_rank", "confidence", "title", "standards"))
 
 
 def number(found: DataFrame) -> DataFrame:
@@ -283,6 +295,25 @@ def number(found: DataFrame) -> DataFrame:
     return ranked.withColumn("finding_ref", F.format_string("F-%04d", "finding_no"))
 
 
+def observations(found: DataFrame, events: DataFrame, changes: DataFrame) -> DataFrame:
+    """What the capture shows for each finding: (capture, finding_ref, frame, direction, kind, detail), a row each.
+
+    These are the events at the frames the finding cites, by a join on the frame itself; a finding without any cites its
+    session as a whole and gets the session's state changes. `events` = (capture, session_id, frame, dir, kind, detail),
+    `changes` = (capture, session_id, frame, from_state, to_state, trigger).
+    """
+    key = ["capture_id", "session_id"]
+    named = found.select(*key, "category", "finding_ref")
+    every = named.join(evidence_frames(found, events), [*key, "category"]).select(*key, "finding_ref", "frame")
+    own = found.select(*key, "finding_ref", F.explode("frames").alias("frame"))
+    cited = every.unionByName(own).distinct()
+    seen = stage(cited.join(events.select(*key, "frame", "dir", "kind", "detail"), [*key, "frame"]).select(*key, "finding_ref", "frame", F.col("dir").alias("direction"), "kind", "detail"))
+    whole = named.join(seen.select("capture_id", "finding_ref").distinct(), ["capture_id", "finding_ref"], "left_anti")
+    text = F.concat("from_state", F.lit(" → "), "to_state", F.lit(" ("), "trigger", F.lit(")"))
+    steps = whole.join(changes, key).select(*key, "finding_ref", "frame", F.lit(None).cast("string").alias("direction"), F.lit("state_transition").alias("kind"), text.alias("detail"))
+    return seen.unionByName(steps)
+
+
 def evidence_frames(found: DataFrame, events: DataFrame) -> DataFrame:
     """Every frame a finding cites, as rows: (capture, session, category, frame)."""
     spark = found.sparkSession

@@ -28,4 +28,4 @@ def query(name: str, covers: str, oracle: str | None = None) -> Callable[[Job],
 
 
 def load_all() -> None:
-    from postern.plans import jobs_ml, jobs_sessions, jobs_traffic, jobs_whatif, jobs_wire  # noqa: F401
+    from postern.plans import jobs_evidence, jobs_ml, jobs_sessions, jobs_traffic, jobs_whatif, jobs_wire  # noqa: F401

@@ -162,11 +162,16 @@ def parse_dns(lines: DataFrame, capture_id: Column | int = 0) -> DataFrame:
     )
 
 
-def load_policy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Rules and posture weights from a policy document: {"rules": {...}, "posture_weights": {...}}."""
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", schemas.POLICY).alias("p"))
+def parse_policy(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rules and posture weights from policy documents in `value`: {"rules": {...}, "posture_weights": {...}}."""
+    doc = texts.select(F.from_json("value", schemas.POLICY).alias("p"))
     rules = doc.select(F.explode("p.rules").alias("category", "r")).select("category", "r.*")
     rank = dims.lookup("severity", dims.SEVERITY_RANK, 9)
     rules = rules.withColumn("severity_rank", rank).withColumn("standards", F.coalesce("standards", F.array().cast("array<string>")))
     weights = doc.select(F.explode("p.posture_weights").alias("dimension", "weight")).where(F.col("weight").try_cast("double").isNotNull())
     return rules, weights.withColumn("weight", F.col("weight").cast("double"))
+
+
+def load_policy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rules and posture weights of the policy document at `path`."""
+    return parse_policy(spark.read.text(path, wholetext=True))

@@ -54,3 +54,34 @@ def test_rewrite_replaces_only_its_capture(spark, tmp_path):
     sinks.write_results(spark.createDataFrame([(1, "a"), (2, "b")], "capture_id int, v string"), out)
     sinks.write_results(spark.createDataFrame([(2, "c"), (2, "d")], "capture_id int, v string"), out)
     assert sorted((r["capture_id"], r["v"]) for r in spark.read.parquet(out).collect()) == [(1, "a"), (2, "c"), (2, "d")]
+
+
+def test_a_failed_version_leaves_the_last_one_readable(spark, tmp_path):
+    out = str(tmp_path / "pub")
+    assert sinks.published(spark, out) == {}
+    first = {"a": spark.range(3), "b": spark.range(5)}
+    assert sinks.publish(spark, first, out) == 1
+    broken = spark.range(4).select(F.raise_error(F.lit("stop")).alias("x"))
+    try:
+        sinks.publish(spark, {"a": spark.range(9), "b": broken}, out)
+        raise AssertionError("must fail")
+    except AssertionError:
+        raise
+    except Exception as e:
+        assert "stop" in str(e)
+    now = sinks.published(spark, out)
+    assert (now["a"].count(), now["b"].count()) == (3, 5)
+    assert sinks.publish(spark, {"a": spark.range(7)}, out) == 2
+    assert {k: v.count() for k, v in sinks.published(spark, out).items()} == {"a": 7} and sinks.published(spark, out, 1)["b"].count() == 5
+
+
+def test_digests_of_a_slice_do_not_depend_on_the_partitions(spark):
+    from postern.operators import flows
+
+    rows = [(1, s, f, "a", 1, "b", 25, f % 90) for f in range(4000) for s in [f % 3]]
+    p = spark.createDataFrame(rows, "capture_id int, stream int, frame bigint, src_ip string, src_port int, dst_ip string, dst_port int, tcp_len int")
+    t = spark.createDataFrame([(1, 5, 2, 0, 400), (1, 9, 1, 1000, 2500)], "capture_id int, target int, stream int, first_frame bigint, last_frame bigint")
+    one, two = ([tuple(r) for r in flows.custody(p.repartition(n), t).orderBy("target").collect()] for n in (1, 7))
+    assert one == two and [(r[1], r[3]) for r in one] == [(t, sum(s[1] == k and a <= s[2] <= b for s in rows)) for t, k, a, b in ((5, 2, 0, 400), (9, 1, 1000, 2500))]
+    changed = flows.custody(p.where("frame <> 3999"), t).orderBy("target").collect()
+    assert [r.sha256 for r in changed] == [r[5] for r in one] and changed[0].parent_sha256 != one[0][6]
