@@ -31,8 +31,14 @@ def standardise(df: DataFrame, columns: Sequence[str], within: Sequence[str] = (
     return df.withColumns(cols)
 
 
-def _square(a: Column, b: Column) -> Column:
-    return (a - b) * (a - b)
+def _sum_of_squares(gaps: Column) -> Column:
+    return F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
+
+
+def _outside(lo: Column | str, hi: Column | str, other_lo: Column | str, other_hi: Column | str) -> Column:
+    """Squared distance of two boxes, given as arrays of their bounds; a point is a box of its own."""
+    over, under = F.zip_with(lo, other_hi, lambda a, b: a - b), F.zip_with(other_lo, hi, lambda a, b: a - b)
+    return _sum_of_squares(F.zip_with(over, under, lambda a, b: F.greatest(F.lit(0.0), a, b)))
 
 
 def _cells(points: DataFrame, columns: Sequence[str], eps: float, grid: Sequence[str], within: Sequence[str]) -> DataFrame:
@@ -42,9 +48,10 @@ def _cells(points: DataFrame, columns: Sequence[str], eps: float, grid: Sequence
     that needs no pairs. A coarse cell is ceil(sqrt(d)) fine ones wide, `eps` at least, over the `grid` columns.
     """
     side, wide = eps / math.sqrt(len(columns)), math.ceil(math.sqrt(len(columns)))
-    fine = {c: F.floor(F.col(c) / F.lit(side)) for c in columns}
-    coarse = {f"_g{i}": F.floor(fine[g] / F.lit(wide)) for i, g in enumerate(grid)}
-    return points.withColumn("cell", F.concat_ws(",", *[F.col(w).cast("string") for w in within], *[fine[c].cast("string") for c in columns])).withColumns(coarse)
+    fine = lambda x: F.floor(x / F.lit(side))
+    coarse = {f"_g{i}": F.floor(fine(F.col(g)) / F.lit(wide)) for i, g in enumerate(grid)}
+    at = F.transform(F.array(*[F.col(c) for c in columns]), lambda x: fine(x).cast("string"))
+    return points.withColumn("cell", F.concat_ws(",", *[F.col(w).cast("string") for w in within], F.array_join(at, ","))).withColumns(coarse)
 
 
 def _linked_cells(points: DataFrame, columns: Sequence[str], eps: float, grid: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
@@ -54,42 +61,32 @@ def _linked_cells(points: DataFrame, columns: Sequence[str], eps: float, grid: S
     boxes farther apart than `eps` are not. The rest matters only where it would join two groups of cells; there the
     points of both that lie near the other's box are compared.
     """
-    placed = stage(_cells(points, columns, eps, grid, within))
+    # Bounds and points are arrays: expressions over many columns by name are what the optimizer is slow at.
+    vector = F.array(*[F.col(c) for c in columns])
+    placed = stage(_cells(points, columns, eps, grid, within).withColumn("_v", vector))
     grids = [f"_g{i}" for i in range(len(grid))]
-    bounds = [f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]
+    bounds = [F.array(*[f(c) for c in columns]).alias(n) for n, f in (("_lo", F.min), ("_hi", F.max))]
     boxes = stage(placed.groupBy(*within, *grids, "cell").agg(*bounds))
-    shifted = boxes.select(
-        *within, *[F.col(g) for g in grids], F.col("cell").alias("other"), *[F.col(f"_{n}_{c}").alias(f"_o{n}_{c}") for c in columns for n in ("lo", "hi")]
-    )
+    shifted = boxes.select(*within, *grids, F.col("cell").alias("other"), F.col("_lo").alias("_olo"), F.col("_hi").alias("_ohi"))
     for g in grids:
         shifted = shifted.withColumn("_s", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(g, F.col(g) + F.col("_s")).drop("_s")
-    near, far = F.lit(0.0), F.lit(0.0)
-    for c in columns:
-        lo, hi, olo, ohi = (F.col(f"{n}_{c}") for n in ("_lo", "_hi", "_olo", "_ohi"))
-        gap = F.greatest(F.lit(0.0), lo - ohi, olo - hi)
-        near, far = near + gap * gap, far + F.greatest(_square(hi, olo), _square(ohi, lo))
+    far = _sum_of_squares(F.zip_with(F.zip_with("_hi", "_olo", lambda a, b: F.abs(a - b)), F.zip_with("_ohi", "_lo", lambda a, b: F.abs(a - b)), lambda a, b: F.greatest(a, b)))
     limit = F.lit(eps * eps)
-    met = boxes.join(shifted, [*within, *grids]).where((F.col("cell") < F.col("other")) & (near <= limit))
+    met = boxes.join(shifted, [*within, *grids]).where((F.col("cell") < F.col("other")) & (_outside("_lo", "_hi", "_olo", "_ohi") <= limit))
     met = stage(met.select("cell", "other", (far <= limit).alias("sure")))
     nodes = boxes.select(F.col("cell").alias("pid"))
     first = components(nodes, met.where("sure").select(F.col("cell").alias("pid"), "other"))
     named = lambda side, label: first.select(F.col("pid").alias(side), F.col("label").alias(label))
     unsure = stage(met.where("NOT sure").join(named("cell", "_ga"), "cell").join(named("other", "_gb"), "other").where("_ga <> _gb").select("cell", "other", "_ga", "_gb"))
 
-    def side_points(pairs: DataFrame, own: str, of: str, prefix: str) -> DataFrame:
+    def side_points(pairs: DataFrame, own: str, of: str, name: str) -> DataFrame:
         """Points of one side's cells that lie within `eps` of the other side's box."""
-        box = boxes.select(F.col("cell").alias(of), *[f"_{n}_{c}" for c in columns for n in ("lo", "hi")])
-        rows = pairs.join(placed.select(F.col("cell").alias(own), *columns), own).join(box, of)
-        out = F.lit(0.0)
-        for c in columns:
-            gap = F.greatest(F.lit(0.0), F.col(c) - F.col(f"_hi_{c}"), F.col(f"_lo_{c}") - F.col(c))
-            out = out + gap * gap
-        return rows.where(out <= limit).select("cell", "other", "_ga", "_gb", *[F.col(c).alias(f"{prefix}{c}") for c in columns])
-
-    d2 = F.lit(0.0)
-    for c in columns:
-        d2 = d2 + _square(F.col(f"_x_{c}"), F.col(f"_y_{c}"))
-    compared = side_points(unsure, "cell", "other", "_x_").join(side_points(unsure, "other", "cell", "_y_"), ["cell", "other", "_ga", "_gb"]).where(d2 <= limit)
+        box = boxes.select(F.col("cell").alias(of), "_lo", "_hi")
+        rows = pairs.join(placed.select(F.col("cell").alias(own), "_v"), own).join(box, of)
+        return rows.where(_outside("_lo", "_hi", "_v", "_v") <= limit).select("cell", "other", "_ga", "_gb", F.col("_v").alias(name))
+
+    both = side_points(unsure, "cell", "other", "_x").join(side_points(unsure, "other", "cell", "_y"), ["cell", "other", "_ga", "_gb"])
+    compared = both.where(_sum_of_squares(F.zip_with("_x", "_y", lambda a, b: a - b)) <= limit)
     links = compared.select(F.col("_ga").alias("pid"), F.col("_gb").alias("other")).distinct()
     final = components(first.select(F.col("label").alias("pid")).distinct(), links)
     return first.select(F.col("pid").alias("cell"), F.col("label").alias("pid")).join(final, "pid").select("cell", "label")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from postern import dims
 from postern.functions import crypto
-from postern.ml import anomaly, clusters, features, intent, risk
+from postern.ml import anomaly, boost, clusters, features, intent, risk
 from postern.operators import browse
 from postern.plans.catalog import query
 from postern.plans.jobs_traffic import handshake_facts
@@ -187,14 +188,63 @@ def labelled(spark, sf):
     return stage(features.risk_features(f).join(f.select(*KEYS, features.analyst_label().alias("label")), KEYS))
 
 
+def placed(spark, sf):
+    """Labelled sessions, dealt out within their label."""
+    return stage(boost.dealt(labelled(spark, sf), KEYS))
+
+
+_CLASSES = len(dims.RISK_CLASSES)
+_FOLDS = tuple(range(risk.FOLDS))
+
+
+def _boosted(spark, sf, only=()):
+    data = placed(spark, sf)
+    return data, *boost.fitted(data, features.RISK_FEATURES, _CLASSES, only=only)
+
+
+@query(
+    "stratified_folds",
+    "M-5",
+    sql(
+        ["f"],
+        """, l AS (SELECT capture_id, session_id, CASE WHEN NOT tls_established THEN CASE WHEN upgrade_advertised_mangled OR encryption_state = 'PLAINTEXT_AFTER_FAILURE' OR cleartext_auth THEN 4 ELSE 3 END ELSE greatest(CASE WHEN tls_version IN ('TLS 1.0','TLS 1.1') THEN 3 WHEN tls_version = 'TLS 1.2' THEN 1 ELSE 0 END,
+ CASE WHEN cipher_suite LIKE 'TLS_RSA%' THEN 3 WHEN cipher_suite LIKE '%CBC%' THEN 2 ELSE 0 END, CASE WHEN cert_expired THEN 4 ELSE 0 END, CASE WHEN cert_not_yet_valid OR coalesce(cert_hostname_match = false, false) OR cert_weak_key OR cert_broken_signature THEN 3 ELSE 0 END, CASE WHEN cert_expiring_soon OR cert_self_signed THEN 2 ELSE 0 END) END AS label FROM f WHERE NOT is_indeterminate)
+SELECT capture_id, session_id, CAST(label AS INT) AS label, CAST((row_number() OVER (PARTITION BY label ORDER BY session_id * 7919 % 1000003, capture_id, session_id) - 1) % 5 AS INT) AS fold FROM l""",
+    ).replace(" , l AS", ", l AS"),
+)
+def stratified_folds(spark, sf):
+    f = facts(spark, sf)
+    rows = f.where(~F.col("is_indeterminate")).select(*KEYS, features.analyst_label().cast("int").alias("label"))
+    at = F.col("session_id") * 7919 % 1000003
+    dealt = boost.dealt(rows, KEYS, order=at, block=F.floor(at / 4096))
+    return dealt.select(*KEYS, "label", (F.col("place") % risk.FOLDS).cast("int").alias("fold"))
+
+
 @query("risk_cross_validation", "M-5")
 def risk_cross_validation(spark, sf):
-    return risk.cross_validate(labelled(spark, sf), features.RISK_FEATURES, KEYS, trees=15, depth=5)
+    """Macro F1 of each stratified fold, by boosted trees grown from the other folds."""
+    data, _, models = _boosted(spark, sf, [*_FOLDS, boost.HOLDOUT])
+    report = risk.evaluate(data, models)[1].where("model >= 0")
+    return report.groupBy(F.col("model").alias("fold")).agg(F.avg("f1").alias("macro_f1"), F.sum("support").alias("rows"))
 
 
 @query("risk_confusion", "M-5")
 def risk_confusion(spark, sf):
-    return risk.confusion(risk.holdout(labelled(spark, sf), features.RISK_FEATURES, KEYS, trees=15, depth=5))
+    data, _, models = _boosted(spark, sf, [boost.HOLDOUT])
+    return risk.confusion(models.transform(data.where("place % 4 = 0"), boost.HOLDOUT))
+
+
+@query("risk_class_report", "M-5")
+def risk_class_report(spark, sf):
+    """Precision, recall and F1 of each class on the rows that the hold-out model has not seen."""
+    return risk.class_report(risk_confusion(spark, sf))
+
+
+@query("risk_model_card", "M-5 M-6")
+def risk_model_card(spark, sf):
+    data, nodes, models = _boosted(spark, sf)
+    matrix, report = risk.evaluate(data, models)
+    return risk.card(data, nodes, matrix, report, features.RISK_FEATURES, dims.RISK_CLASSES)
 
 
 @query("quality_confusion", "M-5")
@@ -209,32 +259,41 @@ def quality_confusion(spark, sf):
         (F.size(F.array_distinct(words)) / F.size(words)).alias("distinct_share"),
         (F.size(F.split("text", "\n")) / F.size(words)).alias("line_share"),
     )
-    data = stage(x.join(load(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id"))
-    return risk.confusion(risk.holdout(data, ["chars", "words", "distinct_share", "line_share"], ["doc_id"], trees=10, depth=4))
-
-
-def _model(spark, sf):
-    data = labelled(spark, sf)
-    return data, risk.pipeline(features.RISK_FEATURES, trees=15, depth=5).fit(data)
+    data = x.join(load(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id").where(F.col("label").isNotNull())
+    data = stage(boost.dealt(data, ["doc_id"]))
+    _, models = boost.fitted(data, ["chars", "words", "distinct_share", "line_share"], 2, only=[boost.HOLDOUT])
+    return risk.confusion(models.transform(data.where("place % 4 = 0"), boost.HOLDOUT))
 
 
 @query("feature_importance", "M-6")
 def feature_importance(spark, sf):
-    data = stage(risk.with_fold(labelled(spark, sf), KEYS, folds=4, seed=7))
-    model = risk.pipeline(features.RISK_FEATURES, trees=15, depth=5).fit(data.where("fold <> 0"))
-    return risk.permutation_importance(model, data.where("fold = 0"), KEYS, features.RISK_FEATURES)
+    """Share in the gain of the splits, and loss of macro F1 on unseen rows when the feature is shuffled."""
+    data, nodes, models = _boosted(spark, sf, [boost.HOLDOUT])
+    held = stage(data.where("place % 4 = 0").withColumn("model", F.lit(boost.HOLDOUT)))
+    lost = risk.permutation_importance(_On(models, boost.HOLDOUT), held, KEYS, features.RISK_FEATURES)
+    return lost.join(boost.gain_importance(nodes, features.RISK_FEATURES, boost.HOLDOUT), "feature")
+
+
+class _On:
+    """One of several boosted models."""
+
+    def __init__(self, models, which):
+        self.models, self.which = models, which
+
+    def transform(self, df):
+        return self.models.transform(df, self.which)
 
 
 @query("risk_scores", "M-7")
 def risk_scores(spark, sf):
-    data, model = _model(spark, sf)
-    return risk.score(model, data, KEYS).select(*KEYS, "risk_class", "risk_confidence", "risk_score")
+    data, _, models = _boosted(spark, sf, [boost.FINAL])
+    return risk.score(models, data, KEYS).select(*KEYS, "risk_class", "risk_confidence", "risk_score")
 
 
 @query("risk_drivers", "M-8")
 def risk_drivers(spark, sf):
-    data, model = _model(spark, sf)
-    return risk.shapley(model, data, KEYS)
+    data, _, models = _boosted(spark, sf, [boost.FINAL])
+    return risk.shapley(models, data, KEYS)
 
 
 def client_vectors(spark, sf):
@@ -264,3 +323,10 @@ def client_projection(spark, sf):
 def language_intent(spark, sf):
     return intent.train_and_grade(load(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id", "lang")
 
+
+@query("intent_accuracy", "M-13")
+def intent_accuracy(spark, sf):
+    """Rows and accuracy of each class by models that have not seen them."""
+    graded = language_intent(spark, sf)
+    right = F.count_if(F.col("predicted") == F.col("lang"))
+    return graded.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), (right / F.count(F.lit(1))).alias("accuracy"))
