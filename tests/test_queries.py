@@ -18,6 +18,7 @@ SUBSET = [
     "funnel_outcomes", "failure_points", "upgrade_timeline", "server_changes", "blast_radius", "finding_priority", "interception_scenarios", "quantum_forecast", "outcome_flow",
     "flow_index", "evidence_slices", "byte_ranges", "offset_frames", "document_lines", "protocol_events", "encryption_outcomes", "event_state_walk", "ja4_fingerprints", "trust_anchors", "dns_findings",
     "question_entities", "projected_sessions", "finding_resolution", "risk_features", "vector_attribution", "capture_risk_index",
+    "reassembled_lines", "wire_sessions", "assessed_findings", "event_log", "session_timelines", "policy_findings", "finding_observations", "slice_custody", "report_sections", "stratified_folds",
 ]
 
 
