@@ -322,11 +322,3 @@ def client_projection(spark, sf):
 @query("language_intent", "M-13")
 def language_intent(spark, sf):
     return intent.train_and_grade(load(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id", "lang")
-
-
-@query("intent_accuracy", "M-13")
-def intent_accuracy(spark, sf):
-    """Rows and accuracy of each class by models that have not seen them."""
-    graded = language_intent(spark, sf)
-    right = F.count_if(F.col("predicted") == F.col("lang"))
-    return graded.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), (right / F.count(F.lit(1))).alias("accuracy"))
