@@ -50,7 +50,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def clear_staged(spark: SparkSession) -> int:
-    """Remove the tables this process has staged; for the end of a run, when its results are written."""
+    """Remove the tables and folders this process has staged; for the end of a run, when its results are written."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     removed = 0
     while _STAGED:
@@ -59,6 +59,13 @@ def clear_staged(spark: SparkSession) -> int:
     return removed
 
 
+def staged_folder(spark: SparkSession, kind: str = "stage") -> str:
+    """A new folder name in the shared folder, which `clear_staged` removes with what it holds."""
+    path = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and go on from the files.
 
@@ -66,9 +73,8 @@ def stage(df: DataFrame) -> DataFrame:
     computed once, keeps column pruning, and survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = staged_folder(spark)
     df.write.parquet(path)
-    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
