@@ -11,8 +11,9 @@ own pre-tokenizer cuts in any case: before a space or line break between two oth
 a unit once and keeps a bounded number of them. A text with two white-space characters in a row, or with a token
 added to the vocabulary such as `<|endoftext|>`, is encoded whole; such tokens get their own ids, the library's default.
 
-A task writes under a name of its own and renames at the end, so a task that runs twice or is lost leaves either
-nothing or the same complete files. Defined cases: null and empty texts have the end id alone; a null id sorts first;
+A task writes under a name of its own and renames at the end, so a task that runs twice makes the same complete files;
+what a lost one leaves under its own name is removed when all parts are written. Each part is read back by a task of
+its own. `session.clear_staged` removes the folder of a round trip that was given none. Defined cases: null and empty texts have the end id alone; a null id sorts first;
 rows repeating an id are all written, ordered by text; an empty table makes a folder without documents.
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from postern.llm.batches import slices
-from postern.session import shared_folder
+from postern.session import staged_folder
 
 END_ID = 0
 _PAIR = regex.compile(r"\s\s")
@@ -183,6 +184,10 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
     dealt = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t")).repartitionByRange("d").sortWithinPartitions("d", "t")
     parts = dealt.mapInArrow(run, out)
     made = dealt.sparkSession.createDataFrame(parts.toArrow().to_pandas(), out)  # one row a part
+    if os.path.isdir(root):
+        for name in os.listdir(root):
+            if name.startswith("."):
+                os.remove(f"{root}/{name}")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return made.drop("first_id").withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
@@ -205,11 +210,12 @@ def read(parts: DataFrame, dtype: str, doc_id: str = "doc_id") -> DataFrame:
                         [pa.array(names[lo:hi], mask=null[lo:hi]), pa.array(row["base"] + off[lo:hi]), pa.array(np.diff(off[lo : hi + 1])), pa.array(crc, pa.int64())], schema=arrow
                     )
 
-    return parts.repartition("part").mapInArrow(run, out)
+    # A stated number of ranges is never merged: one read task a part, and none meets another's by a hash.
+    return parts.repartitionByRange(max(1, parts.count()), "part").mapInArrow(run, out)
 
 
 def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, folder: str | None = None) -> DataFrame:
     """Write the token files to a new folder of the shared one and read the documents back."""
     path = tokenizer or default_tokenizer()
-    folder = folder or f"{shared_folder(docs.sparkSession).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    folder = folder or staged_folder(docs.sparkSession, "tokens")
     return read(write(docs, folder, doc_id, text, path), encoder(path).dtype.str, doc_id)

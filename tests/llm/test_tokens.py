@@ -8,7 +8,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from postern import session
 from postern.llm import chat, pieces, token_files
 from tests.llm.helpers import SCHEMA, documents, odd_texts, prose
 
@@ -28,6 +30,24 @@ def test_token_files_hold_the_librarys_ids(spark):
     assert got == want
 
 
+def test_token_files_are_read_one_task_a_part_and_cleared(spark, tmp_path):
+    docs = documents(spark, [prose(400, i) for i in range(40)], dup=False)
+    path = token_files.default_tokenizer()
+    (tmp_path / ".left-by-a-lost-task.ids").write_bytes(b"x")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = token_files.write(docs, str(tmp_path), tokenizer=path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    n = parts.count()
+    assert n > 1 and not [f for f in tmp_path.iterdir() if f.name.startswith(".")]
+    back = token_files.read(parts, token_files.encoder(path).dtype.str).withColumn("task", F.spark_partition_id())
+    assert back.select("task").distinct().count() == n and back.count() == 40
+    session.clear_staged(spark)
+    token_files.round_trip(docs).count()
+    assert session.clear_staged(spark) == 1
+
+
 def test_token_files_hold_the_ids_of_added_tokens_by_default(spark):
     from tokenizers import Tokenizer
 
