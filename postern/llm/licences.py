@@ -140,24 +140,26 @@ class Scanner:
         self.sizes = [len(s) for s in sequences]
         self.automaton = Automaton.of([[self.ids[w] for w in s] for s in sequences])
         self.least, self.gap, self.cover = [min(least, n) for n in self.sizes], gap, cover
+        #: Words the shortest thing to be found has; a shorter run of known words can hold none.
+        self.fewest = min((n if p else m for n, m, p in zip(self.sizes, self.least, self.phrase) if n), default=1)
         self._cache: dict[int, list[tuple[int, int]]] = {}
 
     def spans(self, codes: np.ndarray) -> list[dict]:
         """Spans of one document, from the ids of its words (-1: in no template)."""
         known = np.flatnonzero(codes >= 0)
-        if len(known) < 2:
+        if len(known) < self.fewest:
             return []
         cuts = np.flatnonzero(np.diff(known) > 1) + 1
-        out, chains = [], {}
+        out, chains, near = [], {}, {}
         for run in np.split(known, cuts):
-            if len(run) < 2:
+            if len(run) < self.fewest:
                 continue
             first = int(run[0])
             for start, n, state in self.automaton.matches(codes[run[0] : run[-1] + 1].tolist(), first):
                 for k, last in self.automaton.places[state]:
                     if self.phrase[k] or n < self.least[k]:
                         continue
-                    self._chain(chains.setdefault(k, []), start, n, last - n + 1)
+                    self._chain(chains.setdefault(k, []), near.setdefault(k, []), start, n, last - n + 1)
             out += self._phrases(codes[run[0] : run[-1] + 1], first)
         for k, found in chains.items():
             best: list[tuple[int, int, float]] = []
@@ -171,15 +173,22 @@ class Scanner:
             out += [{"label": self.labels[k], "start": a, "end": b, "covered": min(1.0, c), "phrase": None} for a, b, c in best]
         return out
 
-    def _chain(self, found: list, start: int, n: int, at: int) -> None:
-        """Append a match (document start, words, template start) to a chain that it continues, or begin one."""
-        for chain in reversed(found[-8:]):
-            begin, end, reached, covered = chain
+    def _chain(self, found: list, near: list, start: int, n: int, at: int) -> None:
+        """Add the best chain that ends with this match (document start, words, template start) to `found`.
+
+        A match begins a chain, or continues one that ends at most `gap` words before it and earlier in the template,
+        whichever then covers most. Matches come in the order of their starts, so a chain out of reach of one is out of
+        reach of all later ones; those within reach (`near`) are all tried. They end within `gap` words and a match,
+        so their number follows the template, not the document.
+        """
+        near[:] = [c for c in near if start - c[1] <= self.gap]
+        best = (start, start + n, at + n, n)
+        for begin, end, reached, covered in near:
             skip = max(0, reached - at, end - start)
-            if at >= begin - start and skip < n and start + skip - end <= self.gap and at + n > reached and start + n > end:
-                chain[:] = [begin, start + n, at + n, covered + n - skip]
-                return
-        found.append([start, start + n, at + n, n])
+            if skip < n and start + skip - end <= self.gap and covered + n - skip > best[3]:
+                best = (begin, start + n, at + n, covered + n - skip)
+        found.append(best)
+        near.append(best)
 
     def _phrases(self, codes: np.ndarray, first: int) -> list[dict]:
         """Every place of a phrase: the places where the automaton's match is at least as long and ends with it."""
@@ -190,7 +199,7 @@ class Scanner:
                 n = a.length[state]
             state = a.moves[state].get(word, 0)
             n = n + 1 if state else 0
-            if state and n > 1:
+            if state and n >= self.fewest:
                 for k, size in self._ends(state):
                     if n >= size:
                         out.append({"label": self.labels[k], "start": first + i - size + 1, "end": first + i + 1, "covered": 1.0, "phrase": self.phrase[k]})
@@ -226,7 +235,7 @@ def scan(
         words, counts = split_words(blobs, ALNUM)
         codes = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         known, owner = codes >= 0, owners(counts)
-        busy = set(owner[:-1][known[:-1] & known[1:]].tolist())
+        busy = set((owner[known] if scanner.fewest < 2 else owner[:-1][known[:-1] & known[1:]]).tolist())
         base = np.cumsum(counts) - counts
         spans = [scanner.spans(codes[base[d] : base[d] + counts[d]]) if d in busy else [] for d in range(len(blobs))]
         return [counts, spans]

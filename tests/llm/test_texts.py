@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
+import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +47,62 @@ def test_license_phrases_and_templates(spark):
     assert labels[LICENCES[4]] == "apache" and labels[LICENCES[5]] == "mit" and labels[LICENCES[6]] == "proprietary" and labels[LICENCES[7]] == ""
 
 
+def test_license_phrases_and_templates_of_one_word(spark):
+    docs = documents(spark, ["copyleft", "a COPYLEFT copyleft b", "x wtfpl", "none of them", "mit license", "wtfpl copyleft mit license", None, ""])
+    out = licences.digest(licences.scan(docs, templates=[("wtf", "WTFPL"), ("empty", "")], phrases={"copyleft": "free", "mit license": "mit"}))
+    got = {(r.doc_id, r.n_base, r.first_word, r.last_word, r.labels) for r in out.collect() if r.doc_id is not None}
+    assert got == {
+        (0, 1, 0, 0, "free"), (1, 2, 1, 2, "free"), (2, 0, None, None, "wtf"), (3, 0, None, None, ""), (4, 1, 0, 0, "mit"), (5, 2, 1, 2, "free,mit,wtf"), (6, 0, None, None, ""), (7, 0, None, None, ""),
+    }
+
+
+def brute_chain(codes, template, least, gap):
+    """Most words of the template that one chain of maximal matches covers, over all chains."""
+    matches = []
+    for i in range(len(codes)):
+        for j in range(len(template)):
+            n = 0
+            while i + n < len(codes) and j + n < len(template) and codes[i + n] == template[j + n]:
+                n += 1
+            if n >= least and (i == 0 or not any(codes[i - 1 : i + n] == template[x : x + n + 1] for x in range(len(template)))):
+                if i + n == len(codes) or not any(codes[i : i + n + 1] == template[x : x + n + 1] for x in range(len(template))):
+                    matches.append((i, n, j))
+    best = []
+    for i, n, j in matches:
+        own = [n]
+        for (p, m, q), covered in zip(matches, best):
+            skip = max(0, q + m - j, p + m - i)
+            if skip < n and i + skip - (p + m) <= gap:
+                own.append(covered + n - skip)
+        best.append(max(own))
+    return max(best, default=0)
+
+
+def test_license_chain_reaches_over_many_open_chains():
+    """Many chains are open at once, more than eight of which can't be continued; none is forgotten or spoiled."""
+    words = [f"w{i}" for i in range(40)]
+    s = licences.Scanner([("a", " ".join(words))], {}, 1, 60, 0.9)
+    ids = [s.ids[w.encode()] for w in words]
+    noise = [x for i in range(10) for x in (-1, ids[39 - i])]
+    spans = s.spans(np.array([*ids[:20], *noise, -1, *ids[20:]]))
+    assert [(x["start"], x["end"], x["covered"]) for x in spans] == [(0, 61, 1.0)]
+
+
+def test_license_chains_cover_as_much_as_any_chain():
+    r = random.Random(11)
+    for _ in range(300):
+        size, least, gap = r.randint(4, 14), r.randint(1, 3), r.randint(0, 6)
+        template = [f"t{r.randint(0, 5)}" for _ in range(size)]
+        s = licences.Scanner([("a", " ".join(template))], {}, least, gap, 0.01)
+        own = [s.ids[w.encode()] for w in template]
+        codes = []
+        for _ in range(r.randint(1, 6)):
+            i = r.randint(0, size - 1)
+            codes += own[i : i + r.randint(1, 6)] + [-1] * r.randint(0, 3)
+        got = max((x["covered"] for x in s.spans(np.array(codes))), default=0)
+        assert got == min(1.0, brute_chain(codes, own, least, gap) / size)
+
+
 def test_matching_statistics_are_longest_common_runs():
     """Each maximal match of the automaton is the longest run that ends there and occurs in a template."""
     templates = [("a", "one two three two three four"), ("b", "three two one two")]
@@ -114,6 +173,54 @@ def test_language_held_out_accuracy(spark, sf="/root/testdata/sf0.01"):
     assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in out)
 
 
+def brute_features(text, buckets):
+    """The hashed n-grams in plain Python integers."""
+    text, out, top = f" {text.lower()} ", collections.Counter(), (1 << 64) - 1
+    for n in (1, 2, 3):
+        for i in range(len(text) - n + 1):
+            h = n
+            for ch in text[i : i + n]:
+                h = ((h ^ ord(ch)) * 0x9E3779B97F4A7C15) & top
+                h ^= h >> 29
+            out[h % buckets] += 1
+    return out
+
+
+def test_language_counts_weights_and_scores_match_brute_force(spark):
+    french = "le fleuve et la pierre de lumière maison été où garçon".split()
+    texts = [(i, prose(12 + i, i), "en") for i in range(9)] + [(20 + i, prose(10 + i, i, french), "fr") for i in range(9)] + [(40 + i, prose(9, i, CYRILLIC), "ru") for i in range(5)]
+    texts += [(60, None, "en"), (61, "", "fr"), (62, "Straße 漢字 x", None), (63, "x" * 700, "en"), (64, prose(3000, 5, french), None), (65, "123 --", "ru"), (1, prose(13, 1), "en"), (None, "la maison", "fr")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, lang string").repartition(3)
+    size, alpha = language.BUCKETS, language.ALPHA
+    out_of_training = {i for i, *_ in texts if i is not None and zlib.crc32(str(i).encode()) % 4 == 2}
+    count, n_docs = collections.defaultdict(collections.Counter), collections.Counter()
+    for i, t, x in texts:
+        if i not in out_of_training and t is not None and x is not None:
+            n_docs[x] += 1
+            count[x] += brute_features(t, size)
+    got = collections.defaultdict(dict)
+    for r in language.counts(docs.where(~language.held_out())).collect():
+        got[r.lang][r.bucket] = r.n
+    assert {x: {-1: n_docs[x], **count[x]} for x in n_docs} == dict(got)
+    names, total = sorted(n_docs), sum(n_docs.values())
+    log = {x: collections.defaultdict(lambda low=math.log(alpha) - math.log(sum(count[x].values()) + alpha * size): low) for x in names}
+    for x in names:
+        log[x].update({b: math.log(n + alpha) - math.log(sum(count[x].values()) + alpha * size) for b, n in count[x].items()})
+    want = []
+    for i, t, _ in texts:
+        if not any(c.isalpha() for c in t or ""):
+            want.append((i, i in out_of_training, "und", 0.0))
+            continue
+        own = brute_features(t, size)
+        sums = [math.log(n_docs[x] / total) + math.fsum(n * log[x][b] for b, n in own.items()) for x in names]
+        best = max(range(len(names)), key=sums.__getitem__)
+        want.append((i, i in out_of_training, names[best], 1 / math.fsum(math.exp(v - sums[best]) for v in sums)))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[2])
+    found = sorted((tuple(r) for r in language.identify(docs).collect()), key=key)
+    for a, b in zip(found, sorted(want, key=key), strict=True):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-9)
+
+
 def test_language_odd_cases(spark):
     docs = documents(spark, [*odd_texts(), "123 456 !!"])
     out = language.identify(docs).collect()
