@@ -7,7 +7,6 @@ it is in that fix's scope (`fx_<fix>`), so many alternative fix sets (`trial`) r
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -208,18 +207,26 @@ def reevaluate(projected: DataFrame, carried: DataFrame | None = None, extra_key
     return found if carried is None else found.unionByName(carried, allowMissingColumns=True)
 
 
-def carried_dns(found: DataFrame, projected: DataFrame, applied: Sequence[str], domain_servers: DataFrame) -> DataFrame:
-    """DNS findings a projection keeps: not resolved by an applied fix, and for a policy violation only
-    while some server of the domain still carries cleartext."""
-    resolved = [cat for fid, _, cats in dims.FIXES if fid in applied and fid in ("deploy_mta_sts_dane", "publish_dmarc") for cat in cats]
+def carried_dns(found: DataFrame, projected: DataFrame, applied: DataFrame | Sequence[str], domain_servers: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
+    """DNS findings a projection keeps: not resolved by an applied fix, and for a policy violation only while some
+    server of the domain still carries cleartext.
+
+    `applied` is one fix list, or rows of (extra keys, capture, fixes) with a fix set for each trial.
+    """
+    ek = list(extra_keys)
     dns = found.where(F.col("category").isin(*dims.DNS_CATEGORIES))
-    if resolved:
-        dns = dns.where(~F.col("category").isin(*resolved))
-    open_servers = projected.where(F.col("encryption_state").isin(*dims.CLEARTEXT_IN_PROJECTION)).select(CAP, server_key().alias("server")).distinct()
-    open_domains = domain_servers.join(open_servers, [CAP, "server"]).select(CAP, "domain").distinct()
-    violation = F.col("category") == "mta_sts_policy_violation"
-    kept = dns.where(violation).join(open_domains, [CAP, "domain"], "left_semi")
-    return dns.where(~violation).unionByName(kept)
+    if isinstance(applied, DataFrame):
+        dns = dns.join(applied.select(*ek, CAP, F.col("fixes").alias("_fixes")), CAP)
+    else:
+        dns = dns.withColumn("_fixes", F.array(*[F.lit(f) for f in applied]).cast("array<string>"))
+    resolved = F.lit(False)
+    for fix, _, categories in dims.FIXES:
+        if own := [c for c in categories if c in dims.DNS_CATEGORIES]:
+            resolved = resolved | (F.array_contains("_fixes", fix) & F.col("category").isin(*own))
+    open_servers = projected.where(F.col("encryption_state").isin(*dims.CLEARTEXT_IN_PROJECTION)).select(*ek, CAP, server_key().alias("server")).distinct()
+    still_open = domain_servers.join(open_servers, [CAP, "server"]).select(*ek, CAP, "domain", F.lit(True).alias("_open")).distinct()
+    rows = dns.where(~resolved).drop("_fixes").join(still_open, [*ek, CAP, "domain"], "left")
+    return rows.where((F.col("category") != "mta_sts_policy_violation") | F.coalesce("_open", F.lit(False))).drop("_open")
 
 
 def finding_diff(before: DataFrame, after: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
@@ -272,11 +279,12 @@ def evidence_gaps(found: DataFrame) -> DataFrame:
     return found.groupBy(CAP, "category").agg(F.count(F.lit(1)).alias("findings")).join(F.broadcast(actions), "category")
 
 
-def _scored(sessions: DataFrame, trials: DataFrame, scope: DataFrame) -> DataFrame:
+def _scored(sessions: DataFrame, trials: DataFrame, scope: DataFrame, dns: DataFrame | None = None, domain_servers: DataFrame | None = None) -> DataFrame:
     """Score, FAIL count and severity points of every (capture, trial) fix set, in one job.
 
     `trials` = (capture, trial, fixes array); every session meets the trials of its own capture, which are
     at most a few dozen. `scope` limits a fix to its servers; a fix without scope rows applies everywhere.
+    `dns` are the findings of domains, which a trial carries along or resolves.
     """
     per_server = scope.groupBy(CAP, "server").agg(F.collect_set("fix_id").alias("scoped"))
     limited = scope.groupBy(CAP).agg(F.collect_set("fix_id").alias("limited"))
@@ -293,7 +301,8 @@ def _scored(sessions: DataFrame, trials: DataFrame, scope: DataFrame) -> DataFra
     ).drop("server", "scoped", "limited", "fixes")
     after = stage(project(rows, ["trial"]))
     # score and totals only need how many findings of each kind there are
-    found = stage(reevaluate(after, extra_keys=["trial"]).groupBy("trial", CAP, "category", "severity", "verdict").agg(F.count(F.lit(1)).alias("n")))
+    kept = None if dns is None else carried_dns(dns, after, trials, domain_servers, ["trial"])
+    found = stage(reevaluate(after, kept, ["trial"]).groupBy("trial", CAP, "category", "severity", "verdict").agg(F.count(F.lit(1)).alias("n")))
     points = dims.lookup("severity", dims.SEVERITY_POINTS, 0)
     fail = F.col("verdict") == "FAIL"
     totals = found.groupBy("trial", CAP).agg(
@@ -304,17 +313,20 @@ def _scored(sessions: DataFrame, trials: DataFrame, scope: DataFrame) -> DataFra
     return score.join(totals, ["trial", CAP], "left").na.fill(0, ["findings_after", "points_after"])
 
 
-def plan(sessions: DataFrame, found: DataFrame) -> DataFrame:
+def plan(sessions: DataFrame, found: DataFrame, domain_servers: DataFrame | None = None) -> DataFrame:
     """Greedy plan of every capture at once: at each step the fix with the best projected gain per effort.
 
     At most nine steps (one per fix); each step scores all remaining fixes of all captures in one job and
-    is written before the next one builds on it. A fix that changes nothing any more is skipped.
+    is written before the next one builds on it. A fix that changes nothing any more is skipped. With the servers of
+    each domain given, the DNS findings among `found` take part: their fixes are candidates, and each trial keeps those it
+    doesn't resolve.
     """
-    fixes, scope = candidates(found, sessions)
+    fixes, scope = candidates(found, sessions, domain_servers)
     fixes, scope = stage(fixes), stage(scope)
+    dns = None if domain_servers is None else (stage(found.where(F.col("category").isin(*dims.DNS_CATEGORIES))), stage(domain_servers))
     none = F.array().cast("array<string>")
     start = sessions.select(CAP).distinct().select(CAP, F.lit("").alias("trial"), none.alias("fixes"))
-    base = _scored(sessions, start, scope).select(CAP, F.col("score_after").alias("score"), F.col("findings_after").alias("fails"), F.col("points_after").alias("points"))
+    base = _scored(sessions, start, scope, *(dns or ())).select(CAP, F.col("score_after").alias("score"), F.col("findings_after").alias("fails"), F.col("points_after").alias("points"))
     state = stage(base.withColumn("chosen", none).withColumn("tried", none))
     steps: DataFrame | None = None
     for step in range(1, len(dims.FIX_ORDER) + 1):
@@ -322,7 +334,7 @@ def plan(sessions: DataFrame, found: DataFrame) -> DataFrame:
         trials = stage(open_fixes.select(CAP, F.col("fix_id").alias("trial"), F.array_append("chosen", F.col("fix_id")).alias("fixes"), "effort"))
         if trials.isEmpty():
             break
-        scored = _scored(sessions, trials.drop("effort"), scope).join(trials.select(CAP, "trial", "effort"), [CAP, "trial"]).join(state, CAP)
+        scored = _scored(sessions, trials.drop("effort"), scope, *(dns or ())).join(trials.select(CAP, "trial", "effort"), [CAP, "trial"]).join(state, CAP)
         gain = F.coalesce("score_after", F.lit(0)) - F.coalesce("score", F.lit(0))
         removed = F.col("points") - F.col("points_after")
         rank = F.struct(((removed + gain * 2) / F.col("effort")).alias("value"), gain.alias("gain"), (-F.col("effort")).alias("cheap"), F.col("trial"))
@@ -346,28 +358,40 @@ def plan(sessions: DataFrame, found: DataFrame) -> DataFrame:
     return steps.drop("useful").withColumnRenamed("trial", "fix_id")
 
 
-def minimal_fixes(sessions: DataFrame, found: DataFrame) -> DataFrame:
-    """Smallest fix combination that clears each failed finding of a session: single fixes first, then pairs.
+def fix_pools(sessions: DataFrame, found: DataFrame, keep: int = 12) -> DataFrame:
+    """Fix combinations to try for each failed finding of a session: (capture, session, category, server, rank, fixes).
 
-    Every single fix and every pair is a trial over the sessions of the captures concerned, in one job. Of the
-    trials that clear a finding, the first in its category's order counts: fixes made for the category first.
+    The pool holds the fixes of the finding's own category, most targeted first, then the first fix of each other
+    failed finding of the session in the order of the findings. Its single fixes come before its pairs, and the first
+    `keep` are tried: that bound is part of the method. A session has a few dozen categories at most, so no list grows.
+    """
+    fixes = dims.fixes(found.sparkSession).groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("choice", "fix_id"))), lambda x: x["fix_id"]).alias("own"))
+    fails = found.where((F.col("verdict") == "FAIL") & F.col("session_id").isNotNull() & F.col("domain").isNull())
+    at = F.min(F.struct("severity_rank", F.coalesce("finding_frame", F.lit(0)).alias("frame"))).alias("at")
+    known = fails.groupBy(CAP, "session_id", "category").agg(at).join(F.broadcast(fixes), "category")
+    first = F.struct("at", "category", F.get("own", F.lit(0)).alias("fix"))
+    rows = known.groupBy(CAP, "session_id").agg(F.array_sort(F.collect_list(F.struct(first.alias("of"), "own"))).alias("all"))
+    rows = rows.select(CAP, "session_id", "all", F.explode("all").alias("x"))
+    others = F.transform(F.filter("all", lambda o: o["of"]["category"] != F.col("x.of.category")), lambda o: o["of"]["fix"])
+    rows = rows.select(CAP, "session_id", F.col("x.of.category").alias("category"), F.array_distinct(F.concat("x.own", others)).alias("pool"))
+    pairs = F.flatten(F.transform("pool", lambda f, i: F.transform(F.slice(F.col("pool"), i + 2, len(dims.FIX_ORDER)), lambda g: F.array(f, g))))
+    tried = F.slice(F.concat(F.transform("pool", lambda f: F.array(f)), pairs), 1, keep)
+    at_server = sessions.select(CAP, "session_id", server_key().alias("server"))
+    return rows.select(CAP, "session_id", "category", F.posexplode(tried).alias("rank", "fixes")).join(at_server, [CAP, "session_id"])
+
+
+def minimal_fixes(sessions: DataFrame, found: DataFrame, keep: int = 12) -> DataFrame:
+    """Smallest fix combination that clears each failed finding of a session, applied to the session's own server.
+
+    Only the combinations that a finding of a server asks for are projected, each once over that server's sessions.
+    `cleared` is false where none of a finding's combinations clears it; its first fix is then given.
     """
-    spark = sessions.sparkSession
-    combos = [(f,) for f in dims.FIX_ORDER] + list(combinations(dims.FIX_ORDER, 2))
-    place = []
-    for category in sorted({c for _, _, cats in dims.FIXES for c in cats}):
-        direct = [f for f, _, cats in sorted(dims.FIXES, key=lambda f: (len(f[2]), f[1])) if category in f[2]]
-        pool = direct + [f for f in dims.FIX_ORDER if f not in direct]
-        ranked = sorted(range(len(combos)), key=lambda i: (len(combos[i]), sorted(pool.index(f) for f in combos[i])))
-        place += [(category, i, rank, sorted(combos[i], key=pool.index)) for rank, i in enumerate(ranked)]
-    order = dims.table(spark, ["category", "trial", "rank", "fixes"], place)
-    wanted = found.where((F.col("verdict") == "FAIL") & F.col("session_id").isNotNull()).select(CAP, "session_id", "category").distinct()
-    here = sessions.join(wanted.select(CAP).distinct(), CAP, "left_semi")
-    arr = F.array(*[F.struct(F.lit(i).alias("trial"), F.array(*[F.lit(f) for f in c]).alias("fixes")) for i, c in enumerate(combos)])
-    rows = here.withColumn("t", F.explode(arr)).withColumn("trial", F.col("t.trial"))
-    rows = rows.withColumns({f"fx_{f}": F.array_contains("t.fixes", f) for f in dims.FIX_ORDER}).drop("t")
+    pools = stage(fix_pools(sessions, found, keep).withColumn("trial", F.array_join(F.array_sort("fixes"), "+")))
+    trials = pools.groupBy(CAP, "server", "trial").agg(F.any_value("fixes").alias("t"))
+    rows = sessions.withColumn("server", server_key()).join(trials, [CAP, "server"])
+    rows = rows.withColumns({f"fx_{f}": F.array_contains("t", f) for f in dims.FIX_ORDER}).drop("t", "server")
     after = stage(project(rows, ["trial"]))
-    left = reevaluate(after, extra_keys=["trial"]).where(F.col("verdict") == "FAIL").select("trial", CAP, "session_id", "category").distinct()
-    every = wanted.join(F.broadcast(order), "category")
-    cleared = every.join(left, ["trial", CAP, "session_id", "category"], "left_anti")
-    return cleared.groupBy(CAP, "session_id", "category").agg(F.min_by("fixes", "rank").alias("fixes"))
+    left = reevaluate(after, extra_keys=["trial"]).where(F.col("verdict") == "FAIL").select("trial", CAP, "session_id", "category", F.lit(True).alias("left")).distinct()
+    tried = pools.join(left, ["trial", CAP, "session_id", "category"], "left")
+    best = tried.groupBy(CAP, "session_id", "category").agg(F.min_by("fixes", "rank").alias("first"), F.min_by("fixes", F.when(F.col("left").isNull(), F.col("rank"))).alias("found"))
+    return best.select(CAP, "session_id", "category", F.coalesce("found", "first").alias("fixes"), F.col("found").isNotNull().alias("cleared"))

@@ -11,6 +11,7 @@ from postern.functions import crypto
 from postern.functions.scores import text
 from postern.operators import graph, rules, whatif
 from postern.plans.catalog import query
+from postern.plans.jobs_traffic import _with_domains
 from postern.plans.oracle_parts import PARTS, part, sql
 from postern.plans.views import load, view
 from postern.session import stage
@@ -176,10 +177,61 @@ def normalised_fixes(spark, sf):
     return whatif.normalise(load(spark, sf, "supplier").select(fix.alias("fix_id"), server.alias("servers"))).withColumn("servers", text("servers"))
 
 
+def with_domains(spark, sf):
+    """Sessions, all findings with those of DNS, and the servers of each domain, each written once."""
+    f, found, servers = _with_domains(spark, sf)
+    return f, found, stage(servers)
+
+
+_BRIDGE = """CASE WHEN category LIKE 'certificate_chain%' THEN 'fix_certificate_chain' WHEN category LIKE 'certificate%' THEN 'renew_certificate' WHEN category IN ('starttls_stripping','mta_sts_policy_violation','mta_sts_not_published','dane_not_deployed','tlsrpt_not_configured') THEN 'deploy_mta_sts_dane'
+ WHEN category = 'deprecated_tls_version' THEN 'disable_legacy_tls' WHEN category IN ('weak_cipher_suite','no_forward_secrecy') THEN 'modern_ciphers' WHEN category = 'pqc_server_not_ready' THEN 'enable_hybrid_pqc' WHEN category = 'protocol_port_mismatch' THEN 'standard_ports' WHEN category LIKE 'dmarc%' THEN 'publish_dmarc' ELSE 'enforce_tls' END"""
+
+
+@query(
+    "fix_candidates_with_dns",
+    "W-2 N-5",
+    sql(
+        ["fnd", "scope", "dnsf", "dres", "f"],
+        f""", u AS (SELECT capture_id, {_BRIDGE} AS fix_id FROM (SELECT capture_id, category, verdict FROM fnd UNION ALL SELECT capture_id, category, verdict FROM dnsf) a WHERE verdict = 'FAIL'),
+ s AS (SELECT capture_id, {_BRIDGE} AS fix_id, server FROM (SELECT capture_id, category, server FROM scope UNION ALL SELECT x.capture_id, x.category, f.server FROM dnsf x JOIN dres d USING (capture_id, domain) JOIN f ON f.capture_id = d.capture_id AND f.server_ip = d.ip WHERE x.verdict = 'FAIL') b)
+SELECT a.capture_id, a.fix_id, a.findings, coalesce(b.servers, 0) AS servers FROM (SELECT capture_id, fix_id, count(*) AS findings FROM u GROUP BY 1, 2) a LEFT JOIN (SELECT capture_id, fix_id, count(DISTINCT server) AS servers FROM s GROUP BY 1, 2) b USING (capture_id, fix_id)""",
+    ).replace(" , u AS", ", u AS"),
+)
+def fix_candidates_with_dns(spark, sf):
+    f, found, servers = with_domains(spark, sf)
+    fixes, scope = whatif.candidates(found, f, servers)
+    n = scope.groupBy("capture_id", "fix_id").agg(F.count(F.lit(1)).alias("servers"))
+    return fixes.select("capture_id", "fix_id", "findings").join(n, ["capture_id", "fix_id"], "left").na.fill(0, ["servers"])
+
+
+_OPEN = "('PLAINTEXT_THROUGHOUT','PLAINTEXT_AFTER_FAILURE','STARTTLS_ADVERTISED_NOT_USED','STARTTLS_NOT_ADVERTISED','STARTTLS_REJECTED','STARTTLS_NEGOTIATION_FAILED')"
+_TRIALS = {"as observed": [], "encrypted": ["enforce_tls", "publish_dmarc"], "policy": ["deploy_mta_sts_dane"]}
+
+
+@query(
+    "carried_dns_findings",
+    "W-5 N-5",
+    sql(
+        ["f", "w1", "dnsf", "dres"],
+        f""", o AS (SELECT DISTINCT 'as observed' AS trial, d.capture_id, d.domain FROM dres d JOIN f s ON s.capture_id = d.capture_id AND s.server_ip = d.ip WHERE s.encryption_state IN {_OPEN}
+ UNION ALL SELECT DISTINCT 'encrypted', d.capture_id, d.domain FROM dres d JOIN w1 s ON s.capture_id = d.capture_id AND s.server_ip = d.ip WHERE s.encryption_state IN {_OPEN})
+SELECT trial, x.capture_id, x.domain, x.category, x.verdict FROM dnsf x CROSS JOIN (SELECT unnest(['as observed','encrypted','policy']) AS trial) t LEFT JOIN o USING (trial, capture_id, domain)
+WHERE CASE trial WHEN 'policy' THEN category LIKE 'dmarc%' OR category = 'dns_correlation_incomplete' ELSE (trial = 'as observed' OR category NOT LIKE 'dmarc%') AND (category <> 'mta_sts_policy_violation' OR o.domain IS NOT NULL) END""",
+    ).replace(" , o AS", ", o AS"),
+)
+def carried_dns_findings(spark, sf):
+    f, found, servers = with_domains(spark, sf)
+    none = F.array().cast("array<string>")
+    sets = F.array(*[F.struct(F.lit(t).alias("trial"), (F.array(*[F.lit(x) for x in fixes]) if fixes else none).alias("fixes")) for t, fixes in _TRIALS.items()])
+    trials = f.select("capture_id").distinct().select("capture_id", F.inline(sets))
+    rows = f.join(trials, "capture_id").withColumns({f"fx_{x}": F.array_contains("fixes", x) for x in ALL_FIXES}).drop("fixes")
+    kept = whatif.carried_dns(found, stage(whatif.project(rows, ["trial"])), trials, servers, ["trial"])
+    return kept.select("trial", "capture_id", "domain", "category", "verdict")
+
+
 @query("remediation_plan", "W-9")
 def remediation_plan(spark, sf):
-    f = facts(spark, sf)
-    return whatif.plan(f, stage(rules.findings(f)))
+    return whatif.plan(*with_domains(spark, sf))
 
 
 @query("minimal_fix_sets", "W-10")
@@ -213,3 +265,30 @@ def graph_changes(spark, sf):
 
     before, after = facts(spark, sf), stage(projected(spark, sf))
     return graph.graph_diff(nodes(before, stage(rules.findings(before))), nodes(after, stage(whatif.reevaluate(after))))
+
+
+_CHANGED_EDGES = """SELECT f.capture_id, 'client:' || CASE WHEN rn <= 150 THEN f.client_ip ELSE 'other' END AS source, 'server:' || server AS target, 'connects' AS type FROM f JOIN (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY n DESC, ff, client_ip) AS rn FROM (SELECT capture_id, client_ip, count(*) AS n, min(first_frame) AS ff FROM f GROUP BY 1, 2) c) r USING (capture_id, client_ip) GROUP BY 1, 2, 3
+UNION ALL SELECT capture_id, 'server:' || server, node_id, 'negotiates' FROM {c} GROUP BY 1, 2, 3 UNION ALL SELECT capture_id, 'weakness:' || category, 'server:' || server, 'affects' FROM {s}"""
+for _name in ("crows", "scope"):
+    _deps, _text = PARTS[_name]
+    for _dep in ["f", *_VARIANTS]:
+        _text = re.sub(rf"\b(FROM|JOIN) {_dep}\b(?! )", rf"\1 {'pf' if _dep == 'f' else 'p_' + _dep}", _text)
+        _text = re.sub(rf"\b(FROM|JOIN) {_dep}\b(?= (?:[a-z]\b|WHERE|JOIN|USING|GROUP|ON|UNION))", rf"\1 {'pf f' if _dep == 'f' else 'p_' + _dep}", _text)
+    part("p_" + _name, [("pf" if d == "f" else "p_" + d if d in _VARIANTS else d) for d in _deps], _text)
+
+
+@query(
+    "graph_edge_changes",
+    "Q-14",
+    sql(
+        ["f", "pf", "crows", "p_crows", "scope", "p_scope"],
+        f""", b AS ({_CHANGED_EDGES.format(c='crows', s='scope')}), a AS ({_CHANGED_EDGES.format(c='p_crows', s='p_scope')})
+SELECT capture_id, source, target, type, CASE WHEN max(now) = 0 THEN 'removed' WHEN max(was) = 0 THEN 'new' ELSE 'same' END AS change FROM (SELECT *, 1 AS was, 0 AS now FROM b UNION ALL SELECT *, 0, 1 FROM a) x GROUP BY 1, 2, 3, 4""",
+    ).replace(" , b AS", ", b AS"),
+)
+def graph_edge_changes(spark, sf):
+    def edges(s, n):
+        return graph.edges(s, graph.finding_scope(n, s))
+
+    before, after = facts(spark, sf), stage(projected(spark, sf))
+    return graph.edge_diff(edges(before, stage(rules.findings(before))), edges(after, stage(whatif.reevaluate(after))))
