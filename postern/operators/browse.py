@@ -218,8 +218,15 @@ def phase_events(events: DataFrame, bounds: DataFrame, keep: int = 2) -> tuple[D
     return rows, folded
 
 
+def _folded(points: DataFrame, digits: int) -> DataFrame:
+    return points.withColumns({"x": F.bround("x", digits), "y": F.bround("y", digits)})
+
+
 def fold_points(points: DataFrame, digits: int = 3) -> DataFrame:
-    """Identical projected points as one, with their number; member refs stay rows of the input."""
-    return points.groupBy("cluster", F.bround("x", digits).alias("x"), F.bround("y", digits).alias("y")).agg(
-        F.count(F.lit(1)).alias("count"), F.min("ref").alias("first_ref")
-    )
+    """Identical projected points as one, with their number; `fold_members` lists whom each stands for."""
+    return _folded(points, digits).groupBy("cluster", "x", "y").agg(F.count(F.lit(1)).alias("count"), F.min("ref").alias("first_ref"))
+
+
+def fold_members(points: DataFrame, digits: int = 3) -> DataFrame:
+    """(cluster, x, y, ref) of every member, named by its folded point: rows, since one point may hold most members."""
+    return _folded(points, digits).select("cluster", "x", "y", "ref")

@@ -141,6 +141,13 @@ def snaplen_truncated(snaplen: Column) -> Column:
     return F.coalesce(snaplen < 1500, F.lit(False))
 
 
+def capture_meta(packets: DataFrame, manifest: DataFrame) -> DataFrame:
+    """`capture_stats` of every capture in the manifest (capture_id, snaplen), its duration (a difference of `ts`), and whether its snap length cut
+    packets short. A capture without packets has a count of 0 and no times."""
+    stats = manifest.select("capture_id", "snaplen").join(capture_stats(packets), "capture_id", "left").na.fill(0, ["packet_count", "data_bytes"])
+    return stats.withColumns({"duration": F.col("last_packet_at") - F.col("first_packet_at"), "snaplen_truncated": snaplen_truncated(F.col("snaplen"))})
+
+
 def evidence_slice(packets: DataFrame, targets: DataFrame, block: int = SLICE_BLOCK) -> DataFrame:
     """Packets inside each target's frame window on its stream.
 

@@ -115,6 +115,21 @@ def capture_statistics(spark, sf):
     return flows.capture_stats(packets(spark, sf))
 
 
+@query(
+    "capture_metadata",
+    "IO-3",
+    sql(
+        ["packets"],
+        """SELECT capture_id, CASE capture_id % 3 WHEN 0 THEN 96 WHEN 1 THEN 262144 END AS snaplen, count(*) AS packet_count, CAST(sum(tcp_len) AS BIGINT) AS data_bytes, max(epoch_us(ts)) - min(epoch_us(ts)) AS duration_us, capture_id % 3 = 0 AS snaplen_truncated FROM packets GROUP BY 1""",
+    ),
+)
+def capture_metadata(spark, sf):
+    p = stage(packets(spark, sf))
+    k = F.col("capture_id") % 3
+    manifest = p.select("capture_id").distinct().withColumn("snaplen", F.when(k == 0, 96).when(k == 1, 262144))
+    return flows.capture_meta(p, manifest).select("capture_id", "snaplen", "packet_count", "data_bytes", F.col("duration").alias("duration_us"), "snaplen_truncated")
+
+
 _TARGETS = "SELECT capture_id, frame AS target, stream, greatest(frame - 400, 0) AS first_frame, frame + 400 AS last_frame FROM packets WHERE rst"
 
 
@@ -357,6 +372,40 @@ def mangled_tokens(spark, sf):
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.count(F.when(words.is_mangled(token), 1)).alias("mangled"))
 
 
+@query(
+    "mangled_words",
+    "D-4",
+    r"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS token FROM documents),
+ t AS (SELECT doc_id, 'text' AS kind, token FROM w UNION ALL SELECT doc_id, 'filled', repeat(substr(token, 1, 1), 7) || 'A' FROM w WHERE token <> ''),
+ c AS (SELECT *, regexp_split_to_array(trim(token), '\s+')[1] AS word FROM t)
+SELECT doc_id, kind, count(*) AS tokens, count(*) FILTER (length(trim(token)) > 0 AND (regexp_matches(token, '[^\x20-\x7E\t]') OR (length(word) >= 6 AND list_max(list_transform(list_distinct(string_split(word, '')), lambda x: length(word) - length(replace(word, x, '')))) >= length(word) - 1))) AS mangled FROM c GROUP BY 1, 2""",
+)
+def mangled_words(spark, sf):
+    """The real words of every document, and beside them each one filled with its first character."""
+    rows = load(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("word"))
+    filled = F.when(F.col("word") != "", F.struct(F.lit("filled").alias("kind"), F.concat(F.repeat(F.substring("word", 1, 1), 7), F.lit("A")).alias("token")))
+    both = rows.select("doc_id", F.inline(F.array_compact(F.array(F.struct(F.lit("text").alias("kind"), F.col("word").alias("token")), filled))))
+    return both.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("tokens"), F.count(F.when(words.is_mangled(F.col("token")), 1)).alias("mangled"))
+
+
+def _points(spark, sf):
+    x, y = (F.col("n_chars") % 64) / F.lit(16.0), (F.col("doc_id") % 48) / F.lit(32.0)
+    return load(spark, sf, "documents").select(F.col("source").alias("cluster"), x.alias("x"), y.alias("y"), F.col("doc_id").alias("ref"))
+
+
+_POINT = "SELECT source AS cluster, round_even((n_chars % 64) / 16.0, 1) AS x, round_even((doc_id % 48) / 32.0, 1) AS y, doc_id AS ref FROM documents"
+
+
+@query("folded_points", "Q-15", f"SELECT cluster, x, y, count(*) AS count, min(ref) AS first_ref FROM ({_POINT}) p GROUP BY 1, 2, 3")
+def folded_points(spark, sf):
+    return browse.fold_points(_points(spark, sf), 1)
+
+
+@query("folded_point_members", "Q-15", _POINT)
+def folded_point_members(spark, sf):
+    return browse.fold_members(_points(spark, sf), 1)
+
+
 _CRED = """SELECT capture_id, session_id AS flow, first_frame + {f} AS frame, '{m}' AS mechanism, {u} AS username_redacted, length({s}) AS credential_length, substr(sha256({s}), 1, 6) AS credential_sha256_prefix FROM sess WHERE protocol = '{p}' AND cleartext_auth AND {c}"""
 _PW = "CASE h2 % 3 WHEN 0 THEN 's3cret' WHEN 1 THEN 'pw' ELSE 'toor' END"
 _US = "CASE h2 % 3 WHEN 0 THEN 'alice@corp.local' WHEN 1 THEN 'bob@corp.local' ELSE 'root' END"
@@ -818,7 +867,7 @@ def dane_status(spark, sf):
 @query("address_domains", "N-4", sql(["dres", "dpol"], "SELECT capture_id, ip, arg_max(domain, last_frame * 100000000 + domain_first) AS domain FROM dres JOIN dpol USING (capture_id, domain) GROUP BY 1, 2"))
 def address_domains(spark, sf):
     d = dns(spark, sf)
-    return dnsaudit.ip_domain(dnsaudit.resolved(d, dnsaudit.mx_hosts(d)), dnsaudit.domain_policy(d))
+    return dnsaudit.ip_domain(d, dnsaudit.mx_hosts(d), dnsaudit.domain_policy(d))
 
 
 part(

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from postern import dims
 from postern.functions import crypto
 from postern.functions.scores import text
-from postern.operators import graph, rules, whatif
+from postern.operators import graph, posture, ranking, readiness, rules, whatif
+from postern.plans import report
 from postern.plans.catalog import query
+from postern.plans.jobs_sessions import _ranked
 from postern.plans.jobs_traffic import _with_domains
 from postern.plans.oracle_parts import PARTS, part, sql
 from postern.plans.views import load, view
@@ -234,6 +236,12 @@ def remediation_plan(spark, sf):
     return whatif.plan(*with_domains(spark, sf))
 
 
+@query("brief_with_actions", "K-8")
+def brief_with_actions(spark, sf):
+    f, n, _, ranked = _ranked(spark, sf)
+    return report.brief_facts(f, ranked, posture.posture(f, n), readiness.readiness(f), ranking.scenarios(n, f), stage(whatif.plan(f, n)))
+
+
 @query("minimal_fix_sets", "W-10")
 def minimal_fix_sets(spark, sf):
     f = facts(spark, sf)

@@ -146,3 +146,16 @@ def test_many_stacks_in_one_coarse_cell(spark):
     far = spark.createDataFrame([(n, 5e4, 5e4, 5e4), (n + 1, -5e4, -5e4, -5e4)], "id bigint, a double, b double, c double")
     out = clusters.cluster_clients(pts.unionByName(far), ["id"], ["a", "b", "c"])
     assert sorted(tuple(r) for r in out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.bool_or("is_noise").alias("noise")).select("n", "size", "noise").collect()) == [(1, 1, True), (1, 1, True), (n, n, False)]
+
+
+def test_brief_names_the_first_three_steps_of_a_plan(spark):
+    from postern.plans import report
+
+    sessions = spark.createDataFrame([(1, "SMTP", "c", "s", 25, "TLS_ESTABLISHED", False, False)], "capture_id bigint, protocol string, client_ip string, server_ip string, server_port int, encryption_state string, cleartext_auth boolean, is_anomalous boolean")
+    ranked = spark.createDataFrame([], "capture_id bigint, verdict string, severity string, finding_ref string, tier string, rank bigint")
+    scores = spark.createDataFrame([(1, 40)], "capture_id bigint, overall bigint")
+    ready = spark.createDataFrame([(1, 10, "low", 5.0)], "capture_id bigint, score bigint, level string, hndl_pct double")
+    scenarios = spark.createDataFrame([], "capture_id bigint, scenario string, score bigint")
+    steps = spark.createDataFrame([(1, i, f"fix{i}", 40 + i, 41 + i) for i in range(1, 6)], "capture_id bigint, step int, fix_id string, score_before int, score_after int")
+    rows = sorted((r.ordinal, r.fact, r.value) for r in report.brief_facts(sessions, ranked, scores, ready, scenarios, steps).where("kind = 'action'").collect())
+    assert rows == [(16, "step 1", "fix1"), (17, "step 2", "fix2"), (18, "step 3", "fix3"), (19, "posture_before", "41"), (20, "posture_after", "44")]
