@@ -9,10 +9,11 @@ alone; any other, also one without a language, is compared to every reference wi
 from being judged by sampling noise: a histogram of fewer than `LEAST` entries is not judged, and the allowed
 distance is widened by the expected distance of a true sample of that size, which shrinks with its root.
 
-The words of languages outside `COMMON` are counted by (language, word), of which `LEARNED` a language reach the
+Languages outside `COMMON` are learned up to `LANGUAGES`, those of most documents; further values of the language column,
+often dirt, have no reference. Their words are counted by (language, word), of which `LEARNED` a language reach the
 driver. The next pass adds the histograms up in each task, so the shuffle holds a few hundred numbers a task and
-language; the table of references grows with the languages, not the rows, and is sent to the last pass. Documents are
-never shuffled.
+language; the table of references has a fixed bound and is sent to the last pass, which compares a document to each
+reference over the words it has, not over all that are counted. Documents are never shuffled.
 
 Defined cases: a null or empty text has no words and fails the hard rules; without any reference only the hard
 rules judge; rows repeating a doc_id are each judged; texts count whole; only the named columns are read.
@@ -52,6 +53,8 @@ ALLOWED, WIDEN = (0.16, 0.06), (2.3, 3.3)
 
 #: Words learned of each language outside COMMON, and the entries its reference needs: characters, words.
 LEARNED, LEAST_LEARNED = 40, (10_000, 1_000)
+#: Languages outside COMMON that can have a reference.
+LANGUAGES = 64
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -172,20 +175,35 @@ def measure(blobs: list[bytes | None], at: dict[bytes, int] = PLACES, size: int
     return Measured(n_words, classes.sum(1) - blank, symbols, dup_lines, repeats, classes, common)
 
 
-def distance(own: np.ndarray, reference: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance of each row's histogram to one reference; 0 for an empty row."""
-    p = own / np.maximum(1, own.sum(1, keepdims=True))
-    q = reference / max(1, reference.sum())
-    m = (p + q) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        left = np.where(p > 0, p * np.log2(p / m), 0).sum(1)
-        right = np.where(q > 0, q * np.log2(q / m), 0).sum(1)
-    return np.where(own.sum(1) > 0, np.sqrt(np.clip((left + right) / 2, 0, 1)), 0.0)
+def distances(own: np.ndarray, references: list[np.ndarray]) -> np.ndarray:
+    """Jensen-Shannon distance of each row's histogram to each reference (reference, row); 0 for an empty row.
 
+    Only entries that a row has are looked at: of the rest, a reference's share counts whole.
+    """
+    n = len(own)
+    row, entry = np.nonzero(own)
+    total = own.sum(1)
+    p = own[row, entry] / total[row]
+    out = np.zeros((len(references), n))
+    for i, reference in enumerate(references):
+        q = (reference / max(1, reference.sum()))[entry]
+        twice = p + q
+        with np.errstate(divide="ignore", invalid="ignore"):
+            both = p * np.log2(2 * p / twice) + np.where(q > 0, q * np.log2(2 * q / twice), 0)
+        rest = (reference.sum() > 0) - np.bincount(row, q, n)
+        out[i] = np.where(total > 0, np.sqrt(np.clip((np.bincount(row, both, n) + rest) / 2, 0, 1)), 0.0)
+    return out
 
-def learned_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[str]:
-    """The LEARNED most frequent words of each language outside COMMON, one mark at their end aside."""
-    rows = docs.where(~F.col(lang).isin(sorted(COMMON)) & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.lower(text).alias("text"))
+
+def learned_languages(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = LANGUAGES) -> list[str]:
+    """The languages outside COMMON of most documents, `most` at most."""
+    rows = docs.where(~F.col(lang).isin(sorted(COMMON)) & F.col(text).isNotNull()).groupBy(F.col(lang).alias("lang")).count()
+    return [r["lang"] for r in rows.orderBy(F.desc("count"), "lang").limit(most).collect()]
+
+
+def learned_words(docs: DataFrame, languages: list[str], text: str = "text", lang: str = "lang") -> list[str]:
+    """The LEARNED most frequent words of each of these languages, one mark at their end aside."""
+    rows = docs.where(F.col(lang).isin(languages) & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.lower(text).alias("text"))
     words = rows.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).select("lang", F.regexp_replace("word", "[.,;:!?]$", "").alias("word"))
     counts = words.where("word <> ''").groupBy("lang", "word").count()
     first = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
@@ -193,9 +211,9 @@ def learned_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> li
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> References:
-    """Histograms of all documents of each language: a row of numbers for each reaches the driver."""
-    k = len(CLASSES)
-    vocabulary = WORDS + sorted(set(learned_words(docs, text, lang)) - set(WORDS))
+    """Histograms of all documents of each language that may have one: a row of numbers for each reaches the driver."""
+    k, others = len(CLASSES), learned_languages(docs, text, lang)
+    vocabulary = WORDS + sorted(set(learned_words(docs, others, text, lang) if others else []) - set(WORDS))
     at, size = places(vocabulary), len(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,8 +221,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> Refer
         for batch in batches:
             blobs, langs = batch.column(0).cast(pa.binary()).to_pylist(), np.array(batch.column(1).to_pylist(), object)
             for lo, hi in slices(blobs):
-                found = measure(blobs[lo:hi], at, size)
-                table = np.hstack([found.classes, found.common])
+                table = np.hstack(histograms(blobs[lo:hi], *split_words(blobs[lo:hi]), at, size))
                 for name in set(langs[lo:hi]):
                     part = table[langs[lo:hi] == name].sum(0)
                     sums[name] = sums[name] + part if name in sums else part
@@ -212,7 +229,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> Refer
             own = np.flatnonzero(row)
             yield pa.RecordBatch.from_pydict({"lang": [name] * len(own), "place": own, "n": row[own]})
 
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(text, lang)
+    rows = docs.where(F.col(lang).isin([*COMMON, *others]) & F.col(text).isNotNull()).select(text, lang)
     found = rows.mapInArrow(run, "lang string, place bigint, n bigint").groupBy("lang", "place").agg(F.sum("n").alias("n")).collect()
     out = {r["lang"]: np.zeros(k + size + 1) for r in found}
     for r in found:
@@ -241,8 +258,8 @@ def _kernel(refs: References) -> Callable[[list[bytes | None], list[str | None]]
         failed = (m.n_words < MIN_WORDS) | (100 * m.n_repeat_words > REPEAT_PERCENT * m.n_words)
         sizes = np.stack([m.classes.sum(1), m.common.sum(1)])
         far = np.zeros((len(names), 2, len(blobs)))
-        for i, (classes, common) in enumerate(refs.values()):
-            far[i] = distance(m.classes, classes), distance(m.common, common)
+        if refs:
+            far = np.stack([distances(own, list(known)) for own, known in zip((m.classes, m.common), zip(*refs.values()))], 1)
         allowed = np.array(ALLOWED)[:, None] + np.array(WIDEN)[:, None] / np.sqrt(np.maximum(1, sizes))
         best = (far / allowed).max(1).argmin(0)
         mine = far[best, :, np.arange(len(blobs))]

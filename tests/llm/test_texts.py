@@ -165,6 +165,29 @@ def test_quality_keeps_prose_of_languages_without_given_words(spark, others):
     assert sorted(r.doc_id for r in quality.filtered(docs).collect()) == sorted(d for d, *_ in rows)
 
 
+def test_quality_distances_are_jensen_shannon():
+    r = np.random.default_rng(3)
+    own = r.integers(0, 5, (40, 30)) * (r.random((40, 30)) < 0.3)
+    own[7] = 0
+    refs = [r.integers(0, 9, 30).astype(float), r.integers(0, 2, 30).astype(float), np.zeros(30)]
+    for i, reference in enumerate(refs):
+        for row, got in zip(own, quality.distances(own, refs)[i]):
+            p, q = row / max(1, row.sum()), reference / max(1, reference.sum())
+            js = sum((a * math.log2(2 * a / (a + b)) if a else 0) + (b * math.log2(2 * b / (a + b)) if b else 0) for a, b in zip(p, q)) / 2
+            assert got == pytest.approx(math.sqrt(js) if row.sum() else 0.0, abs=1e-9)
+
+
+def test_quality_bounds_the_languages_it_learns(spark, monkeypatch):
+    """A language column full of dirt: the most frequent languages are learned, the rest judged by the hard rules."""
+    monkeypatch.setattr(quality, "LEAST_LEARNED", (100, 20))
+    rows = [(i, prose(60, i, [f"{x}w{j}" for j in range(30)]), x) for i, x in enumerate([f"x{k % 300}" for k in range(600)] + ["ru", "pl"] * 30)]
+    docs = spark.createDataFrame([(i, prose(300, i, CYRILLIC if x == "ru" else POLISH) if x in ("ru", "pl") else t, x) for i, t, x in rows], "doc_id bigint, text string, lang string").repartition(3)
+    refs = quality.references(docs)
+    assert len(refs) == quality.LANGUAGES and {"ru", "pl"} <= set(refs) and len(refs.words) <= len(quality.WORDS) + quality.LANGUAGES * quality.LEARNED
+    out = quality.judge(docs, ["doc_id"], refs=refs)
+    assert out.count() == len(rows) and out.where("not base_failed and not kept").join(docs.where(~F.col("lang").isin(list(refs))), "doc_id").count() == 0
+
+
 def test_language_held_out_accuracy(spark, sf="/root/testdata/sf0.01"):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
