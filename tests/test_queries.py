@@ -19,6 +19,7 @@ SUBSET = [
     "flow_index", "evidence_slices", "byte_ranges", "offset_frames", "document_lines", "protocol_events", "encryption_outcomes", "event_state_walk", "ja4_fingerprints", "trust_anchors", "dns_findings",
     "question_entities", "projected_sessions", "finding_resolution", "risk_features", "vector_attribution", "capture_risk_index",
     "reassembled_lines", "wire_sessions", "assessed_findings", "event_log", "session_timelines", "policy_findings", "finding_observations", "slice_custody", "report_sections", "stratified_folds",
+    "address_domains", "capture_metadata", "mangled_words", "folded_points", "folded_point_members", "fix_candidates_with_dns", "carried_dns_findings", "graph_edge_changes",
 ]
 
 
